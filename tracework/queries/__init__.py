@@ -1,7 +1,13 @@
 """Named queries over the driver tables, each with equivalent SQL."""
 
-QUERIES, ORACLE_SQL = {}, {}
+from __future__ import annotations
 
+from . import repository, streams
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+_MODULES = (streams, repository)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+
+#: Active windows of every user's event stream.
+flagship = streams.active_windows
