@@ -68,7 +68,8 @@ LONG_INLINE = r"`(?:[^`\s]{10,}|(?=[^`]*[A-Z_:.#/(){}\[\]<>=+])[^`]{10,})`"
 SHORT_IDENTIFIER = r"`(?=[\w:.#]*[A-Z_])[\w:.#]+`"
 PATHS = (
     r"(?md)(?:^|[\s(\[{,:;])(?:/[\w\-./]+|[\w\-]+(?:/[\w\-.]+)*"
-    r"\.(?:rb|rake|ru|gemspec|py|js|ts|jsx|tsx|go|rs|java|cpp|c|h|css|html|erb|yml|yaml|json|toml|sql|sh|bash))(?![A-Za-z0-9_])"
+    r"\.(?:rb|rake|ru|gemspec|py|js|ts|jsx|tsx|go|rs|java|cpp|c|h|css|html|erb|yml|yaml|json|toml|sql|sh|bash))"
+    r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 )
 COLLAPSE = r"(\[\w*\s*code[^\]]*\]\s*){2,}"
 
