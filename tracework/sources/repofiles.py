@@ -1,0 +1,36 @@
+"""Files of repositories as a table, and JSON artifacts of other stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.codequality import MAX_FILE_SIZE
+from ..operators.sequence import index_events
+
+
+def files(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
+    """(repo_id, path, file_pos, size, content): every file under ``root`` by relative path; contents of small ones as text."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    prefix = F.lit(root.rstrip("/") + "/")
+    f = raw.select(F.lit(repo_id).alias("repo_id"), F.split_part(F.regexp_replace("path", "^file:/*", "/"), prefix, F.lit(2)).alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= MAX_FILE_SIZE, F.decode("content", F.lit("UTF-8"))).alias("content"))
+    return index_events(f, ["repo_id"], ["path"], "file_pos")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a JSON lines file; what doesn't parse is left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A law catalog (key, title, category, pattern) given by the caller."""
+    return spark.read.schema("key string, title string, category string, pattern string").option("multiLine", True).json(path)
+
+
+def narratives(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, narrative, intent) of one note a session; the intent tag is cut out, whatever its case."""
+    tag = r"(?i)<session_intent>\s*(shipping|exploration|ambiguous)\s*</session_intent>"
+    notes = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1)
+    text = F.trim(F.regexp_replace("value", tag, ""))
+    return notes.select(name.alias("session_id"), F.nullif(text, F.lit("")).alias("narrative"), F.nullif(F.lower(F.regexp_extract("value", tag, 1)), F.lit("")).alias("intent"))
