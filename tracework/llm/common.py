@@ -60,7 +60,7 @@ def real_id(name: str) -> Column:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of ``edges`` (a, b: long) reaches.
+    """(node, component): the smallest node that each node of ``edges`` (a, b of any ordered type) reaches.
 
     Alternating large-star and small-star rounds: every round is a ``min`` per node (combined
     map-side) and a join back, so a hub with any number of neighbours is never gathered in one

@@ -35,7 +35,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def _sign(bits: int, count: int):
     def run(batches):
         for batch in batches:
-            reps = batch.column("rep").to_numpy(zero_copy_only=False)
+            reps = batch.column("c")
             raw = batch.column("v").to_pylist()
             sizes = np.array([len(v) for v in raw])
             for size in np.unique(sizes).tolist():
@@ -45,9 +45,9 @@ def _sign(bits: int, count: int):
                 up = (unit @ planes >= 0).reshape(len(at), count, bits)
                 sig = (up * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps[at]), pa.array(np.full(len(at), size, np.int32)), pa.array([x.tobytes() for x in unit], pa.binary())]
+                    [reps.take(pa.array(at)), pa.array(np.full(len(at), size, np.int32)), pa.array([x.tobytes() for x in unit], pa.binary())]
                     + [pa.array(list(sig), pa.list_(pa.int32()))],
-                    names=["rep", "dim", "unit", "sig"],
+                    names=["c", "dim", "unit", "sig"],
                 )
 
     return run
@@ -97,12 +97,12 @@ def _meet(unit, sig, size, own, t: int, i: int, j: int, threshold: float) -> tup
 def _compare(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        rep, size, t, dim, s, i, j, own = (group.column(c).to_numpy() for c in ("rep", "copies", "t", "dim", "s", "i", "j", "block"))
+        size, t, dim, s, i, j, own = (group.column(c).to_numpy() for c in ("copies", "t", "dim", "s", "i", "j", "block"))
         units, sigs = group.column("unit"), group.column("sig")
         by = np.lexsort((j, i, s, dim, t))
         key = np.stack([c[by] for c in (t, dim, s, i, j)], 1)
         heads = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]), len(by)]
-        reps, links, to = [], [], []
+        first, links, to = [], [], []
         for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
             at = by[a:b]
             take = pa.array(at)
@@ -110,11 +110,12 @@ def _compare(threshold: float):
             sig = np.array(sigs.take(take).to_pylist(), np.int32)
             n, root = _meet(unit, sig, size[at], own[at], *(int(c[at[0]]) for c in (t, i, j)), threshold)
             met = np.flatnonzero((n > 0) | (root != np.arange(len(at))))
-            reps.append(rep[at[met]])
+            first.append(at[met])
             links.append(n[met])
-            to.append(rep[at[root[met]]])
-        cat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (reps, links, to)]
-        return pa.table({"rep": pa.array(cat[0], pa.int64()), "links": pa.array(cat[1], pa.int64()), "to": pa.array(cat[2], pa.int64())})
+            to.append(at[root[met]])
+        cat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (first, links, to)]
+        named = [group.column("c").take(pa.array(cat[k])).cast(pa.binary()) for k in (0, 2)]
+        return pa.table({"c": named[0], "links": pa.array(cat[1], pa.int64()), "to": named[1]})
 
     return run
 
@@ -125,30 +126,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable),
     kept (vec_id = component_id). Null, empty or zero vectors and vectors with null or non-finite
     components link with nothing. Vectors of different lengths never link. Equal vectors are one
-    class before any comparison. A null id counts as the smallest and stays null.
+    class before any comparison. A null id counts as the smallest and stays null. Rows that share an
+    id are told apart by their vectors.
 
     Buckets of more than ``BLOCK`` classes are cut into blocks and compared block by block, each
     block pair in a task of its own; only link counts and the edges of a spanning forest leave it.
     """
     rows = vectors.select(id_column(id_col).alias("k"), _clean(vector_col).alias("v"))
-    rows = written(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.sha2(F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ","), 256))))
-    classes = written(rows.where("h is not null").groupBy("h").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")))
+    # a class is known by the first 128 bits of a hash of its vector; -0.0 counts as 0.0
+    plain = F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ",")
+    rows = written(rows.withColumn("c", F.when(F.col("v").isNotNull(), F.substring(F.unhex(F.sha2(plain, 256)), 1, 16))))
+    classes = written(rows.where("c is not null").groupBy("c").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")))
     bits, count = tables_for(classes.count(), threshold, recall)
-    signed = written(classes.select("rep", "v").mapInArrow(_sign(bits, count), "rep long, dim int, unit binary, sig array<int>").join(classes.select("rep", "copies"), "rep"))
+    signed = classes.select("c", "v").mapInArrow(_sign(bits, count), "c binary, dim int, unit binary, sig array<int>")
+    signed = written(signed.join(classes.select("c", "copies"), "c"))
     in_tables = signed.select("*", F.posexplode("sig").alias("t", "s"))
     full = in_tables.groupBy("t", "dim", "s").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = in_tables.join(full, ["t", "dim", "s"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = in_tables.join(full, ["t", "dim", "s"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     # a member goes to each pair of blocks that its own block is in
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("*", other.alias("o")).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
     # one Python call takes the block pairs of a lot; lots are as many as block pairs need, a few megabytes each
     lots = max(partitions(vectors.sparkSession), -(-count * signed.count() // ROWS_A_LOT))
     dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("t", "dim", "s", "i", "j"), F.lit(lots)))
-    met = dealt.groupBy("lot").applyInArrow(_compare(threshold), "rep long, links long, to long")
-    met = written(met)
-    found = connected_components(met.where("rep != to").select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.select("h", "rep", "copies").join(counts, "rep", "left").join(found, classes.rep == found.node, "left")
-    named = named.select("h", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("k", "h").join(named, "h", "left").withColumn("c", F.coalesce("c", "k"))
-    return out.select(real_id("k").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), real_id("c").alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))
+    met = written(dealt.groupBy("lot").applyInArrow(_compare(threshold), "c binary, links long, to binary"))
+    found = written(connected_components(met.where("c != to").select(F.col("c").alias("a"), F.col("to").alias("b"))))
+    counts = met.groupBy("c").agg(F.sum("links").alias("links"))
+    linked = classes.select("c", "rep", "copies").join(counts, "c", "left").join(found, F.col("c") == found.node, "left")
+    linked = linked.select("c", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "c").alias("component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = linked.join(least, "component").select("c", "n_links", "least")
+    out = rows.select("k", "c").join(named, "c", "left").withColumn("least", F.coalesce("least", "k"))
+    return out.select(real_id("k").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), real_id("least").alias("component_id"), (F.col("k") == F.col("least")).alias("kept"))

@@ -130,7 +130,6 @@ def _deal_keys(buckets: int):
     def run(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            rep = batch.column("rep").to_numpy(zero_copy_only=False)
             row, key = pair_keys(fp)
             lot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
             by = np.argsort(lot, kind="stable")
@@ -138,8 +137,8 @@ def _deal_keys(buckets: int):
             full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
             parts = [by[cuts[b] : cuts[b + 1]] for b in full]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32())] + [pa.array([x[i].tobytes() for i in parts], pa.binary()) for x in (key, fp[row], rep[row])],
-                names=["bucket", "keys", "fps", "reps"],
+                [pa.array(full, pa.int32())] + [pa.array([x[i].tobytes() for i in parts], pa.binary()) for x in (key, fp[row])],
+                names=["bucket", "keys", "fps"],
             )
 
     return run
@@ -147,9 +146,9 @@ def _deal_keys(buckets: int):
 
 def _verify(bits: int):
     def run(group: pa.Table) -> pa.Table:
-        key, fp, rep = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("fps", np.uint64), ("reps", np.int64)))
+        key, fp = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint64) for c in ("keys", "fps"))
         by = np.argsort(key, kind="stable")
-        key, fp, rep = key[by], fp[by], rep[by]
+        key, fp = key[by], fp[by]
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[heads, len(key)])
         pairs = []
@@ -157,26 +156,26 @@ def _verify(bits: int):
         for d in range(1, int(size[size <= 64].max(initial=1))):
             i = np.flatnonzero(short[:-d] & (key[d:] == key[:-d]))
             i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= bits]
-            pairs.append((rep[i], rep[i + d]))
+            pairs.append((fp[i], fp[i + d]))
         for a, n in zip(heads[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-            f, r = fp[a : a + n], rep[a : a + n]
+            f = fp[a : a + n]
             for part in [np.arange(n)] if n <= LONG_RUN else _finer_runs(f):
                 if edges := _forest(f[part], bits):
                     e = part[np.array(edges)]
-                    pairs.append((r[e[:, 0]], r[e[:, 1]]))
-        a = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, np.int64)
-        b = np.concatenate([p[1] for p in pairs]) if pairs else np.empty(0, np.int64)
-        e = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    pairs.append((f[e[:, 0]], f[e[:, 1]]))
+        a = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, np.uint64)
+        b = np.concatenate([p[1] for p in pairs]) if pairs else np.empty(0, np.uint64)
+        e = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).view(np.int64)
         return pa.table({"a": pa.array(e[:, 0], pa.int64()), "b": pa.array(e[:, 1], pa.int64())})
 
     return run
 
 
 def links(classes: DataFrame, bits: int = LINK_BITS) -> DataFrame:
-    """(a, b): links between class representatives; all components of the full link graph are connected by them."""
+    """(a, b): links between fingerprints; all components of the full link graph are connected by them."""
     if bits > LINK_BITS:
         raise ValueError(f"the keys hold for at most {LINK_BITS} differing bits")
-    dealt = classes.select("fp", "rep").mapInArrow(_deal_keys(partitions(classes.sparkSession)), "bucket int, keys binary, fps binary, reps binary")
+    dealt = classes.select("fp").mapInArrow(_deal_keys(partitions(classes.sparkSession)), "bucket int, keys binary, fps binary")
     return dealt.groupBy("bucket").applyInArrow(_verify(bits), "a long, b long").distinct()
 
 
@@ -190,8 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle))
     classes = written(prints.groupBy("fp").agg(F.min("k").alias("rep")))
-    found = connected_components(links(classes, bits))
-    named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    # rows that share an id carry their classes' components together
-    out = prints.join(named, "fp")
-    return out.select(real_id("k").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component").alias("component_id"))
+    found = written(connected_components(links(classes, bits)))
+    linked = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = linked.join(least, "component").select("fp", "least")
+    return prints.join(named, "fp").select(real_id("k").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("least").alias("component_id"))
