@@ -302,8 +302,7 @@ def test_url_rules(spark):
     assert urlrules.judge(df.limit(0), urlrules.rules_frame(spark, RULES)).collect() == []
 
 
-def test_lanes_of_a_hot_host(spark, monkeypatch):
-    monkeypatch.setattr(urlrules, "POINTS_A_TASK", 10)
+def test_lanes_of_a_hot_host(spark):
     df = spark.createDataFrame([(i, f"https://example.com/en/{i}") for i in range(200)], "page_id long, url string")
     got = {r.page_id: r.verdict for r in urlrules.judge(df, urlrules.rules_frame(spark, RULES)).collect()}
     assert got == {i: "allow" if str(i).startswith("7") else "block" for i in range(200)}

@@ -8,8 +8,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Points of one host that one task sweeps, about; more are dealt to more tasks.
-POINTS_A_TASK = 500_000
+from .common import partitions, written
+
 DEFAULT = "allow"
 
 
@@ -64,8 +64,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
 
     A rule fits its host and all subdomains if the path starts with its path; the longest (host and
     path together, then host) wins. So a url is a point on the line of each of its host's suffixes
-    that rules name, and each line is swept once, in key order. Lines with many points are dealt to
-    several tasks, with their boundaries copied to each. Null urls and urls without ``://`` have an
+    that rules name, and each line is swept once, in key order. A line with many of the points is dealt
+    to several tasks, with its boundaries copied to each. Null urls and urls without ``://`` have an
     empty host and path and get ``default``. Repeated rows come back as often as they went in.
     """
     spark = pages.sparkSession
@@ -76,7 +76,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     bounds = boundaries(rules)
     hosts = bounds.select("rhost").distinct()
     points = parts.select("page_id", "url", "path", F.explode(suffixes).alias("rhost")).join(hosts, "rhost", "left_semi")
-    lanes = points.groupBy("rhost").agg(F.ceil(F.count("*") / POINTS_A_TASK).cast("int").alias("lanes"))
+    # a line with a share of all points gets that share of the tasks
+    counts = written(points.groupBy("rhost").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    lanes = counts.select("rhost", F.ceil(F.col("n") * (2 * partitions(spark)) / total).cast("int").alias("lanes"))
     points = points.join(lanes, "rhost").withColumn("lane", F.pmod(F.xxhash64("page_id", "url"), F.col("lanes")).cast("int"))
     marks = bounds.join(lanes, "rhost").select("rhost", "key", "rule", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
     line = points.select("rhost", "lane", _key(F.col("rhost"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "page_id", "url", F.lit(None).cast(bounds.schema["rule"].dataType).alias("rule"))
