@@ -143,8 +143,8 @@ def dollars(x: Column) -> Column:
 
 
 def short_tokens(n: Column) -> Column:
-    """950, 1.2k, 104.2M."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    """950, 1.2k, 104.2M, 2.0B."""
+    return F.when(n >= 1_000_000_000, F.format_string("%.1fB", n / 1e9)).when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
 
 
 def duration(seconds: Column) -> Column:

@@ -128,6 +128,11 @@ def matched_scores(scores: DataFrame, episodes: DataFrame) -> tuple[DataFrame, D
     return S.first_by(scores.join(known, "episode_id"), ["episode_id"], ["pos"]), scores.join(known, "episode_id", "left_anti")
 
 
+def session_episode(episodes: DataFrame) -> DataFrame:
+    """(session_id, episode_id): the first episode that lists a session."""
+    return episodes.select("episode_id", F.explode("session_ids").alias("session_id")).groupBy("session_id").agg(F.min("episode_id").alias("episode_id"))
+
+
 def link_labels(episodes: DataFrame) -> DataFrame:
     """(episode_id, label): the most frequent link type, ties by label."""
     name = first_of([(F.col("t") == k, v) for k, v in LINK_NAMES.items() if k], LINK_NAMES[None])

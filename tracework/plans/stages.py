@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import condense, decisions, events
-from ..sources import repofiles, transcripts
+from ..functions import times as TM
+from ..operators import codequality, condense, decisions, events, grouping, linking, rollup, steering, velocity
+from ..sources import gitlog, repofiles, transcripts
+from . import documents, report
+
+ANSWERS = "session_id string, batch_id long, pos long, index long, is_decision boolean, decision_type string, confidence string, narrative string, law_key string"
+SCORES = "episode_id long, title string, facts string, interpretation string, counterweight string, confidence double, scores map<string,double>"
+CALLS = "stage string, target string, model string, total_tokens long, duration_s double"
 
 
 def condensed(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -21,6 +29,26 @@ def extracted(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFra
     return events.sessions(found), events.extract(found)[0]
 
 
+def link_inputs(sessions: DataFrame, found: DataFrame, repo: str) -> DataFrame:
+    """Session records as linking needs them, in order of their paths; their time is their own or that of their commits."""
+    c = found.where("type = 'git_commit'").groupBy("session_id").agg(F.min("ts").alias("first_commit"), F.max("ts").alias("last_commit"))
+    s = sessions.join(c, "session_id", "left")
+    span = linking.time_range(TM.instant(F.col("session_created_at")), TM.instant(F.col("session_modified_at")), F.col("first_commit"), F.col("last_commit"))
+    none = F.array().cast("array<string>")
+    return s.withColumn("__span", span).select(
+        F.lit(repo).alias("repo_id"), F.row_number().over(Window.orderBy("path")).cast("long").alias("sess_pos"), "session_id", "pr_number", "git_branch",
+        F.coalesce("event_branches", none).alias("branches"), F.coalesce("event_git_shas", none).alias("shas"), "__span.start", "__span.end", (~F.col("is_subagent")).alias("is_root"),
+    )
+
+
+def gitdata(spark: SparkSession, repo: str, sessions: DataFrame, found: DataFrame, since: str | None = None, names: list[str] = (), emails: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(groups, episodes, commits, numstat) of a local repository and the sessions that worked on it."""
+    commits, numstat = gitlog.export(spark, repo, since or gitlog.default_since(sessions), names, emails)
+    own = link_inputs(sessions, found, repo)
+    groups = grouping.commit_groups(commits, numstat, own)
+    return groups, linking.episodes(groups, own), commits, numstat
+
+
 def candidates(spark: SparkSession, stored_events: str) -> tuple[DataFrame, DataFrame]:
     """(candidates, batches) for the external classifier."""
     found = decisions.candidates(spark.read.parquet(stored_events))
@@ -28,8 +56,31 @@ def candidates(spark: SparkSession, stored_events: str) -> tuple[DataFrame, Data
 
 
 def finalised(spark: SparkSession, stored_events: str, answers: str, catalog: str) -> DataFrame:
-    schema = "session_id string, batch_id long, pos long, index long, is_decision boolean, decision_type string, confidence string, narrative string, law_key string"
-    return decisions.finalise(spark.read.parquet(stored_events), repofiles.json_lines(spark, answers, schema), repofiles.catalog(spark, catalog))
+    return decisions.finalise(spark.read.parquet(stored_events), repofiles.json_lines(spark, answers, ANSWERS), repofiles.catalog(spark, catalog))
+
+
+def analytics(spark: SparkSession, repo: str, commits: DataFrame, numstat: DataFrame, sessions: DataFrame, found: DataFrame) -> str:
+    """Repository metrics, velocity, steering and parallelism as markdown."""
+    c = commits.withColumn("date", TM.wall_date(F.col("date")))
+    files = numstat.select("repo_id", "sha", F.col("file").alias("path"), "added", "deleted")
+    q = codequality.analyse(repofiles.files(spark, repo, repo), c, files).first()
+    v = velocity.velocity(velocity.sizes(c, files), ["repo_id"]).first()
+    turns = found.where("type = 'user_directive'")
+    s = steering.totals(steering.actions(turns, ["session_id"], "index").drop("session_id"), []).orderBy(F.desc("n"), "action").collect()
+    p = steering.parallelism(sessions.withColumn("parent_session_id", F.lit(None).cast("string")), found).first()
+    return report.render_analytics(q, v, s, p)
+
+
+def aggregate(path: str) -> dict:
+    """Rollup of a small JSON file of scored episodes, on the driver's session."""
+    from ..session import session
+
+    raw = json.loads(Path(path).read_text())
+    eps = raw.get("episodes", []) if isinstance(raw, dict) else raw
+    rows = [(i, a, float(s), e.get("confidence") if isinstance(e.get("confidence"), (int, float)) else None) for i, e in enumerate(eps) for a, s in (e.get("scores") or {}).items() if a in rollup.AXES and isinstance(s, (int, float))]
+    cells = session().createDataFrame(rows, "episode_id int, axis string, score double, confidence double").withColumn("all", F.lit(1))
+    r = rollup.rollup(cells, ["all"]).first()
+    return {"episodes_scored": len(eps), "axes": r.axes if r else {}, "overall": r.overall if r else None, "band": r.band if r else None}
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -37,33 +88,70 @@ def export_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def _parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="tracework", description="Stages of the session-log pipeline; tables are Parquet folders.")
+    sub = p.add_subparsers(dest="stage", required=True)
+
+    def stage(name: str, *required: str, paths: bool = False, optional: tuple[str, ...] = (), many: tuple[str, ...] = ()) -> None:
+        s = sub.add_parser(name)
+        if paths:
+            s.add_argument("paths", nargs="+")
+        for a in required:
+            s.add_argument(f"--{a}", required=True)
+        for a in optional:
+            s.add_argument(f"--{a}")
+        for a in many:
+            s.add_argument(f"--{a}", action="append", default=[])
+
+    stage("condense", "out", paths=True)
+    stage("events", "out", paths=True)
+    stage("gitdata", "repo", "logs", "out", optional=("since",), many=("author-name", "author-email"))
+    stage("extract", "events", "out")
+    stage("finalize", "events", "answers", "catalog", "out")
+    stage("episodes", "logs", "gitdata", "narratives", "decisions", "out")
+    stage("aggregate", "scores")
+    stage("analytics", "repo", "logs", "gitdata", "out")
+    stage("report", "logs", "gitdata", "scores", "decisions", "out", optional=("llm-calls",))
+    return p
+
+
 def main(argv: list[str] | None = None) -> int:
     from ..session import session
 
-    p = argparse.ArgumentParser(prog="tracework", description="Stages of the session-log pipeline.")
-    sub = p.add_subparsers(dest="stage", required=True)
-    for name in ("condense", "events"):
-        s = sub.add_parser(name)
-        s.add_argument("paths", nargs="+")
-        s.add_argument("--out", required=True)
-    s = sub.add_parser("extract")
-    s.add_argument("--events", required=True)
-    s.add_argument("--out", required=True)
-    s = sub.add_parser("finalize")
-    for a in ("--events", "--answers", "--catalog", "--out"):
-        s.add_argument(a, required=True)
-    a = p.parse_args(argv)
+    a = _parser().parse_args(argv)
+    if a.stage == "aggregate":
+        print(json.dumps(aggregate(a.scores), indent=2))
+        return 0
     spark = session()
+    load = lambda *parts: spark.read.parquet("/".join(parts))
+
+    def save(df: DataFrame, *parts: str) -> None:
+        df.write.mode("overwrite").parquet("/".join(parts))
+
     if a.stage == "condense":
-        condensed(spark, a.paths).write.mode("overwrite").parquet(a.out)
+        save(condensed(spark, a.paths), a.out)
     elif a.stage == "events":
         s, e = extracted(spark, a.paths)
-        e.write.mode("overwrite").parquet(f"{a.out}/events")
-        s.write.mode("overwrite").parquet(f"{a.out}/sessions")
+        save(e, a.out, "events")
+        save(s, a.out, "sessions")
+    elif a.stage == "gitdata":
+        made = gitdata(spark, a.repo, load(a.logs, "sessions"), load(a.logs, "events"), a.since, a.author_name, a.author_email)
+        for name, df in zip(("groups", "episodes", "commits", "numstat"), made, strict=True):
+            save(df, a.out, name)
     elif a.stage == "extract":
         found, packed = candidates(spark, a.events)
-        found.write.mode("overwrite").parquet(f"{a.out}/candidates")
+        save(found, a.out, "candidates")
         export_json(packed, f"{a.out}/batches")
+    elif a.stage == "finalize":
+        save(finalised(spark, a.events, a.answers, a.catalog), a.out)
+    elif a.stage == "episodes":
+        made = documents.documents(load(a.gitdata, "episodes"), load(a.logs, "sessions"), load(a.gitdata, "groups"), repofiles.narratives(spark, a.narratives), load(a.decisions), load(a.logs, "events"))
+        documents.write(made, a.out)
+    elif a.stage == "analytics":
+        Path(a.out).write_text(analytics(spark, a.repo, load(a.gitdata, "commits"), load(a.gitdata, "numstat"), load(a.logs, "sessions"), load(a.logs, "events")))
     else:
-        finalised(spark, a.events, a.answers, a.catalog).write.mode("overwrite").parquet(a.out)
+        scores = repofiles.json_lines(spark, a.scores, SCORES).withColumn("pos", F.monotonically_increasing_id())
+        calls = repofiles.json_lines(spark, a.llm_calls, CALLS) if a.llm_calls else None
+        text = report.render(load(a.logs, "sessions"), load(a.logs, "events"), gitlog.payload(load(a.gitdata, "commits")), load(a.gitdata, "episodes"), scores, load(a.decisions), calls)
+        Path(a.out).write_text(text)
     return 0

@@ -56,6 +56,17 @@ def combined(logs: DataFrame) -> DataFrame:
     return d.select("repo_id", "log_pos", "h.*", F.when(isfile, F.get(t, 2)).alias("path"), number(0).alias("added"), number(1).alias("deleted"), (isfile & (F.get(t, 0) == "-")).alias("is_binary"))
 
 
+def payload(found: DataFrame) -> DataFrame:
+    """(sha, date): what the report needs of each commit, dates as recorded."""
+    return found.select("sha", "date")
+
+
+def default_since(sessions: DataFrame) -> str | None:
+    """A week before the first session began, as ISO text; None without a time."""
+    first = sessions.agg(TM.iso(F.min(TM.instant(F.col("session_created_at"))) - F.expr(f"INTERVAL {LOOKBACK_DAYS} DAYS"))).first()[0]
+    return first
+
+
 def escape(value: str) -> str:
     """``value`` for git's basic author patterns."""
     return re.sub(r"([.+*?^$\[\]\\])", r"\\\1", value)

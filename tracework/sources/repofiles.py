@@ -13,7 +13,7 @@ def files(spark: SparkSession, root: str, repo_id: str = "repo") -> DataFrame:
     """(repo_id, path, file_pos, size, content): every file under ``root`` by relative path; contents of small ones as text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = F.lit(root.rstrip("/") + "/")
-    f = raw.select(F.lit(repo_id).alias("repo_id"), F.split_part(F.regexp_replace("path", "^file:/*", "/"), prefix, F.lit(2)).alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= MAX_FILE_SIZE, F.decode("content", F.lit("UTF-8"))).alias("content"))
+    f = raw.select(F.lit(repo_id).alias("repo_id"), F.split_part(F.regexp_replace("path", "^file:/*", "/"), prefix, F.lit(2)).alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= MAX_FILE_SIZE, F.decode("content", "UTF-8")).alias("content"))
     return index_events(f, ["repo_id"], ["path"], "file_pos")
 
 
