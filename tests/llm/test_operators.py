@@ -91,6 +91,8 @@ def test_substrings(docs, empty):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect()]
     assert as_counts(got) == as_counts(want)
     assert sum(r[2] for r in want) > 1000
+    texts = {(r.doc_id, r.kept_sha256): r.kept_text for r in substrings.dedup_substrings(docs, with_text=True).collect()}
+    assert all(hashlib.sha256(t.encode()).hexdigest() == h for (_, h), t in texts.items())
     assert substrings.dedup_substrings(empty).collect() == []
 
 

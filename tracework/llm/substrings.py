@@ -234,4 +234,4 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     cut = rows.join(found, "k", "left").select("k", "text", "starts")
     out = cut.mapInArrow(_cut(width), "k long, n_words long, n_removed long, kept_sha256 string, removed_spans string, kept binary")
     cols = [real_id("k").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "removed_spans"]
-    return out.select(*cols, *([F.decode("kept", F.lit("UTF-8")).alias("kept_text")] if with_text else []))
+    return out.select(*cols, *([F.decode("kept", "UTF-8").alias("kept_text")] if with_text else []))
