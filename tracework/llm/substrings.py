@@ -15,7 +15,7 @@ from .common import id_column, partitions, real_id
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Words whose hashes a worker remembers, and windows that one map chunk holds.
-_REMEMBERED, CHUNK_WINDOWS = 1_000_000, 3_000_000
+_REMEMBERED, CHUNK_WINDOWS = 1_000_000, 2_000_000
 
 
 class _WordHash(dict):
@@ -132,38 +132,54 @@ def _map_windows(width: int, buckets: int):
     return run
 
 
-def _reduce_bucket(group: pa.Table) -> pa.Table:
-    blobs = group.column("hashes").combine_chunks()
-    keys, docs, starts, out_doc, out_start = [], [], [], [], []
-    for h, places, repeated in zip(blobs, group.column("places"), group.column("repeated"), strict=True):
-        if repeated.is_valid:
-            d, s = _unpack(repeated.as_py())
-            out_doc.append(d)
-            out_start.append(s)
-            continue
-        raw = np.frombuffer(h.as_py(), np.uint8).reshape(-1, 7)
-        key = np.zeros((len(raw), 8), np.uint8)
-        key[:, 1:] = raw
-        keys.append(key.view(np.uint64).ravel())
-        d, s = _unpack(places.as_py())
-        docs.append(d)
-        starts.append(s)
-    if keys:
-        key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
-        del keys, docs, starts
-        by = np.argsort(key, kind="stable")
-        k = key[by]
-        shared = np.r_[k[1:] == k[:-1], False] | np.r_[False, k[1:] == k[:-1]]
-        by = by[shared]
-        by = by[np.lexsort((start[by], doc[by], key[by]))]
-        k, d, s = key[by], doc[by], start[by]
-        if len(k):
-            lead = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0))
-            later = (d != d[lead]) | (s != s[lead])
-            out_doc.append(d[later])
-            out_start.append(s[later])
-    doc = np.concatenate(out_doc) if out_doc else np.empty(0, np.int64)
-    start = np.concatenate(out_start) if out_start else np.empty(0, np.int64)
+def _reduce_bucket(lots: int):
+    def run(group: pa.Table) -> pa.Table:
+        blobs = group.column("hashes").combine_chunks()
+        keys, docs, starts, out_doc, out_start = [], [], [], [], []
+        for h, places, repeated in zip(blobs, group.column("places"), group.column("repeated"), strict=True):
+            if repeated.is_valid:
+                d, s = _unpack(repeated.as_py())
+                out_doc.append(d)
+                out_start.append(s)
+                continue
+            raw = np.frombuffer(h.as_py(), np.uint8).reshape(-1, 7)
+            key = np.zeros((len(raw), 8), np.uint8)
+            key[:, 1:] = raw
+            keys.append(key.view(np.uint64).ravel())
+            d, s = _unpack(places.as_py())
+            docs.append(d)
+            starts.append(s)
+        if keys:
+            key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
+            del keys, docs, starts
+            by = np.argsort(key, kind="stable")
+            k = key[by]
+            shared = np.r_[k[1:] == k[:-1], False] | np.r_[False, k[1:] == k[:-1]]
+            by = by[shared]
+            by = by[np.lexsort((start[by], doc[by], key[by]))]
+            k, d, s = key[by], doc[by], start[by]
+            if len(k):
+                lead = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0))
+                later = (d != d[lead]) | (s != s[lead])
+                out_doc.append(d[later])
+                out_start.append(s[later])
+        doc = np.concatenate(out_doc) if out_doc else np.empty(0, np.int64)
+        start = np.concatenate(out_start) if out_start else np.empty(0, np.int64)
+        # what is repeated goes on in one piece for each lot of documents
+        lot = ((doc.view(np.uint64) * _MIX) >> np.uint64(33)) % np.uint64(lots)
+        by = np.lexsort((start, doc, lot))
+        doc, start, lot = doc[by], start[by], lot[by]
+        full, first = np.unique(lot, return_index=True)
+        ends = np.r_[first[1:], len(doc)]
+        blobs = [_pack(doc[a:b], start[a:b]) for a, b in zip(first, ends, strict=True)]
+        return pa.table({"lot": pa.array(full.astype(np.int32)), "repeated": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _merge_lot(group: pa.Table) -> pa.Table:
+    parts = [_unpack(x.as_py()) for x in group.column("repeated")]
+    doc, start = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     by = np.lexsort((start, doc))
     doc, start = doc[by], start[by].astype(np.uint32)
     ids, first = np.unique(doc, return_index=True)
@@ -171,9 +187,9 @@ def _reduce_bucket(group: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(ids, pa.int64()), "starts": pa.array([start[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
 
-def intervals(starts: list[bytes] | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+def intervals(starts: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal [begin, end) word intervals that the windows at ``starts`` cover."""
-    at = np.unique(np.frombuffer(b"".join(starts or ()), np.uint32)).astype(np.int64)
+    at = np.unique(np.frombuffer(starts or b"", np.uint32)).astype(np.int64)
     if not len(at):
         return at, at
     new = np.r_[True, np.diff(at) > width]
@@ -186,13 +202,14 @@ def repeated_windows(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     Every window of every whole text is hashed (Rabin-Karp over 64-bit word hashes) and counted:
     a map chunk keeps the first of equal windows and knows the others for repeated, so one window
     reaches its bucket once a chunk however often it occurs; buckets get 7 bytes of hash and
-    about one byte of place a window. A window is known by those 56 bits and its bucket.
+    about one byte of place a window. A window is known by those 56 bits and its bucket. Buckets and
+    lots send each other one row at most, so rows don't grow with the windows of a document.
     """
     n = buckets or partitions(docs.sparkSession)
     rows = docs.select(id_column(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
     dealt = rows.mapInArrow(_map_windows(width, n), "bucket int, hashes binary, places binary, repeated binary")
-    found = dealt.groupBy("bucket").applyInArrow(_reduce_bucket, "k long, starts binary")
-    return found.groupBy("k").agg(F.collect_list("starts").alias("starts"))
+    found = dealt.groupBy("bucket").applyInArrow(_reduce_bucket(n), "lot int, repeated binary")
+    return found.groupBy("lot").applyInArrow(_merge_lot, "k long, starts binary")
 
 
 def _cut(width: int):
