@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; of rows that share it, one."""
     groups = simhash.near_duplicates(docs)
-    keep = groups.select(F.coalesce("component_id", F.lit(None)).alias("c")).distinct().select(id_column("c").alias("__keep"))
+    keep = groups.select(id_column("component_id").alias("__keep")).distinct()
     rows = docs.withColumn("__keep", id_column("doc_id"))
     return rows.join(keep, "__keep", "left_semi").dropDuplicates(["__keep"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -83,6 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another on ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

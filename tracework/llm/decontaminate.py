@@ -91,7 +91,6 @@ def align(item: np.ndarray, seq: np.ndarray) -> tuple[int, int]:
 
 
 def _seed_rows(block: Block):
-    reach = max((len(i) for i in block.items), default=0)
     ends = [(max(len(block.items[i]) - at for i, at in places), max(at for _, at in places)) for places in block.places]
     after, before = (np.array([e[k] for e in ends], np.int64) for k in (0, 1))
 
@@ -123,7 +122,6 @@ def _seed_rows(block: Block):
                 names=["k", "at", "seeds", "seq"],
             )
 
-    assert reach < 2**31
     return run
 
 
