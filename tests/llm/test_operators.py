@@ -333,6 +333,29 @@ def test_decontaminate(spark, empty):
     assert decontaminate.contaminated(empty, bench).collect() == []
 
 
+def test_copies_with_few_trigrams_left(spark):
+    """Copies that lost more than half of their item's trigrams are met, with and without verbatim copies elsewhere."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, 40)) for i in range(13)]
+    rows = [(i, prose(rng, 150)) for i in range(20)]
+    for i, text in items[:12]:
+        # each item has one worn copy, and none, one or three verbatim ones
+        w = text.split()
+        worn = [" ".join(x if k % 4 else "changed" for k, x in enumerate(w)), " ".join(x if k % 5 else "changed" for k, x in enumerate(w)), " ".join(w[:20]), " ".join(w[20:])][i % 4]
+        rows += [(100 + i, f"{prose(rng, 30)} {worn} {prose(rng, 30)}")]
+        rows += [(200 + 10 * i + j, f"{prose(rng, 9)} {text}") for j in range((0, 1, 3)[i // 4])]
+    # a copy with words put in between, more than half of its item's length
+    w = items[12][1].split()
+    rows += [(400, " ".join(w[:20]) + " " + prose(rng, 24) + " " + " ".join(w[20:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, text in rows:
+        best = max((brute_alignment(t.split(), text.split()) / (2 * len(t.split())), -i) for i, t in items)
+        assert got[k].contaminated == (best[0] >= 0.5), k
+        assert not got[k].contaminated or (got[k].item_id, got[k].score) == (-best[1], round(best[0], 6)), k
+    assert all(got[100 + i].contaminated for i in range(12)) and got[400].contaminated
+
+
 def brute_alignment(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, real_id, written
+from .common import id_column, real_id
 
 #: Words of a seed; score of a match, a changed word and a gap; share of an item's best score from which a passage counts as a copy.
 SEED_WORDS, MATCH, MISMATCH, GAP, COPY = 3, 2, -1, -1, 0.5
@@ -90,12 +90,32 @@ def align(item: np.ndarray, seq: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _seed_rows(block: Block):
-    ends = [(max(len(block.items[i]) - at for i, at in places), max(at for _, at in places)) for places in block.places]
-    after, before = (np.array([e[k] for e in ends], np.int64) for k in (0, 1))
+def _passage_rows(block: Block, copy: float):
+    sizes = np.array([len(seq) for seq in block.items], np.int64)
+    counts = np.array([len(places) for places in block.places], np.int64)
+    first = np.cumsum(counts) - counts
+    places = np.array([p for places in block.places for p in places], np.int64).reshape(-1, 2)
+
+    def windows(n: int, pos: np.ndarray, seed: np.ndarray):
+        """(item, begin, stop) of the windows around each item's hits, merged where they meet.
+
+        A local alignment has no more gaps beyond a seed than its matches there can pay for, two
+        each, so no alignment through a seed leaves three times the item's words on that side.
+        """
+        take = counts[seed]
+        mine = np.repeat(first[seed] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+        item, at = places[mine].T
+        pos = np.repeat(pos, take)
+        lo = np.maximum(pos - 3 * at, 0)
+        hi = np.minimum(pos + 3 * (sizes[item] - at), n)
+        by = np.lexsort((lo, item))
+        item, base = item[by], item[by] * (n + 1)
+        lo, top = lo[by] + base, np.maximum.accumulate(hi[by] + base)
+        new = np.r_[True, lo[1:] > top[:-1]]
+        return item[new].tolist(), (lo - base)[new].tolist(), (top - base)[np.r_[new[1:], True]].tolist()
 
     def run(batches):
-        vocabulary = Vocabulary(block.words)
+        vocabulary, present = Vocabulary(block.words), np.zeros(len(block.words) + 1, bool)
         for batch in batches:
             out = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -105,39 +125,19 @@ def _seed_rows(block: Block):
                 pos, seed = block.hits(seq)
                 if not len(pos):
                     continue
-                # windows around the hits, with room for inserted words, merged where they meet
-                lo = np.maximum(pos - before[seed] - before[seed] // 2 - 8, 0)
-                hi = np.minimum(pos + after[seed] + after[seed] // 2 + 8, len(seq))
-                by = np.argsort(lo, kind="stable")
-                top = np.maximum.accumulate(hi[by])
-                new = np.r_[True, lo[by][1:] > top[:-1]]
-                begin, stop = lo[by][new], top[np.r_[new[1:], True]]
-                group = np.searchsorted(begin, pos, "right") - 1
-                for g in range(len(begin)):
-                    mine = group == g
-                    out.append((k, int(begin[g]), np.unique(seed[mine]).astype(np.int32), seq[begin[g] : stop[g]].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())]
-                + [pa.array([r[2] for r in out], pa.list_(pa.int32())), pa.array([r[3].tobytes() for r in out], pa.binary())],
-                names=["k", "at", "seeds", "seq"],
-            )
-
-    return run
-
-
-def _align_rows(block: Block, rare: np.ndarray, copy: float):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for k, at, seeds, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                seq = np.frombuffer(raw, np.int32).astype(np.int64)
-                for item in {i for s in seeds for i, place in block.places[s] if rare[i][place]}:
-                    words = block.items[item]
-                    score, end = align(words, seq)
+                for item, begin, stop in zip(*windows(len(seq), pos, seed), strict=True):
+                    words, part = block.items[item], seq[begin:stop]
+                    # words that the window lacks can't match, so no alignment scores more than those it has
+                    present[part] = True
+                    within = np.count_nonzero(present[words])
+                    present[part] = False
+                    if within / len(words) < copy:
+                        continue
+                    score, end = align(words, part)
                     share = score / (MATCH * len(words))
                     if share >= copy:
-                        _, length = align(words[::-1], seq[:end][::-1])
-                        out.append((k, block.ids[item], share, at + end - length, at + end))
+                        _, length = align(words[::-1], part[:end][::-1])
+                        out.append((k, block.ids[item], share, begin + end - length, begin + end))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
                 names=["k", "item", "score", "begin", "end"],
@@ -156,32 +156,16 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Block(sorted({(r.k, r.text or "") for r in mine.collect()}))
 
 
-def _rare(block: Block, counts: dict[int, int]) -> list[np.ndarray]:
-    """For each item, which of its n-grams are seeds: those in no more documents than its median n-gram.
-
-    At least half of an item's n-grams stay, wherever a copy was edited and however many copies there are.
-    """
-    order = {k: s for s, k in enumerate(block.sorted.tolist())}
-    out = []
-    for seq in block.items:
-        n = np.array([counts.get(order[k], 0) for k in block.keys(seq).tolist()])
-        out.append(n <= np.median(n) if len(n) else n.astype(bool))
-    return out
-
-
 def passages(docs: DataFrame, benchmark: DataFrame, copy: float = COPY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
     """(k, item, score, begin, end): where documents hold copies of benchmark items, in words; None for an empty benchmark.
 
-    Each block's scan of the whole texts keeps, of documents that share an n-gram, the windows
-    around it; document frequencies of the n-grams come from these rows, so from all documents.
+    Each block's scan of the whole texts takes every n-gram that a document shares with an item as a
+    seed, however frequent it is, and aligns the windows around an item's seeds with it.
     """
     rows = docs.select(id_column(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = None
     for block in blocks(benchmark):
-        near = written(rows.mapInArrow(_seed_rows(block), "k long, at long, seeds array<int>, seq binary"))
-        met = near.select("k", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("n"))
-        rare = _rare(block, {r.seed: r.n for r in met.collect()})
-        got = near.mapInArrow(_align_rows(block, rare, copy), "k long, item long, score double, begin long, end long")
+        got = rows.mapInArrow(_passage_rows(block, copy), "k long, item long, score double, begin long, end long")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -191,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, copy: float = COPY) -> D
 
     A copy aligns with at least ``copy`` of the item's best possible score (local alignment: match 2,
     changed word -1, gap -1), verbatim 1.0. Words are lower-cased and freed of marks around them.
-    Items of fewer than three words have no seeds and are never met. Null texts hold nothing. Rows
+    A copy without three words in a row of its item, and an item of fewer, have no seeds and are never met. Null texts hold nothing. Rows
     that share an id are one document. The benchmark's repeated rows count once.
     """
     ids = docs.select(id_column("doc_id").alias("k")).distinct()
