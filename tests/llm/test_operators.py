@@ -250,6 +250,29 @@ def test_pii_terms(spark, empty):
     assert pii.personal_data(empty).collect() == []
 
 
+def test_terms_of_rare_entities(spark):
+    """Two documents are enough for an entity, and a term counts and is marked anywhere in them; near copies and a single document aren't."""
+    rng = random.Random(16)
+    mail = "regards from here bob@site.org bye for now"
+    rows = [(i, f"{prose(rng, 20)} Zorblax {prose(rng, 30)} {mail} {prose(rng, 20)} zorblax") for i in range(2)]
+    near = prose(rng, 60).split()
+    rows += [(10 + i, f"Quuxly {' '.join(near[:30])} call {('one', 'two')[i]} 10.0.0.1 {' '.join(near[30:])}") for i in range(2)]
+    rows += [(20, f"{prose(rng, 20)} Plimsy {prose(rng, 9)} 10.0.0.2"), *((100 + i, f"{prose(rng, 40)} regards from here bye for now call") for i in range(400))]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        terms = [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[k].spans.split(",") if s.startswith("term")]
+        assert terms == (["Zorblax", "zorblax"] if k < 2 else []) and got[k].n_terms == len(terms), k
+
+
+def test_terms_are_outside_spans():
+    rng = random.Random(17)
+    for _ in range(500):
+        text = "".join(rng.choice(["ab", "c", "_", " ", "12", "é", "-", "DE"]) for _ in range(rng.randint(1, 30)))
+        spans = [(0, a, a + rng.randint(1, 9)) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 4)))]
+        want = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", text) if len(m[0]) > 1 and not m[0].isdigit() and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        assert pii.terms_of(text, spans) == want
+
+
 def test_sanitised():
     assert pii.sanitised("mail a@b.co or zed now", "email:5:11", [(15, 18, False), (19, 22, True)]) == "mail <email> or <term> "
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import id_column, real_id, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that count as its context; different contexts that must speak for a disclosure.
-REACH, SUPPORT = 5, 3
+#: Chance that any term of the corpus passes for disclosing though it meets its entity by accident.
+ALPHA = 0.05
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.85, 0.95
 #: Candidate terms that one scan of the documents counts; more are taken in blocks.
@@ -29,7 +29,6 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_NEXT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -79,60 +78,51 @@ def _entity(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode()) - 2**63
 
 
-def _words_near(text: str, begin: int, end: int) -> list[re.Match]:
-    """Matches of the ``REACH`` words before and after a span."""
-    width, low = 64, begin
-    before: list[re.Match] = []
-    while low > 0 and len(before) <= REACH:
-        low = max(0, begin - width)
-        before = list(_NEXT.finditer(text, low, begin))
-        width *= 4
-    after = []
-    for m in _NEXT.finditer(text, end):
-        after.append(m)
-        if len(after) == REACH:
-            break
-    return before[-REACH:] + after
-
-
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
-    """(entity, context, term, begin, end) of the terms near each span, outside all spans."""
-    taken = sorted((a, b) for _, a, b in spans)
-    out = []
-    for kind, a, b in spans:
-        terms = []
-        for m in _words_near(text, a, b):
-            for w in _WORD.finditer(m[0]):
-                x, y = m.start() + w.start(), m.start() + w.end()
-                if len(w[0]) > 1 and not w[0].isdigit() and not any(p < y and x < q for p, q in taken):
-                    terms.append((w[0].lower(), x, y))
-        around = xxhash.xxh3_64_intdigest(" ".join(t for t, _, _ in terms).encode("utf-8", "surrogatepass")) - 2**63
-        ent = _entity(kind, text[a:b])
-        out += [(ent, around, *t) for t in terms]
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, begin, end) of the whole text's words of two characters or more outside all spans, numbers left out."""
+    taken, at, low, out = sorted((a, b) for _, a, b in spans), 0, 0, []
+    for w in _WORD.finditer(text):
+        x, y = w.span()
+        while at < len(taken) and taken[at][0] < y:
+            low = max(low, taken[at][1])
+            at += 1
+        if x >= low and y - x > 1 and not w[0].isdigit():
+            out.append((w[0].lower(), x, y))
     return out
 
 
-_FOUND = "k long, t long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, near array<struct<entity:long,context:long,term:string,begin:int,end:int>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
+def origins(terms: list[str]) -> tuple[int, ...]:
+    """Three min-hashes of the terms' trigrams: most are equal for near copies, few for texts that only share a passage."""
+    if not terms:
+        return 0, 0, 0
+    h = np.array([xxhash.xxh3_64_intdigest(" ".join(terms[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(terms) - 2))], np.uint64)
+    return tuple(int((h * np.uint64(odd)).min()) - 2**63 for odd in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+
+_FOUND = "k long, t long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<long>, origin1 long, origin2 long, origin3 long, near array<struct<term:string,begin:int,end:int>>"
 
 
 def _find(batches):
-    names = ["entity", "context", "term", "begin", "end"]
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(10)]
+        ends, near = [0], ([], [], [])
         for text in batch.column(2):
             text = text.as_py() or ""
             spans = base_spans(text)
             line = joined(spans)
             for kind in range(4):
                 cols[kind].append(sum(s[0] == kind for s in spans))
-            cols[4].append(line)
-            cols[5].append(hashlib.sha256(line.encode()).hexdigest())
-            cols[6].append([dict(zip(names, c, strict=True)) for c in contexts(text, spans)] if spans else [])
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [_NEAR]
+            terms = terms_of(text, spans) if spans else []
+            for col, value in zip(cols[4:], (line, hashlib.sha256(line.encode()).hexdigest(), sorted({_entity(k, text[a:b]) for k, a, b in spans}), *origins([t for t, _, _ in terms])), strict=True):
+                col.append(value)
+            for col, values in zip(near, zip(*terms, strict=True), strict=False):
+                col.extend(values)
+            ends.append(len(near[0]))
+        places = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(near, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["term", "begin", "end"])
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.int64())] + [pa.int64()] * 3
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1)] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-            names=["k", "t", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near"],
+            [batch.column(0), batch.column(1)] + [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)],
+            names=["k", "t", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "origin1", "origin2", "origin3", "near"],
         )
 
 
@@ -180,32 +170,54 @@ def text_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach_support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _accident(n_origins, m, n, n_docs: int):
+    """Upper bound of log2 of the chance that ``m`` of an entity's ``n_origins`` documents hold a term of ``n`` documents.
+
+    C(n_origins, m) (n / n_docs)^m, the binomial by its entropy bound, which is exact where all of them hold it.
+    """
+    rest = n_origins - m
+    ways = m * F.log2(n_origins / m) + F.when(rest > 0, rest * F.log2(n_origins / F.nullif(rest, F.lit(0)))).otherwise(0.0)
+    return ways + m * F.log2(F.least(n / F.lit(n_docs), F.lit(1.0)))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row for each row of ``docs``: k, t (hash of the text), counts of the base kinds, base and base_sha256, and ``terms``: (begin, end, removed) of disclosing terms.
 
     A term t discloses the share PMI(c; t) / IC(c) of an entity c, with IC(c) = -log2 p(c) and
     PMI(c; t) = log2 p(c, t) / (p(c) p(t)), probabilities from document frequencies over the whole
-    corpus; p(c, t) counts documents with t in the context of c. A share above ``generalise``
-    (``remove``) in at least ``reach_support`` different contexts marks t wherever it stands in the
-    context of c. Copies of one text are one context, so they disclose nothing by themselves.
+    corpus; p(c, t) counts documents that hold both, however far apart. A share above ``generalise``
+    (``remove``) marks t wherever it stands in the documents of c, unless the two may have met by
+    accident: the chance of that, times the number of terms beside all documents' entities, must
+    not exceed ``alpha``. Copies and near copies of one text are one document there, so they disclose nothing
+    by themselves, and the words of an entity's only document hardly ever do.
     """
     rows = docs.select(id_column(id_col).alias("k"), text_hash(text_col).alias("t"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = written(rows.mapInArrow(_find, _FOUND))
-    near = found.where(F.size("near") > 0).select("k", "t", F.explode("near").alias("x")).select("k", "t", "x.*")
-    pairs = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    pairs = written(pairs.where(F.col("contexts") >= reach_support))
-    terms = pairs.select("term").distinct()
-    counts = written(frequencies(docs, terms, text_col))
-    in_docs = near.join(pairs.select("entity", "term"), ["entity", "term"]).select("k", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = near.select("k", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_docs = found.count()
-    told = in_docs.join(entities, "entity").join(counts, "term")
+    by = ("origin1", "origin2", "origin3")
+    held = found.where(F.size("entities") > 0).select("k", "t", *by, F.explode("entities").alias("entity"), F.array_distinct(F.transform("near", lambda x: x.term)).alias("near"))
+    met = [F.count("*").alias("n"), F.sort_array(F.array(*map(F.count_distinct, by)))[1].alias("origins")]
+    tests = held.agg(F.sum(F.size("near"))).first()[0] or 1
+    sure = F.lit(float(np.log2(alpha / max(tests, 1))))
+    entities = held.groupBy("entity").agg(*met).withColumnsRenamed({"n": "n_entity", "origins": "entity_origins"})
+    # no term can do better than to stand in every document of its entity and in no other
+    entities = written(entities.where((F.col("n_entity") < n_docs) & (_accident(F.col("entity_origins"), F.col("entity_origins"), F.col("entity_origins"), n_docs) <= sure)))
+    pairs = held.join(entities.select("entity"), "entity", "left_semi").select("entity", *by, F.explode("near").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(*met).withColumnRenamed("n", "n_both")
+    # the same bound for each term; one that fails it needs no count over the corpus
+    told = pairs.join(entities, "entity").withColumn("known", F.least("origins", "entity_origins"))
+    told = written(told.where(_accident(F.col("entity_origins"), F.col("known"), F.col("known"), n_docs) <= sure))
+    counts = written(frequencies(docs, told.select("term").distinct(), text_col))
     information = F.log2(F.lit(n_docs) / F.col("n_entity"))
     share = (information + F.log2(F.least(F.col("n_both") / F.col("n"), F.lit(1.0)))) / information
-    told = told.where(F.col("n_entity") < n_docs).select("entity", "term", share.alias("share")).where(F.col("share") > generalise)
-    marks = near.join(told, ["entity", "term"]).groupBy("k", "t", "begin", "end").agg(F.max(F.col("share") > remove).alias("removed"))
-    marks = marks.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "removed"))).alias("terms"))
-    return found.drop("near").join(marks, ["k", "t"], "left")
+    others = F.greatest(F.col("n") - F.col("n_both"), F.lit(0))
+    told = told.join(counts, "term").withColumn("share", share).where(F.col("share") > generalise)
+    told = told.where(_accident(F.col("entity_origins"), F.col("known"), others + F.col("known"), n_docs) <= sure).select("entity", "term", (F.col("share") > remove).alias("removed"))
+    marks = held.select("k", "t", "entity").join(told, "entity").groupBy("k", "t", "term").agg(F.max("removed").alias("removed"))
+    marks = marks.groupBy("k", "t").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("told"))
+    terms = F.transform(F.filter("near", lambda x: F.map_contains_key("told", x.term)), lambda x: F.struct(x.begin.alias("begin"), x.end.alias("end"), F.element_at("told", x.term).alias("removed")))
+    out = found.join(marks, ["k", "t"], "left").withColumn("terms", F.when(F.col("told").isNotNull(), terms))
+    return out.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms"))).drop("entities", *by, "near", "told")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
