@@ -155,7 +155,7 @@ def domains(spark, sf_dir):
 
 
 def display_formats(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     n = F.floor(F.col("o_totalprice")).cast("long")
     return o.select("o_orderkey", T.thousands(n).alias("price"), T.duration(n % 20000).alias("took"))
 
