@@ -18,22 +18,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.with_score(docs, model).where(F.col(quality.SCORE) >= quality.GOOD).drop(quality.SCORE)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a number of each id and text, as rows may share an id or have none."""
+    return docs.withColumn("__row", F.xxhash64(id_column("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; of rows that share it, one."""
-    groups = simhash.near_duplicates(docs)
-    keep = groups.select(id_column("component_id").alias("__keep")).distinct()
-    rows = docs.withColumn("__keep", id_column("doc_id"))
-    return rows.join(keep, "__keep", "left_semi").dropDuplicates(["__keep"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near duplicates, the one with the smallest id; of rows that share it in a group, one."""
+    rows = _with_row(docs)
+    groups = simhash.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    ids = rows.select("__row", id_column("doc_id").alias("k")).distinct()
+    keep = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("k", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
-    found = decontaminate.passages(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a copy of a benchmark item; rows that share an id are judged each."""
+    rows = _with_row(docs)
+    found = decontaminate.passages(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
     if found is None:
         return docs
-    bad = written(found.select(F.col("k").alias("__bad")).distinct())
-    rows = docs.withColumn("__bad", id_column("doc_id"))
-    return rows.join(bad, "__bad", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = written(found.select(F.col("k").alias("__row")).distinct())
+    return rows.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _clean(at: int, batches):

@@ -51,6 +51,20 @@ def test_stages(spark, tables):
     assert all(r.copies in (1, 2, 3) and r.taken == r.copies * len(r.text.split()) for r in kept["mixing"].values())
 
 
+def test_rows_that_share_an_id(spark, tables):
+    """Different texts with one id or none are documents of their own; equal ones are not."""
+    rng = random.Random(22)
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").first().text
+    texts = [prose(rng, 60) for _ in range(12)]
+    rows = [*((None, t) for t in texts[:6]), *((5, t) for t in texts[6:]), (9, texts[0]), (5, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, tables)
+    assert sorted(r.text for r in kept.collect()) == sorted(texts)
+    bad = [(None, f"{texts[0]} {item}"), (5, f"{texts[6]} {item}")]
+    clean = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows + bad, docs.schema), tables)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+
+
 def test_run_agrees_with_the_stages(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
