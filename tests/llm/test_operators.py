@@ -73,21 +73,28 @@ def components(n, pairs):
 # --- op9 ---
 
 
-def test_substrings(docs, empty):
-    order = sorted(corpus(), key=lambda r: (-1 if r[0] is None else r[0]))
+def brute_substrings(rows):
+    """(doc, words, words removed, hash of the rest) by a table of all windows; texts that share an id come in the order of their hashes."""
+    def place(doc, text, s=0):
+        return doc is not None, doc or 0, np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).astype(np.int64), s
+
     seen, want = {}, []
-    for doc, text in order:
+    for doc, text in sorted(rows, key=lambda r: place(*r)):
         w = words(text)
         for s in range(len(w) - 19):
-            key = tuple(w[s : s + 20])
-            seen.setdefault(key, (doc is not None, doc, s))
-    for doc, text in order:
+            seen.setdefault(tuple(w[s : s + 20]), place(doc, text, s))
+    for doc, text in rows:
         w, gone = words(text), set()
         for s in range(len(w) - 19):
-            if seen[tuple(w[s : s + 20])] != (doc is not None, doc, s):
+            if seen[tuple(w[s : s + 20])] != place(doc, text, s):
                 gone.update(range(s, s + 20))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return want
+
+
+def test_substrings(docs, empty):
+    want = brute_substrings(corpus())
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect()]
     assert as_counts(got) == as_counts(want)
     assert sum(r[2] for r in want) > 1000
@@ -96,26 +103,38 @@ def test_substrings(docs, empty):
     assert substrings.dedup_substrings(empty).collect() == []
 
 
+def test_substrings_of_texts_that_share_an_id(spark):
+    """A text keeps its words though another text of its id repeats; texts without an id are documents of their own."""
+    rng = random.Random(31)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, d), (None, f"{d} {c}"), (3, c), (4, f"{b} {b}"), (5, prose(rng, 30)), (5, None), (2, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(df).collect()]
+    assert as_counts(got) == as_counts(brute_substrings(rows))
+    assert (2, 40, 0, hashlib.sha256(b.encode()).hexdigest()) in got
+
+
 def test_substring_chunks_agree(docs, monkeypatch):
     """Small map chunks and many buckets give the same windows."""
-    one = {r.k: r.starts for r in substrings.repeated_windows(docs, buckets=2).collect()}
+    one = {(r.k, r.t): r.starts for r in substrings.repeated_windows(docs, buckets=2).collect()}
     monkeypatch.setattr(substrings, "CHUNK_WINDOWS", 200)
-    assert one == {r.k: r.starts for r in substrings.repeated_windows(docs, buckets=31).collect()}
+    assert one == {(r.k, r.t): r.starts for r in substrings.repeated_windows(docs, buckets=31).collect()}
 
 
 def test_rolling_hash_is_exact():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 200, dtype=np.uint64)
     got = substrings.rolling(h, 7)
-    want = [sum(int(h[i + j]) * pow(substrings._BASE, j, 2**64) for j in range(7)) % 2**64 for i in range(len(h) - 6)]
+    want = [sum(int(h[i + j]) * pow(substrings._BASES[0], j, 2**64) for j in range(7)) % 2**64 for i in range(len(h) - 6)]
     assert [int(x) for x in got] == want
 
 
 def test_places_round_trip():
-    doc = np.array([-(2**63), 5, 5, 5, 2**40, 2**40], np.int64)
-    start = np.array([3, 0, 1, 900, 7, 70000], np.int64)
-    d, s = substrings._unpack(substrings._pack(doc, start))
-    assert d.tolist() == doc.tolist() and s.tolist() == start.tolist()
+    ids = np.array([-(2**63), 5, 5, 2**40], np.int64)
+    doc, start = np.array([0, 1, 1, 1, 2, 3, 3]), np.array([3, 0, 1, 900, 2, 7, 70000], np.int64)
+    for text in (np.array([9, -4, 2**62, 0], np.int64), np.zeros(4, np.int64)):
+        got = substrings._unpack(substrings._pack(ids, text, doc, start))
+        assert [x.tolist() for x in got] == [ids[doc].tolist(), text[doc].tolist(), start.tolist()]
 
 
 # --- op6 ---

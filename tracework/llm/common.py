@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracework-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,6 +53,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Remembered(dict):
+    """What ``make`` gives for a word, kept for words of moderate length only and for so many at most, so that its bytes are bounded."""
+
+    def __init__(self, make, most: int = 1_000_000, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, word):
+        value = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
+        return value
+
+
 def id_column(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, embeddings, mixing, pii, quality, simhash, substrings, tokencount, urlrules
@@ -48,6 +47,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the other queries work without it
+
     return tokencount.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKENIZER)))
 
 

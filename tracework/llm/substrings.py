@@ -10,181 +10,185 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, partitions, real_id
+from .common import Remembered, id_column, partitions, real_id
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Words whose hashes a worker remembers, and windows that one map chunk holds.
-_REMEMBERED, CHUNK_WINDOWS = 1_000_000, 2_000_000
+#: Windows that one map chunk holds, and bytes of text whose windows one bucket takes.
+CHUNK_WINDOWS, BUCKET_BYTES = 1_500_000, 24_000_000
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int, base: int = _BASES[0]) -> np.ndarray:
     """Rabin-Karp hash of every ``width`` consecutive entries, modulo 2**64, by differences of prefix sums."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    powers = np.full(len(hashes), _BASE, np.uint64)
+    powers = np.full(len(hashes), base, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers)])
-    back = np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+    back = np.full(n, pow(base, -1, 2**64), np.uint64)
     back[0] = 1
     return (sums[width:] - sums[:-width]) * np.multiply.accumulate(back)
 
 
-def _pack(doc: np.ndarray, start: np.ndarray) -> bytes:
-    """Ordered (doc, start) pairs: distinct ids with counts, then starts as one byte of their gap and a list of the larger rests."""
+def _pack(k: np.ndarray, t: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
+    """Places ordered by document and start: ids and text numbers of the documents met (``doc`` indexes ``k`` and ``t``) with
+    counts, then starts as one byte of their gap and a list of the larger rests. Text numbers that are all zero take no room."""
     ids, first, counts = np.unique(doc, return_index=True, return_counts=True)
     gap = np.diff(start, prepend=0)
     gap[first] = start[first]
     rest = np.flatnonzero(gap >> 8)
-    step = np.diff(ids, prepend=ids[:1])
-    wide = len(ids) and int(step.max(initial=0)) >= 2**32
-    head = np.array([len(doc), len(ids), len(rest), bool(wide), ids[0] if len(ids) else 0], np.int64)
+    key, text = k[ids], t[ids]
+    step = np.diff(key, prepend=key[:1])
+    wide = len(ids) and (int(step.max(initial=0)) >= 2**32 or int(step.min(initial=0)) < 0)
+    told = bool(text.any())
+    head = np.array([len(doc), len(ids), len(rest), bool(wide), told, key[0] if len(ids) else 0], np.int64)
     return b"".join(
-        [head.tobytes(), step.astype(np.int64 if wide else np.uint32).tobytes(), counts.astype(np.uint32).tobytes()]
+        [head.tobytes(), step.astype(np.int64 if wide else np.uint32).tobytes(), text.tobytes() if told else b"", counts.astype(np.uint32).tobytes()]
         + [(gap & 255).astype(np.uint8).tobytes(), rest.astype(np.uint32).tobytes(), (gap[rest] >> 8).astype(np.uint32).tobytes()]
     )
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, k, r, wide, low = np.frombuffer(blob, np.int64, 5).tolist()
-    at = 40
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, t, start) of every place."""
+    n, docs, r, wide, told, low = np.frombuffer(blob, np.int64, 6).tolist()
+    at = 48
     kind = np.int64 if wide else np.uint32
-    step = np.frombuffer(blob, kind, k, at).astype(np.int64)
+    step = np.frombuffer(blob, kind, docs, at).astype(np.int64)
     at += step.size * np.dtype(kind).itemsize
-    counts = np.frombuffer(blob, np.uint32, k, at).astype(np.int64)
-    at += 4 * k
+    text = np.frombuffer(blob, np.int64, docs, at) if told else np.zeros(docs, np.int64)
+    at += 8 * docs * told
+    counts = np.frombuffer(blob, np.uint32, docs, at).astype(np.int64)
+    at += 4 * docs
     gap = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
     at += n
     rest = np.frombuffer(blob, np.uint32, r, at)
     gap[rest] += np.frombuffer(blob, np.uint32, r, at + 4 * r).astype(np.int64) << 8
-    ids = np.cumsum(step) + low if k else step
     total = np.cumsum(gap)
     begin = np.cumsum(counts) - counts
-    base = total[begin] - gap[begin] if k else total[:0]
-    return np.repeat(ids, counts), total - np.repeat(base, counts)
+    base = total[begin] - gap[begin]
+    ids = np.cumsum(step) + low if docs else step
+    return np.repeat(ids, counts), np.repeat(text, counts), total - np.repeat(base, counts)
 
 
 def _map_windows(width: int, buckets: int):
-    def run(batches):
-        words, docs, hashes, held = _WordHash(), [], [], 0
-
-        def flush():
-            order = sorted(range(len(docs)), key=docs.__getitem__)
-            sizes = np.array([len(hashes[i]) for i in order], np.int64)
-            doc = np.repeat(np.array([docs[i] for i in order], np.int64), sizes)
-            start = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            key = np.concatenate([hashes[i] for i in order])
-            # the first (doc, start) of each hash goes on; what follows it here is repeated for certain
-            by = np.argsort(key, kind="stable")
-            same = np.r_[False, key[by][1:] == key[by][:-1]]
-            lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-            later = same & ((doc[by] != doc[lead]) | (start[by] != start[lead]))
-            go = np.sort(by[~same])
-            dup = np.sort(by[later])
-            key_go = key[go]
-            bucket = ((key_go ^ (key_go >> np.uint64(29))) * _MIX >> np.uint64(32)) % np.uint64(buckets)
-            by = np.argsort(bucket.astype(np.int32), kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    i = go[by[cuts[b] : cuts[b + 1]]]
-                    rows.append((b, np.ascontiguousarray(key[i].view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes(), _pack(doc[i], start[i]), None))
-            if len(dup):
-                # any bucket will do for these; they are dealt by document
-                lot = doc[dup] % buckets
-                for b in np.unique(lot).tolist():
-                    i = dup[lot == b]
-                    rows.append((b, None, None, _pack(doc[i], start[i])))
-            docs.clear()
-            hashes.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)],
-                names=["bucket", "hashes", "places", "repeated"],
-            )
+    def flush(docs: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        names = sorted(docs)
+        k, t = (np.array([n[i] for n in names], np.int64) for i in (0, 1))
+        sizes = np.array([len(docs[n]) for n in names], np.int64)
+        flat = np.concatenate([docs[n] for n in names])
+        begin = np.cumsum(sizes) - sizes
+        doc = np.repeat(np.arange(len(names)), sizes)
+        start = np.arange(len(flat)) - begin[doc]
+        whole = np.flatnonzero(start[: len(flat) - width + 1] <= sizes[doc[: len(flat) - width + 1]] - width)
+        doc, start = doc[whole], start[whole]
+        key = rolling(flat, width, _BASES[0])[whole]
+        # the second hash stirs the words' numbers, so that windows must agree in both
+        other = rolling((flat ^ (flat >> np.uint64(31))) * _MIX, width, _BASES[1])[whole]
+        key = (key & ~np.uint64(255)) | (other >> np.uint64(56))
+        tail = (other >> np.uint64(40)).astype(np.uint16)
+        # the first place of each window goes on; what follows it here is repeated for certain
+        by = np.argsort(key, kind="stable")
+        same = np.r_[False, (key[by][1:] == key[by][:-1]) & (tail[by][1:] == tail[by][:-1])]
+        go, dup = np.sort(by[~same]), np.sort(by[same])
+        bucket = ((((other >> np.uint64(4)) & np.uint64(0xFFFFFFFF)) * _MIX >> np.uint64(32)) % np.uint64(buckets))[go]
+        by = np.argsort(bucket.astype(np.int32), kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+        rows = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            i = go[by[cuts[b] : cuts[b + 1]]]
+            rows.append((b, key[i].tobytes() + tail[i].tobytes(), _pack(k, t, doc[i], start[i]), None))
+        if len(dup):
+            # any bucket will do for these; they are dealt by document
+            lot = k[doc[dup]] % buckets
+            for b in np.unique(lot).tolist():
+                i = dup[lot == b]
+                rows.append((b, None, None, _pack(k, t, doc[i], start[i])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
+            names=["bucket", "hashes", "places", "repeated"],
+        )
 
+    def run(batches):
+        words, docs, held = Remembered(xxhash.xxh3_64_intdigest), {}, 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
                 parts = text.encode("utf-8", "surrogatepass").split() if text else ()
-                if len(parts) < width:
+                # equal rows are one document
+                if len(parts) < width or (k, t) in docs:
                     continue
-                h = rolling(np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts)), width)
-                docs.append(doc)
-                hashes.append(h)
-                held += len(h)
+                docs[k, t] = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+                held += len(parts)
                 if held >= CHUNK_WINDOWS:
-                    yield flush()
-                    held = 0
+                    yield flush(docs)
+                    docs, held = {}, 0
         if docs:
-            yield flush()
+            yield flush(docs)
 
     return run
 
 
 def _reduce_bucket(lots: int):
     def run(group: pa.Table) -> pa.Table:
-        blobs = group.column("hashes").combine_chunks()
-        keys, docs, starts, out_doc, out_start = [], [], [], [], []
-        for h, places, repeated in zip(blobs, group.column("places"), group.column("repeated"), strict=True):
+        keys, tails, places, out = [], [], [], []
+        for h, place, repeated in zip(group.column("hashes"), group.column("places"), group.column("repeated"), strict=True):
             if repeated.is_valid:
-                d, s = _unpack(repeated.as_py())
-                out_doc.append(d)
-                out_start.append(s)
+                out.append(_unpack(repeated.as_py()))
                 continue
-            raw = np.frombuffer(h.as_py(), np.uint8).reshape(-1, 7)
-            key = np.zeros((len(raw), 8), np.uint8)
-            key[:, 1:] = raw
-            keys.append(key.view(np.uint64).ravel())
-            d, s = _unpack(places.as_py())
-            docs.append(d)
-            starts.append(s)
+            raw = h.as_py()
+            n = len(raw) // 10
+            keys.append(np.frombuffer(raw, np.uint64, n))
+            tails.append(np.frombuffer(raw, np.uint16, n, 8 * n))
+            places.append(place.as_py())
         if keys:
-            key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
-            del keys, docs, starts
+            key, tail = np.concatenate(keys), np.concatenate(tails)
+            sizes = np.cumsum([0, *map(len, keys)])
+            del keys, tails
             by = np.argsort(key, kind="stable")
-            k = key[by]
-            shared = np.r_[k[1:] == k[:-1], False] | np.r_[False, k[1:] == k[:-1]]
-            by = by[shared]
-            by = by[np.lexsort((start[by], doc[by], key[by]))]
-            k, d, s = key[by], doc[by], start[by]
-            if len(k):
-                lead = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], np.arange(len(k)), 0))
-                later = (d != d[lead]) | (s != s[lead])
-                out_doc.append(d[later])
-                out_start.append(s[later])
-        doc = np.concatenate(out_doc) if out_doc else np.empty(0, np.int64)
-        start = np.concatenate(out_start) if out_start else np.empty(0, np.int64)
+            again = key[by][1:] == key[by][:-1]
+            shared = np.sort(by[np.r_[again, False] | np.r_[False, again]])
+            del by, again
+            # places are unpacked piece by piece, for windows that stand more than once only
+            cuts = np.searchsorted(shared, sizes)
+            parts = [tuple(c[shared[a:b] - n] for c in _unpack(p)) for p, n, a, b in zip(places, sizes, cuts, cuts[1:], strict=False) if a < b]
+            if parts:
+                k, t, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                key, tail = key[shared], tail[shared]
+                by = np.lexsort((s, t, k, tail, key))
+                key, tail, k, t, s = (c[by] for c in (key, tail, k, t, s))
+                new = np.r_[True, (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])]
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+                later = (k != k[lead]) | (t != t[lead]) | (s != s[lead])
+                out.append((k[later], t[later], s[later]))
+        k, t, s = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3))
         # what is repeated goes on in one piece for each lot of documents
-        lot = ((doc.view(np.uint64) * _MIX) >> np.uint64(33)) % np.uint64(lots)
-        by = np.lexsort((start, doc, lot))
-        doc, start, lot = doc[by], start[by], lot[by]
+        lot = ((k.view(np.uint64) ^ (t.view(np.uint64) >> np.uint64(7))) * _MIX >> np.uint64(33)) % np.uint64(lots)
+        by = np.lexsort((s, t, k, lot))
+        k, t, s, lot = k[by], t[by], s[by], lot[by]
         full, first = np.unique(lot, return_index=True)
-        ends = np.r_[first[1:], len(doc)]
-        blobs = [_pack(doc[a:b], start[a:b]) for a, b in zip(first, ends, strict=True)]
+        blobs = [_pack(*_docs(k[a:b], t[a:b]), s[a:b]) for a, b in zip(first, np.r_[first[1:], len(k)][: len(first)], strict=True)]
         return pa.table({"lot": pa.array(full.astype(np.int32)), "repeated": pa.array(blobs, pa.binary())})
 
     return run
 
 
+def _docs(k: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct documents of ordered places, and the index of each place's."""
+    new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])][: len(k)]
+    return k[new], t[new], np.cumsum(new) - 1
+
+
 def _merge_lot(group: pa.Table) -> pa.Table:
     parts = [_unpack(x.as_py()) for x in group.column("repeated")]
-    doc, start = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    by = np.lexsort((start, doc))
-    doc, start = doc[by], start[by].astype(np.uint32)
-    ids, first = np.unique(doc, return_index=True)
-    ends = np.r_[first[1:], len(doc)]
-    return pa.table({"k": pa.array(ids, pa.int64()), "starts": pa.array([start[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+    k, t, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    by = np.lexsort((s, t, k))
+    k, t, s = k[by], t[by], s[by].astype(np.uint32)
+    ids, texts, doc = _docs(k, t)
+    first = np.searchsorted(doc, np.arange(len(ids) + 1))
+    blobs = [s[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+    return pa.table({"k": pa.array(ids, pa.int64()), "t": pa.array(texts, pa.int64()), "starts": pa.array(blobs, pa.binary())})
 
 
 def intervals(starts: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,20 +200,39 @@ def intervals(starts: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]
     return at[new], at[np.r_[new[1:], True]] + width
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(k, starts): for each document id, the starts (uint32, little endian) of windows that also start earlier.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(k, t, text) of every row, and the bytes of all texts. t tells texts that share an id apart; it is 0 throughout where no two do."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(id_column(id_col).alias("k"), text.alias("text"))
+    per_id = rows.groupBy("k").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"), F.sum(F.octet_length("text")).alias("bytes"))
+    known = per_id.agg(F.sum("bytes"), F.max((F.col("low") != F.col("high")).cast("int"))).first()
+    t = F.xxhash64("text") if known[1] else F.lit(0).cast("long")
+    return rows.select("k", t.alias("t"), "text"), known[0] or 0
+
+
+def _repeated(rows: DataFrame, width: int, buckets: int) -> DataFrame:
+    dealt = rows.mapInArrow(_map_windows(width, buckets), "bucket int, hashes binary, places binary, repeated binary")
+    found = dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_reduce_bucket(buckets), "lot int, repeated binary")
+    return found.repartitionById(buckets, F.col("lot")).groupBy("lot").applyInArrow(_merge_lot, "k long, t long, starts binary")
+
 
-    Every window of every whole text is hashed (Rabin-Karp over 64-bit word hashes) and counted:
-    a map chunk keeps the first of equal windows and knows the others for repeated, so one window
-    reaches its bucket once a chunk however often it occurs; buckets get 7 bytes of hash and
-    about one byte of place a window. A window is known by those 56 bits and its bucket. Buckets and
-    lots send each other one row at most, so rows don't grow with the windows of a document.
+def repeated_windows(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """(k, t, starts): for each document, the starts (uint32, little endian) of windows that also start earlier.
+
+    A document is an id and a text; t tells texts with one id apart. Every window of every whole
+    text is hashed (Rabin-Karp over 64-bit word hashes, with two bases) and counted: a map chunk
+    keeps the first of equal windows and knows the others for repeated, so one window reaches its
+    bucket once a chunk however often it occurs; buckets get 10 bytes of hash and about two of
+    place a window. A window is known by those 80 bits and its bucket, which other bits choose: among 10**12
+    windows the chance of one false match is about one in the number of buckets. There are as many
+    buckets as the texts' bytes need, each a task of its own and of the same size.
     """
-    n = buckets or partitions(docs.sparkSession)
-    rows = docs.select(id_column(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    dealt = rows.mapInArrow(_map_windows(width, n), "bucket int, hashes binary, places binary, repeated binary")
-    found = dealt.groupBy("bucket").applyInArrow(_reduce_bucket(n), "lot int, repeated binary")
-    return found.groupBy("lot").applyInArrow(_merge_lot, "k long, starts binary")
+    rows, n_bytes = _rows(docs, id_col, text_col)
+    return _repeated(rows, width, buckets or _buckets(docs, n_bytes))
+
+
+def _buckets(docs: DataFrame, n_bytes: int) -> int:
+    return max(partitions(docs.sparkSession), -(-n_bytes // BUCKET_BYTES))
 
 
 def _cut(width: int):
@@ -217,8 +240,7 @@ def _cut(width: int):
         for batch in batches:
             out = []
             for text, starts in zip(batch.column(1), batch.column(2), strict=True):
-                text = text.as_py()
-                parts = text.encode("utf-8", "surrogatepass").split() if text else []
+                parts = text.as_py().encode("utf-8", "surrogatepass").split()
                 begin, end = intervals(starts.as_py(), width)
                 kept, last = [], 0
                 for a, b in zip(begin.tolist(), end.tolist(), strict=True):
@@ -243,12 +265,13 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     input. Returns doc_id, n_words, n_removed, kept_sha256, removed_spans (maximal word intervals
     ``begin:end``) and, if asked, kept_text (kept words joined by one space).
 
-    Null or empty texts have no words. Rows that share an id are one document in the order, so
-    equal rows don't remove each other. A null id orders first. Other columns are ignored.
+    Null or empty texts have no words. Equal rows are one document, so they don't remove each other.
+    Rows that share an id and differ in text are documents of their own, in the order of a hash of
+    their texts; so are rows without an id, which come first. Other columns are ignored.
     """
-    rows = docs.select(id_column(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = repeated_windows(docs, width, id_col, text_col)
-    cut = rows.join(found, "k", "left").select("k", "text", "starts")
+    rows, n_bytes = _rows(docs, id_col, text_col)
+    found = _repeated(rows, width, _buckets(docs, n_bytes))
+    cut = rows.join(found, ["k", "t"], "left").select("k", "text", "starts")
     out = cut.mapInArrow(_cut(width), "k long, n_words long, n_removed long, kept_sha256 string, removed_spans string, kept binary")
     cols = [real_id("k").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "removed_spans"]
     return out.select(*cols, *([F.decode("kept", "UTF-8").alias("kept_text")] if with_text else []))
