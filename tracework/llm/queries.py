@@ -129,8 +129,8 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 FROM kept LEFT JOIN words USING (doc_id)
 """,
     "op10_mixing": rf"""
-WITH sized AS (
-  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-9223372036854775808')), 1, 15) AS BIGINT) AS lot
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-9223372036854775808') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS lot
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weights AS (
@@ -146,12 +146,27 @@ goal AS (
   FROM filling LEFT JOIN level ON TRUE),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds FROM goal),
-taken AS (
+swept AS (
   SELECT s.*, b.source_size, b.target, b.rounds, CAST(floor(b.target) AS BIGINT) - b.rounds * b.source_size AS budget,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.lot RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, size * least(rounds + CASE WHEN upto <= budget THEN 1 ELSE 0 END, 3) AS taken,
-       CAST(least(rounds + CASE WHEN upto <= budget THEN 1 ELSE 0 END, 3) AS BIGINT) AS copies
+  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source),
+spare AS (SELECT source, any_value(budget) - coalesce(sum(size) FILTER (upto <= budget), 0) AS spare FROM swept GROUP BY source),
+further AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.source, w.size ORDER BY w.lot) AS place
+  FROM swept w JOIN spare p ON w.source IS NOT DISTINCT FROM p.source WHERE upto > budget AND size BETWEEN 1 AND spare),
+classes AS (
+  SELECT source, size, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS pos FROM further GROUP BY source, size),
+filled AS (
+  SELECT source, CAST(0 AS BIGINT) AS pos, CAST(spare AS BIGINT) AS rest, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS take FROM spare
+  UNION ALL
+  SELECT f.source, c.pos, f.rest - least(c.n, f.rest // c.size) * c.size, c.size, least(c.n, f.rest // c.size)
+  FROM filled f JOIN classes c ON c.source IS NOT DISTINCT FROM f.source AND c.pos = f.pos + 1),
+extra AS (
+  SELECT w.doc_id, w.source, w.lot FROM further w JOIN filled f ON w.source IS NOT DISTINCT FROM f.source AND w.size = f.size WHERE place <= take),
+taken AS (
+  SELECT w.*, least(w.rounds + CASE WHEN upto <= budget OR e.lot IS NOT NULL THEN 1 ELSE 0 END, 3) AS copies
+  FROM swept w LEFT JOIN extra e ON e.doc_id IS NOT DISTINCT FROM w.doc_id AND e.source IS NOT DISTINCT FROM w.source AND e.lot = w.lot)
+SELECT doc_id, size, source_size, target, size * copies AS taken, CAST(copies AS BIGINT) AS copies
 FROM taken
 """,
 }
