@@ -422,7 +422,7 @@ def test_blocks_cover_the_benchmark(spark):
 # --- op8 ---
 
 
-def test_token_counts(docs, empty, spark):
+def test_token_counts(docs, empty, spark, monkeypatch):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
@@ -436,6 +436,15 @@ def test_token_counts(docs, empty, spark):
     assert as_counts([(r.doc_id, r.n_bytes, r.n_tokens) for r in got]) == as_counts(want)
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
     assert tokencount.token_counts(empty, path).collect() == []
+    monkeypatch.setattr(tokencount, "CHUNK_WORDS", 500)
+    assert as_counts(tokencount.token_counts(df.repartition(3), path, 100).collect()) == as_counts(got)
+    with pytest.raises(ValueError, match="white space"):
+        tokencount.check(str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def test_numbers_by_bytes():
+    for v in ([], [0], [1, 255, 256, 70000, 2**40], [3] * 9):
+        assert tokencount._values(tokencount._planes(np.array(v, np.int64))).tolist() == v
 
 
 # --- op10 ---
