@@ -87,7 +87,7 @@ def _map_windows(width: int, buckets: int):
         # the second hash stirs the words' numbers, so that windows must agree in both
         other = rolling((flat ^ (flat >> np.uint64(31))) * _MIX, width, _BASES[1])[whole]
         key = (key & ~np.uint64(255)) | (other >> np.uint64(56))
-        tail = (other >> np.uint64(40)).astype(np.uint16)
+        tail = (other >> np.uint64(48)).astype(np.uint8)
         # the first place of each window goes on; what follows it here is repeated for certain
         by = np.argsort(key, kind="stable")
         same = np.r_[False, (key[by][1:] == key[by][:-1]) & (tail[by][1:] == tail[by][:-1])]
@@ -138,9 +138,9 @@ def _reduce_bucket(lots: int):
                 out.append(_unpack(repeated.as_py()))
                 continue
             raw = h.as_py()
-            n = len(raw) // 10
+            n = len(raw) // 9
             keys.append(np.frombuffer(raw, np.uint64, n))
-            tails.append(np.frombuffer(raw, np.uint16, n, 8 * n))
+            tails.append(np.frombuffer(raw, np.uint8, n, 8 * n))
             places.append(place.as_py())
         if keys:
             key, tail = np.concatenate(keys), np.concatenate(tails)
@@ -222,9 +222,9 @@ def repeated_windows(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     A document is an id and a text; t tells texts with one id apart. Every window of every whole
     text is hashed (Rabin-Karp over 64-bit word hashes, with two bases) and counted: a map chunk
     keeps the first of equal windows and knows the others for repeated, so one window reaches its
-    bucket once a chunk however often it occurs; buckets get 10 bytes of hash and about two of
-    place a window. A window is known by those 80 bits and its bucket, which other bits choose: among 10**12
-    windows the chance of one false match is about one in the number of buckets. There are as many
+    bucket once a chunk however often it occurs; buckets get 9 bytes of hash and about two of
+    place a window. A window is known by those 72 bits and its bucket, which other bits choose: 10**12
+    windows have some 10**5 buckets, and one false match among them is met with a chance below 0.001. There are as many
     buckets as the texts' bytes need, each a task of its own and of the same size.
     """
     rows, n_bytes = _rows(docs, id_col, text_col)
