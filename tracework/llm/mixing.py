@@ -108,7 +108,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     goal = goal.withColumn("rounds", whole).withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("rounds") * F.col("source_size"))
     goal = written(goal.withColumn("skey", _key(F.col("source"))).drop("source"))
     below = thresholds(sized.select(F.col("skey").alias("key"), "lot", "size"), goal.select(F.col("skey").alias("key"), "budget"))
-    goal = goal.join(below.withColumnRenamed("key", "skey"), "skey").withColumn("spare", F.col("budget") - F.col("held")).drop("budget", "held")
+    # written, so that its size is known: the rows below join it without being dealt by source
+    goal = written(goal.join(below.withColumnRenamed("key", "skey"), "skey").withColumn("spare", F.col("budget") - F.col("held")).drop("budget", "held"))
     # a document larger than what is left is passed over; those after it that fit are taken by size
     rest = sized.join(goal.select("skey", "below", "spare"), "skey").where("lot >= below and size between 1 and spare")
     sizes = rest.groupBy("skey", "size").agg(F.count("*").alias("n")).groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("sizes"))
