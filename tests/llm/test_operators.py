@@ -223,6 +223,23 @@ def test_blocks_find_the_same_links(spark, monkeypatch):
     assert {(r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()} == want
 
 
+def test_links_at_the_threshold_are_met(spark):
+    """Of 500 planted pairs with cosine from 0.95 to 0.951 among 6000 rows, the tables meet the promised share; no pair below 0.95 links."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((5000, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 48))
+    side -= (side * base[:1000]).sum(1, keepdims=True) * base[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    goal = np.r_[rng.uniform(0.95 + 1e-9, 0.951, 500), rng.uniform(0.949, 0.95 - 1e-9, 500)][:, None]
+    vectors = np.concatenate([base, goal * base[:1000] + np.sqrt(1 - goal**2) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    linked = [i for i in range(500) if got[i].n_links == 1 and got[5000 + i].component_id == i]
+    assert len(linked) >= 495
+    assert sum(r.n_links for r in got.values()) == 2 * len(linked) and len(got) == 6000
+
+
 # --- op3 ---
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]

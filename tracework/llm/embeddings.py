@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, id_column, partitions, real_id, written
 
-SEED, RECALL, BLOCK, ROWS_A_LOT = 7, 0.999, 1024, 50_000
+SEED, RECALL, ROWS_A_LOT = 7, 0.999, 50_000
+#: Classes that a bucket of a table should hold, and those from which it is cut into blocks; rows and columns of one product; bits of a sketch.
+BUCKET, BLOCK, TILE, SKETCH = 256, 4096, 1024, 256
 
 
 def tables_for(rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """(bits, tables): bits grow with the logarithm of the rows, tables so that a pair at the threshold is met with probability ``recall``."""
-    bits = max(8, round(math.log2(max(rows, 2) / 32)))
+    bits = max(8, round(math.log2(max(rows, 2) / BUCKET)))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-agree))
 
 
+def differing(threshold: float) -> int:
+    """Bits of a sketch in which a pair at the threshold differs at most, but for one pair in 10**11: seven deviations above the mean."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(SKETCH * p + 7 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def _clean(column: str):
     x = F.transform(F.col(f"`{column}`"), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -35,24 +43,59 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def _sign(bits: int, count: int):
     def run(batches):
         for batch in batches:
-            reps = batch.column("c")
             raw = batch.column("v").to_pylist()
             sizes = np.array([len(v) for v in raw])
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
-                unit = _unit(np.array([raw[i] for i in at], np.float64))
-                planes = np.random.default_rng((SEED, size)).standard_normal((size, bits * count))
-                up = (unit @ planes >= 0).reshape(len(at), count, bits)
-                sig = (up * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(np.int32)
+                vectors = np.array([raw[i] for i in at], np.float64)
+                planes = np.random.default_rng((SEED, size)).standard_normal((size, bits * count + SKETCH))
+                up = _unit(vectors) @ planes >= 0
+                sig = (up[:, : bits * count].reshape(len(at), count, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(np.int32)
+                sketch = np.packbits(up[:, bits * count :], axis=1)
+                # as floats where nothing is lost by it
+                short = vectors.astype(np.float32)
+                stored = [(f if (f == v).all() else v).tobytes() for f, v in zip(short, vectors, strict=True)]
+                held = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [reps.take(pa.array(at)), pa.array(np.full(len(at), size, np.int32)), pa.array([x.tobytes() for x in unit], pa.binary())]
-                    + [pa.array(list(sig), pa.list_(pa.int32()))],
-                    names=["c", "dim", "unit", "sig"],
+                    [held.column("c"), held.column("copies"), pa.array(np.full(len(at), size, np.int32)), pa.array(stored, pa.binary()), pa.array(list(sig), pa.list_(pa.int32()))]
+                    + [pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    names=["c", "copies", "dim", "v", "sig", "sketch"],
                 )
 
     return run
 
 
+def _groups(table: pa.Table, names: tuple[str, ...]):
+    """Index arrays of the rows that agree in ``names``."""
+    cols = [table.column(c).to_numpy() for c in names]
+    by = np.lexsort(cols)
+    new = np.zeros(len(by), bool)
+    for c in cols:
+        new[1:] |= c[by][1:] != c[by][:-1]
+    return np.split(by, np.flatnonzero(new))
+
+
+def _sift(limit: int):
+    """Members of a bucket whose sketch comes within ``limit`` bits of another member's."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(group.num_rows, -1)
+        near = np.zeros(group.num_rows, bool)
+        for at in _groups(group, ("s", "dim", "t")):
+            for lo in range(0, len(at) - 1, 256):
+                x = at[lo : lo + 256]
+                y = at[lo + 1 :]
+                apart = sum(np.bitwise_count(sketch[x, None, w] ^ sketch[None, y, w]).astype(np.int16) for w in range(sketch.shape[1]))
+                # each pair once: y starts one place after x
+                i, j = np.nonzero((apart <= limit) & (np.arange(len(y))[None, :] >= np.arange(len(x))[:, None]))
+                near[x[i]] = True
+                near[y[j]] = True
+        return group.filter(pa.array(near)).select(["c", "t", "s"])
+
+    return run
+
+
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For each of ``n`` nodes the smallest node that the edges (x, y) lead to."""
     low = np.arange(n)
@@ -72,10 +115,10 @@ def _meet(unit, sig, size, own, t: int, i: int, j: int, threshold: float) -> tup
     links, nodes = np.zeros(n, np.int64), np.arange(n)
     root = nodes
     a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    for lo in range(0, len(a), BLOCK):
-        rows = a[lo : lo + BLOCK]
-        for lo2 in range(0, len(b), BLOCK):
-            cols = b[lo2 : lo2 + BLOCK]
+    for lo in range(0, len(a), TILE):
+        rows = a[lo : lo + TILE]
+        for lo2 in range(0, len(b), TILE):
+            cols = b[lo2 : lo2 + TILE]
             x, y = np.nonzero(unit[rows] @ unit[cols].T >= threshold)
             x, y = rows[x], cols[y]
             if i == j:
@@ -94,19 +137,24 @@ def _meet(unit, sig, size, own, t: int, i: int, j: int, threshold: float) -> tup
     return links, root
 
 
+def _vectors(blobs: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    if all(len(b) == 4 * dim for b in blobs):
+        return _unit(np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), dim).astype(np.float64))
+    return _unit(np.array([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in blobs], np.float64))
+
+
 def _compare(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        size, t, dim, s, i, j, own = (group.column(c).to_numpy() for c in ("copies", "t", "dim", "s", "i", "j", "block"))
-        units, sigs = group.column("unit"), group.column("sig")
-        by = np.lexsort((j, i, s, dim, t))
-        key = np.stack([c[by] for c in (t, dim, s, i, j)], 1)
-        heads = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]), len(by)]
+        size, t, dim, i, j, own = (group.column(c).to_numpy() for c in ("copies", "t", "dim", "i", "j", "block"))
+        vectors, sigs = group.column("v"), group.column("sig")
         first, links, to = [], [], []
-        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-            at = by[a:b]
+        for at in _groups(group, ("j", "i", "s", "dim", "t")):
+            if len(at) < 2:
+                continue
             take = pa.array(at)
-            unit = np.frombuffer(b"".join(units.take(take).to_pylist()), np.float64).reshape(len(at), -1)
+            unit = _vectors(vectors.take(take).to_pylist(), int(dim[at[0]]))
             sig = np.array(sigs.take(take).to_pylist(), np.int32)
             n, root = _meet(unit, sig, size[at], own[at], *(int(c[at[0]]) for c in (t, i, j)), threshold)
             met = np.flatnonzero((n > 0) | (root != np.arange(len(at))))
@@ -127,28 +175,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     kept (vec_id = component_id). Null, empty or zero vectors and vectors with null or non-finite
     components link with nothing. Vectors of different lengths never link. Equal vectors are one
     class before any comparison. A null id counts as the smallest and stays null. Rows that share an
-    id are told apart by their vectors.
+    id are told apart by their vectors. Other columns are ignored.
 
-    Buckets of more than ``BLOCK`` classes are cut into blocks and compared block by block, each
+    A pair at the threshold shares a bucket in some table with probability ``recall`` (closer ones
+    more likely); every link found is verified exactly. Tables hold ids and sketches of 256 more signs;
+    only members whose sketch comes near another one's of the bucket fetch their vectors. Buckets of
+    more than ``BLOCK`` classes skip the sketches, are cut into blocks and compared block by block, each
     block pair in a task of its own; only link counts and the edges of a spanning forest leave it.
     """
+    least_lots = partitions(vectors.sparkSession)
     rows = vectors.select(id_column(id_col).alias("k"), _clean(vector_col).alias("v"))
     # a class is known by the first 128 bits of a hash of its vector; -0.0 counts as 0.0
     plain = F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ",")
-    rows = written(rows.withColumn("c", F.when(F.col("v").isNotNull(), F.substring(F.unhex(F.sha2(plain, 256)), 1, 16))))
+    rows = rows.withColumn("c", F.when(F.col("v").isNotNull(), F.substring(F.unhex(F.sha2(plain, 256)), 1, 16)))
     classes = written(rows.where("c is not null").groupBy("c").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")))
-    bits, count = tables_for(classes.count(), threshold, recall)
-    signed = classes.select("c", "v").mapInArrow(_sign(bits, count), "c binary, dim int, unit binary, sig array<int>")
-    signed = written(signed.join(classes.select("c", "copies"), "c"))
-    in_tables = signed.select("*", F.posexplode("sig").alias("t", "s"))
-    full = in_tables.groupBy("t", "dim", "s").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = in_tables.join(full, ["t", "dim", "s"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    n_classes = classes.count()
+    bits, count = tables_for(n_classes, threshold, recall)
+    signed = written(classes.select("c", "copies", "v").mapInArrow(_sign(bits, count), "c binary, copies long, dim int, v binary, sig array<int>, sketch binary"))
+    in_tables = signed.select("c", "dim", "sketch", F.posexplode("sig").alias("t", "s"))
+    hot = in_tables.groupBy("t", "dim", "s").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = written(hot.select("t", "dim", "s", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    lots = max(least_lots, -(-count * n_classes // ROWS_A_LOT))
+    small = in_tables.join(hot, ["t", "dim", "s"], "left_anti").withColumn("lot", F.pmod(F.xxhash64("t", "dim", "s"), F.lit(lots)))
+    near = small.groupBy("lot").applyInArrow(_sift(differing(threshold)), "c binary, t int, s int").withColumn("blocks", F.lit(1))
+    near = near.unionByName(in_tables.join(hot, ["t", "dim", "s"]).select("c", "t", "s", "blocks"))
+    # a class's places in the tables are as many as tables at most
+    near = written(near.groupBy("c").agg(F.collect_list(F.struct("t", "s", "blocks")).alias("places")))
+    met = signed.drop("sketch").join(near, "c").select("*", F.inline("places")).drop("places")
+    met = met.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     # a member goes to each pair of blocks that its own block is in
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("*", other.alias("o")).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+    dealt = met.select("*", other.alias("o")).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
     # one Python call takes the block pairs of a lot; lots are as many as block pairs need, a few megabytes each
-    lots = max(partitions(vectors.sparkSession), -(-count * signed.count() // ROWS_A_LOT))
-    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("t", "dim", "s", "i", "j"), F.lit(lots)))
+    rows_met = near.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p.blocks))).first()[0] or 0
+    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("t", "dim", "s", "i", "j"), F.lit(max(least_lots, -(-rows_met // ROWS_A_LOT)))))
     met = written(dealt.groupBy("lot").applyInArrow(_compare(threshold), "c binary, links long, to binary"))
     found = written(connected_components(met.where("c != to").select(F.col("c").alias("a"), F.col("to").alias("b"))))
     counts = met.groupBy("c").agg(F.sum("links").alias("links"))
