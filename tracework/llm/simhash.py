@@ -17,6 +17,8 @@ SEED, LINK_BITS = 42, 3
 GOLAY_POLYNOMIAL = 0b101011100011
 #: A run of equal keys longer than this is cut by further segments before it is compared.
 LONG_RUN = 4096
+#: Keys that a fingerprint has at most, and keys that one bucket takes.
+MOST_KEYS, BUCKET_KEYS = 48, 2_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -172,11 +174,15 @@ def _verify(bits: int):
 
 
 def links(classes: DataFrame, bits: int = LINK_BITS) -> DataFrame:
-    """(a, b): links between fingerprints; all components of the full link graph are connected by them."""
+    """(a, b): links between fingerprints; all components of the full link graph are connected by them.
+
+    There are as many buckets of keys as the fingerprints need, each a task of its own.
+    """
     if bits > LINK_BITS:
         raise ValueError(f"the keys hold for at most {LINK_BITS} differing bits")
-    dealt = classes.select("fp").mapInArrow(_deal_keys(partitions(classes.sparkSession)), "bucket int, keys binary, fps binary")
-    return dealt.groupBy("bucket").applyInArrow(_verify(bits), "a long, b long").distinct()
+    buckets = max(partitions(classes.sparkSession), -(-classes.count() * MOST_KEYS // BUCKET_KEYS))
+    dealt = classes.select("fp").mapInArrow(_deal_keys(buckets), "bucket int, keys binary, fps binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_verify(bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = LINK_BITS) -> DataFrame:
@@ -186,6 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints form one class before any comparison, so copies cost one row. Null, empty
     and white-space texts have fingerprint zero and link like any other; a null doc_id counts as
     the smallest id and stays null. Rows that share an id are kept, each with its own fingerprint.
+    Other columns are ignored.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle))
     classes = written(prints.groupBy("fp").agg(F.min("k").alias("rep")))
