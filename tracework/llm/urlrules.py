@@ -32,7 +32,9 @@ def _key(rhost: Column, path: Column) -> Column:
 
 def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """(action, host, path) triples as a table; of equal hosts and paths with both actions ``block`` stays."""
-    return spark.createDataFrame(list(rules), "action string, host string, path string")
+    rows = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("action", "host", "path"), rule, strict=True)]) for rule in rules]
+    kind = "array<struct<action:string,host:string,path:string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def boundaries(rules: DataFrame) -> DataFrame:
@@ -66,7 +68,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     path together, then host) wins. So a url is a point on the line of each of its host's suffixes
     that rules name, and each line is swept once, in key order. A line with many of the points is dealt
     to several tasks, with its boundaries copied to each. Null urls and urls without ``://`` have an
-    empty host and path and get ``default``. Repeated rows come back as often as they went in.
+    empty host and path and get ``default``. Repeated rows come back as often as they went in. Other
+    columns of ``pages`` are ignored. Without rules every row gets ``default``.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("times"))
