@@ -550,5 +550,42 @@ def test_preferences(spark):
     assert not got[1].paired and got[1].rejected_completion == "" and got[1].prompt == ""
     assert not got[2].paired and got[2].chosen_completion == "" and got[2].rejected_mask == ""
     assert got[3].n_prompt_turns == 2 and got[3].chosen_completion == got[3].rejected_completion == ""
-    assert not got[None].paired
+    assert not got[None].paired and got[None].chosen_completion.startswith("<|im_start|>user\nno id")
     assert chat.preferences(df.limit(0)).collect() == []
+
+
+def brute_preferences(rows):
+    """(pair, paired, turns shared, prompt, completions with masks), by loops over sorted turns."""
+    talks = {}
+    for n, (conv, turn, role, text) in enumerate(rows):
+        talks.setdefault(("row", n) if conv is None else conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    pairs = {}
+    for conv, turns in talks.items():
+        key, side = (conv, 0) if isinstance(conv, tuple) else divmod(conv, 2)
+        pairs.setdefault(key, [None, None])[side] = [t[2:] for t in sorted(turns)]
+    out = []
+    for key, (c, r) in pairs.items():
+        n = 0
+        while c and r and n < min(len(c), len(r)) and c[n] == r[n]:
+            n += 1
+        row = [None if isinstance(key, tuple) else key, bool(c and r), n, "".join(f"<|im_start|>{x}\n{y}<|im_end|>\n" for x, y in (c or [])[:n])]
+        for rest in ((c or [])[n:], (r or [])[n:]):
+            text, spans = "", []
+            for role, said in rest:
+                begin = len(text) + 13 + len(role)
+                text += f"<|im_start|>{role}\n{said}<|im_end|>\n"
+                if role == "assistant":
+                    spans.append(f"{begin}:{len(text) - 1}")
+            row += [text, ",".join(spans)]
+        out.append(tuple(row))
+    return out
+
+
+def test_preferences_against_loops(spark):
+    """Ties in the number of a turn, repeated rows, nulls in every column, a conversation of 3000 turns and a text of 10**6 characters."""
+    rng = random.Random(41)
+    rows = [(rng.choice([None, *range(-6, 12)]), rng.choice([None, 0, 1, 1, 2, 3]), rng.choice(["user", "assistant", None, "é"]), rng.choice(["a", "b", None, "", "ü\n"])) for _ in range(250)]
+    rows += [(100 + s, i, ("user", "assistant")[i % 2], f"turn {i}" if i < 1500 else f"{s} {i}") for s in (0, 1) for i in range(3000)]
+    rows += [(200, 0, "assistant", "x" * 10**6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    assert as_counts(map(tuple, chat.preferences(df).collect())) == as_counts(brute_preferences(rows))

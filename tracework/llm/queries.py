@@ -66,35 +66,38 @@ _WORDS = r"coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), [])"
 
 ORACLE_SQL = {
     "op1_preference_chat": r"""
-WITH talks AS (
-  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns
-  FROM conversations GROUP BY conv_id),
+WITH turns_in AS (
+  SELECT conv_id, turn, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t FROM conversations),
+talks AS (
+  SELECT conv_id, list(t ORDER BY turn, t.role, t.text) AS turns FROM turns_in WHERE conv_id IS NOT NULL GROUP BY conv_id),
 pairs AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id,
-         any_value(turns) FILTER (conv_id % 2 = 0) AS chosen, any_value(turns) FILTER (conv_id % 2 = 1) AS rejected
-  FROM talks GROUP BY 1),
+  SELECT row_number() OVER () AS id, * FROM (
+    SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id,
+           any_value(turns) FILTER (conv_id % 2 = 0) AS chosen, any_value(turns) FILTER (conv_id % 2 != 0) AS rejected
+    FROM talks GROUP BY 1
+    UNION ALL SELECT NULL, [t], NULL FROM turns_in WHERE conv_id IS NULL)),
 shared AS (
-  SELECT pair_id, chosen, rejected, coalesce(chosen, []) AS c, coalesce(rejected, []) AS r,
+  SELECT id, pair_id, chosen, rejected, coalesce(chosen, []) AS c, coalesce(rejected, []) AS r,
          len(list_filter(range(1, least(len(coalesce(chosen, [])), len(coalesce(rejected, []))) + 1), lambda i: chosen[1:i] = rejected[1:i])) AS n
   FROM pairs),
 cut AS (SELECT *, c[1:n] AS p, c[n + 1:] AS cc, r[n + 1:] AS rr FROM shared),
 turns AS (
-  SELECT pair_id, kind, i, u[i].role AS role, u[i].text AS text
-  FROM (SELECT pair_id, kind, u, unnest(range(1, len(u) + 1)) AS i
-        FROM (SELECT pair_id, 'p' AS kind, p AS u FROM cut UNION ALL SELECT pair_id, 'c', cc FROM cut UNION ALL SELECT pair_id, 'r', rr FROM cut))),
+  SELECT id, kind, i, u[i].role AS role, u[i].text AS text
+  FROM (SELECT id, kind, u, unnest(range(1, len(u) + 1)) AS i
+        FROM (SELECT id, 'p' AS kind, p AS u FROM cut UNION ALL SELECT id, 'c', cc FROM cut UNION ALL SELECT id, 'r', rr FROM cut))),
 lines AS (
   SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM turns),
 placed AS (
-  SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY pair_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 12 + length(role) + 1 AS begins FROM lines),
+  SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 12 + length(role) + 1 AS begins FROM lines),
 texts AS (
-  SELECT pair_id, kind, string_agg(line, '' ORDER BY i) AS text,
+  SELECT id, kind, string_agg(line, '' ORDER BY i) AS text,
          string_agg(CAST(CAST(begins AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begins + length(text) + 10 AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (role = 'assistant') AS mask
-  FROM placed GROUP BY pair_id, kind)
+  FROM placed GROUP BY id, kind)
 SELECT s.pair_id, s.chosen IS NOT NULL AND s.rejected IS NOT NULL AS paired, CAST(s.n AS BIGINT) AS n_prompt_turns,
        coalesce(p.text, '') AS prompt, coalesce(c.text, '') AS chosen_completion, coalesce(c.mask, '') AS chosen_mask,
        coalesce(r.text, '') AS rejected_completion, coalesce(r.mask, '') AS rejected_mask
-FROM cut s LEFT JOIN texts p ON p.pair_id = s.pair_id AND p.kind = 'p'
-LEFT JOIN texts c ON c.pair_id = s.pair_id AND c.kind = 'c' LEFT JOIN texts r ON r.pair_id = s.pair_id AND r.kind = 'r'
+FROM cut s LEFT JOIN texts p ON p.id = s.id AND p.kind = 'p'
+LEFT JOIN texts c ON c.id = s.id AND c.kind = 'c' LEFT JOIN texts r ON r.id = s.id AND r.kind = 'r'
 """,
     "op5_url_rules": r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
