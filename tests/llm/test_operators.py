@@ -300,6 +300,71 @@ def test_terms_of_rare_entities(spark):
         assert terms == (["Zorblax", "zorblax"] if k < 2 else []) and got[k].n_terms == len(terms), k
 
 
+def brute_terms(rows, alpha=pii.ALPHA, generalise=pii.GENERALISE, remove=pii.REMOVE):
+    """{(id, text): {(begin, end, removed)}} by tables of all documents, entities and terms, from the definitions."""
+    from math import log2
+
+    docs = [(k, t or "", brute_spans(t or "")) for k, t in rows]
+    held = [(k, t, {(s[0], (t[s[1] : s[2]].lower() if s[0] < 2 else re.sub("[^0-9]", "", t[s[1] : s[2]]))) for s in spans}, pii.terms_of(t, spans)) for k, t, spans in docs if spans]
+    n_docs, tests = len(docs), max(sum(len({w for w, *_ in terms}) for *_, terms in held), 1)
+    bound = log2(alpha / tests)
+
+    def origin_count(texts):
+        marks = [pii.origins([w for w, *_ in x]) for x in texts]
+        return sorted(len({m[i] for m in marks}) for i in range(3))[1]
+
+    def accident(total, m, n):
+        rest = total - m
+        return m * log2(total / m) + (rest * log2(total / rest) if rest else 0) + m * log2(min(n / n_docs, 1))
+
+    out = {}
+    for e in set().union(*(h[2] for h in held)):
+        mine = [h for h in held if e in h[2]]
+        total = origin_count([h[3] for h in mine])
+        if len(mine) >= n_docs:
+            continue
+        for term in {w for h in mine for w, *_ in h[3]}:
+            both = [h for h in mine if any(w == term for w, *_ in h[3])]
+            known = min(origin_count([h[3] for h in both]), total)
+            n = sum(term in {w for raw in t.split() for w in re.findall(r"[^\W_]+", raw.lower())} for _, t, _ in docs)
+            information = log2(n_docs / len(mine))
+            share = (information + log2(min(len(both) / n, 1))) / information
+            if share > generalise and accident(total, known, max(n - len(both), 0) + known) <= bound:
+                for k, t, _, terms in both:
+                    for w, a, b in terms:
+                        if w == term:
+                            out.setdefault((k, t), {})[a, b] = out.get((k, t), {}).get((a, b), False) or share > remove
+    return {key: {(a, b, gone) for (a, b), gone in v.items()} for key, v in out.items()}
+
+
+def test_terms_against_tables(spark):
+    """All terms of a corpus with shared numbers, common and rare words beside them, nulls, copies and a text of 4000 addresses."""
+    rng = random.Random(19)
+    names = [f"Name{c}{c}" for c in "abcdefghijkl"]
+    rows = []
+    for i in range(260):
+        e = i % 12 if i % 3 == 0 else None
+        extra = "" if e is None else f" {names[e]} +1 (743) 555-38{e:02d} {names[e] if rng.random() < 0.3 else ''} {'often' if rng.random() < 0.9 else ''}"
+        rows.append((i, f"{prose(rng, rng.randint(15, 40))}{extra} {prose(rng, 15)}"))
+    rows += [(300, f"{prose(rng, 20)} Nameaa {prose(rng, 20)}"), (None, None), (None, rows[0][1]), (0, rows[0][1]), (400, ""), (401, " ".join(f"user{i}@host{i}.org" for i in range(4000)))]
+    got = {}
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as t"), "t").select("k", "doc_id", "text", "terms").collect():
+        if r.terms and (r.k == r.doc_id or (r.doc_id is None and r.k == -(2**63))):
+            got[r.doc_id, r.text] = {(x.begin, x.end, x.removed) for x in r.terms}
+    want = brute_terms(rows)
+    assert got == want and sum(map(len, want.values())) > 50
+
+
+def test_many_addresses_take_linear_time():
+    import time
+
+    text = " ".join(f"user{i}@host{i}.org and words" for i in range(40_000))
+    began = time.perf_counter()
+    spans = pii.base_spans(text)
+    assert len(spans) == 40_000 and len(pii.terms_of(text, spans)) == 80_000
+    assert time.perf_counter() - began < 5
+
+
 def test_terms_are_outside_spans():
     rng = random.Random(17)
     for _ in range(500):

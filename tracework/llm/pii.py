@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, real_id, written
+from .common import Remembered, id_column, real_id, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Chance that any term of the corpus passes for disclosing though it meets its entity by accident.
 ALPHA = 0.05
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.85, 0.95
-#: Candidate terms that one scan of the documents counts; more are taken in blocks.
-BLOCK_TERMS = 200_000
+#: Terms whose counts a worker holds before it sends them on.
+COUNTED_TERMS = 500_000
 
 # The patterns, each begun where a run of its characters begins, so that no text takes quadratic time.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,44 +128,31 @@ def _find(batches):
         )
 
 
-def _frequencies(terms: list[str]):
-    def run(batches):
-        order = {t: i for i, t in enumerate(terms)}
-        total, seen = np.zeros(len(terms), np.int64), {}
-        for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                if not text:
-                    continue
-                met: set[int] = set()
-                for raw in set(text.split()):
-                    got = seen.get(raw)
-                    if got is None:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        got = seen[raw] = tuple(order[w] for w in _WORD.findall(raw.lower()) if w in order)
-                    if got:
-                        met.update(got)
-                if met:
-                    total[list(met)] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([terms[i] for i in at], pa.string()), pa.array(total[at], pa.int64())], names=["term", "n"])
-
-    return run
-
-
-def frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(term, n): in how many of all documents each of ``terms`` stands.
-
-    A partition adds up its counts before anything is sent.
-    """
+def _words(raw: str) -> tuple[str, ...]:
+    return tuple({w for w in _WORD.findall(raw.lower()) if len(w) > 1 and not w.isdigit()})
+
+
+def _frequencies(batches):
+    words, counts = Remembered(_words), Counter()
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            text = text.as_py()
+            if text:
+                counts.update(set(chain.from_iterable(map(words.__getitem__, set(text.split())))))
+                if len(counts) >= COUNTED_TERMS:
+                    yield flush()
+                    counts = Counter()
+    yield flush()
+
+
+def frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): in how many documents each term of the corpus stands. A partition adds up its counts before they are sent; one pass counts all terms."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    parts, out = max(1, -(-terms.count() // block_terms)), None
-    for part in range(parts):
-        mine = sorted(r.term for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect())
-        got = texts.mapInArrow(_frequencies(mine), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    return texts.mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def text_hash(text_col: str):
@@ -207,11 +196,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     # the same bound for each term; one that fails it needs no count over the corpus
     told = pairs.join(entities, "entity").withColumn("known", F.least("origins", "entity_origins"))
     told = written(told.where(_accident(F.col("entity_origins"), F.col("known"), F.col("known"), n_docs) <= sure))
-    counts = written(frequencies(docs, told.select("term").distinct(), text_col))
+    # without a term to judge there is nothing to count
+    counts = docs.sparkSession.createDataFrame([], "term string, n long") if told.isEmpty() else frequencies(docs, text_col)
     information = F.log2(F.lit(n_docs) / F.col("n_entity"))
     share = (information + F.log2(F.least(F.col("n_both") / F.col("n"), F.lit(1.0)))) / information
     others = F.greatest(F.col("n") - F.col("n_both"), F.lit(0))
-    told = told.join(counts, "term").withColumn("share", share).where(F.col("share") > generalise)
+    told = written(told.join(counts, "term")).withColumn("share", share).where(F.col("share") > generalise)
     told = told.where(_accident(F.col("entity_origins"), F.col("known"), others + F.col("known"), n_docs) <= sure).select("entity", "term", (F.col("share") > remove).alias("removed"))
     marks = held.select("k", "t", "entity").join(told, "entity").groupBy("k", "t", "term").agg(F.max("removed").alias("removed"))
     marks = marks.groupBy("k", "t").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("told"))
@@ -224,7 +214,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base and ``term`` spans), n_terms of every whole text.
 
     Null texts are empty. Repeated rows are judged each; rows that share an id are told apart by their texts.
-    A null id is an id of its own. Other columns are ignored.
+    A null id is an id of its own. Other columns are ignored. A text of any length is read in linear time.
     """
     out = find(docs)
     line = F.array_join(F.transform(F.coalesce("terms", F.array().cast("array<struct<begin:int,end:int,removed:boolean>>")), lambda t: F.concat_ws(":", F.lit("term"), t.begin, t.end)), ",")
