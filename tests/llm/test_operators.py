@@ -403,6 +403,47 @@ def test_quality(spark, empty):
     assert all(r.predicted == 1 for r in only_good)
 
 
+def test_fit_against_a_plain_solver(monkeypatch):
+    """Ratios from counts, and the primal optimum of the hinge loss by subgradients of every example, slowly."""
+    monkeypatch.setattr(quality, "SLOTS", 32)
+    rng = np.random.default_rng(5)
+    y = np.where(rng.random(60) < 0.3, -1, 1)
+    rows = [np.flatnonzero(rng.random(32) < np.where(np.arange(32) % 3 == 0, 0.3 + 0.25 * s, 0.2)).astype(np.int32) for s in y]
+    w, b = quality.fit(rows, y, rounds=3000)
+    dense = np.zeros((60, 32))
+    for i, x in enumerate(rows):
+        dense[i, x] = 1 / np.sqrt(max(len(x), 1))
+    counts = [1 + sum(np.isin(np.arange(32), x) for x, s in zip(rows, y, strict=True) if s == c) for c in (1, -1)]
+    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    scaled = dense * ratio
+    cost = np.array([60 / (2 * (y == s).sum()) for s in y])
+
+    def loss(v, c):
+        return 0.5 * (v @ v + c * c) + (cost * np.maximum(0, 1 - y * (scaled @ v + c))).sum()
+
+    v, c, best = np.zeros(32), 0.0, np.inf
+    for step in range(1, 60_001):
+        inside = cost * y * (y * (scaled @ v + c) < 1)
+        v, c = v - (v - inside @ scaled) / step, c - (c - inside.sum()) / step
+        best = min(best, loss(v, c))
+    inner = np.divide(w, ratio, out=np.zeros(32), where=ratio != 0)
+    assert loss(inner, b) <= best * 1.0001 and loss(inner, b) >= best * 0.98
+
+
+def test_quality_samples(spark):
+    """Ids that repeat among labels and documents, ties, a bound of bytes, a text of 200 000 words: one model, whatever the partitions."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng, 30) if i % 2 else prose(rng, 30).upper() + " !!") for i in range(160)]
+    rows += [(1, prose(rng, 5)), (2, rows[2][1]), (2, rows[2][1]), (777, prose(rng, 200_000)), (779, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(160)] + [(3, 0), (3, 1), (5, 1), (777, 1), (779, 0), (999, 1)], "doc_id long, quality int")
+    one, two = (quality.train(d, known, sample=50, sample_bytes=4000) for d in (docs.repartition(1), docs.repartition(5)))
+    assert (one.weights == two.weights).all() and one.score(np.empty(0, np.int32)) == two.score(np.empty(0, np.int32))
+    got = quality.score(docs, known, sample=50).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 2}) == 1
+
+
 # --- op5 ---
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "a.org", ""), ("allow", "a.org", "/x"), ("block", "a.org", "/x/y"), ("allow", "A.org", "/x/y")]

@@ -1,4 +1,4 @@
-"""Quality classifier: naive Bayes support vectors over n-gram indicators of word shapes."""
+"""Quality classifier: naive Bayes support vectors over n-gram indicators of words and of word shapes."""
 
 from __future__ import annotations
 
@@ -7,57 +7,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, real_id
+from .common import Remembered, id_column, real_id
 
-#: Labelled documents of each class that a classifier is fitted on at most, feature slots, and the score from which a document is good.
-SAMPLE, SLOTS, GOOD = 4000, 1 << 16, 0.7
+#: Labelled documents of each class that a classifier is fitted on at most, and bytes of their texts; feature slots, and the score from which a document is good.
+SAMPLE, SAMPLE_BYTES, SLOTS, GOOD = 4000, 32_000_000, 1 << 18, 0.7
 COST, ROUNDS, SEED = 1.0, 30, 11
+_RUNS = re.compile(r"(.)\1*", re.DOTALL)
 
 
-class _Shapes(dict):
-    """Number of a word's shape: runs of capitals, small letters and digits as A, a and 0, other runs as their character."""
+def _numbers(word: str) -> int:
+    """Numbers of a word's lower-cased form (high half) and of its shape (low half): runs of capitals, small letters and digits as A, a and 0, other runs as their character."""
+    kinds = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+    low, shape = (xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in (word.lower(), kinds))
+    return low << 32 | shape
 
-    _runs = re.compile(r"(.)\1*", re.DOTALL)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-        kinds = self._runs.sub(r"\1", kinds)
-        h = 2166136261
-        for b in kinds.encode("utf-8", "surrogatepass"):
-            h = (h ^ b) * 16777619 % 2**32
-        self[word] = h
-        return h
-
-
-def features(text: str, shapes: dict) -> np.ndarray:
-    """Slots of the 1- to 3-grams of word shapes that the whole text has; a word like the one before has a shape of its own."""
-    words = text.split()
-    ids = np.fromiter(map(shapes.__getitem__, words), np.uint64, len(words))
-    if len(ids) > 1:
-        hashed = np.fromiter(map(hash, words), np.int64, len(words))
-        ids = np.where(np.r_[False, hashed[1:] == hashed[:-1]], np.uint64(7), ids)
-    ids = np.concatenate([np.array([1], np.uint64), ids, np.array([2], np.uint64)])
-    grams = [ids * np.uint64(0x9E3779B97F4A7C15)]
-    for n in (2, 3):
+def _grams(ids: np.ndarray, sizes: tuple[int, ...], salt: int) -> list[np.ndarray]:
+    out = []
+    for n in sizes:
         if len(ids) >= n:
-            g = np.full(len(ids) - n + 1, n, np.uint64)
+            g = np.full(len(ids) - n + 1, salt + n, np.uint64)
             for k in range(n):
                 g = (g ^ ids[k : len(ids) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
                 g ^= g >> np.uint64(31)
-            grams.append(g)
-    g = np.concatenate(grams)
+            out.append(g)
+    return out
+
+
+def features(text: str, numbers: dict) -> np.ndarray:
+    """Slots of the 1- and 2-grams of words and the 1- to 3-grams of word shapes that the whole text has; a word like the one before has a shape of its own."""
+    words = text.split()
+    ids = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
+    low, shape = ids >> np.uint64(32), ids & np.uint64(0xFFFFFFFF)
+    if len(ids) > 1:
+        shape = np.where(np.r_[False, low[1:] == low[:-1]], np.uint64(7), shape)
+    ends = np.array([1], np.uint64), np.array([2], np.uint64)
+    g = np.concatenate(_grams(low, (1, 2), 16) + _grams(np.concatenate([ends[0], shape, ends[1]]), (1, 2, 3), 0))
     return np.unique((g ^ (g >> np.uint64(32))) % np.uint64(SLOTS)).astype(np.int32)
 
 
 def _feature_rows(batches):
-    shapes = _Shapes()
+    numbers = Remembered(_numbers)
     for batch in batches:
-        slots = [features(t or "", shapes) for t in batch.column("text").to_pylist()]
+        slots = [features(t or "", numbers) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("k"), batch.column("y"), pa.array([s.tobytes() for s in slots], pa.binary())], names=["k", "y", "slots"]
         )
@@ -128,23 +124,35 @@ def _line(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from at most ``sample`` labelled documents of each class, those with the smallest hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``sample`` labelled documents of each class, those with the smallest hashes of their ids, as far as their texts fit in ``sample_bytes`` (at least one).
 
     Rows whose crc32 of the id as text leaves 2 when divided by 4 are held out. Null ids and labels
-    are left out. Without labels of both classes every document scores 1 for a known good class or
-    no class, 0 for a known bad one.
+    are left out; an id with both labels counts as good; of texts that share an id the one with the smallest hash counts. Without
+    labels of both classes every document scores 1 for a known good class or no class, 0 for a known bad one.
     """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{label_col}`").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = known.where(F.crc32(F.col("k").cast("string").cast("binary")) % 4 != 2).groupBy("k").agg(F.max("y").alias("y"))
     lot = F.md5(F.col("k").cast("string"))
     # the ids of the sample are bounded, so their join is a broadcast of known size
     few = [r for y in (0, 1) for r in known.where(f"y = {y}").orderBy(lot, "k").limit(sample).collect()]
-    if len({r.y for r in few}) < 2:
-        return Model(np.zeros(SLOTS), 0.0, 0.0, -30.0 if {r.y for r in few} == {0} else 30.0)
-    chosen = docs.sparkSession.createDataFrame([(r.k, r.y) for r in few], "k long, y int")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "k")
-    got = sorted(texts.select("k", "y", "text").mapInArrow(_feature_rows, "k long, y int, slots binary").collect())
+    spark = docs.sparkSession
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(spark.createDataFrame([(r.k, r.y) for r in few], "k long, y int")), "k")
+    found = {r.k: r for r in texts.groupBy("k").agg(F.min(F.struct(F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"))).alias("first")).select("k", "first.*").collect()}
+    chosen = []
+    for y in (0, 1):
+        room = sample_bytes
+        for r in (r for r in few if r.y == y and r.k in found):
+            if room < sample_bytes and found[r.k].n > room:
+                break
+            room -= found[r.k].n
+            chosen.append((r.k, r.y, found[r.k].t))
+    if len({y for _, y, _ in chosen}) < 2:
+        return Model(np.zeros(SLOTS), 0.0, 0.0, -30.0 if {y for _, y, _ in chosen} == {0} else 30.0)
+    picked = F.broadcast(spark.createDataFrame(chosen, "k long, y int, t long").select("k", "t"))
+    rows = texts.withColumn("t", F.xxhash64("text")).join(picked, ["k", "t"]).dropDuplicates(["k"])
+    got = sorted(rows.select("k", "y", "text").mapInArrow(_feature_rows, "k long, y int, slots binary").collect())
     rows = [np.frombuffer(r.slots, np.int32) for r in got]
     y = np.array([1 if r.y else -1 for r in got])
     # folds give margins that the weights were not fitted to, for the line
@@ -159,9 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def _scores(model: Model):
     def run(batches):
-        shapes = _Shapes()
+        numbers = Remembered(_numbers)
         for batch in batches:
-            score = [model.score(features(t or "", shapes)) for t in batch.column(0).to_pylist()]
+            score = [model.score(features(t or "", numbers)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=[*batch.schema.names[1:], SCORE])
 
     return run
@@ -181,7 +189,8 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 def score(docs: DataFrame, labels: DataFrame, good: float = GOOD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted (1: score >= ``good``) of every whole text.
 
-    Only the text is an input of the score. Repeated rows are scored each; a null id is not held out.
+    Only the text is an input of the score: null and empty texts score alike. Repeated rows are scored
+    each; a null id is not held out. Other columns are ignored. An empty table gives an empty result.
     """
     model = train(docs, labels, sample)
     rows = docs.select(id_column("doc_id").alias("k"), F.col("text").cast("string").alias("text"))
