@@ -110,3 +110,13 @@ def test_overlap_join(spark):
     right = spark.createDataFrame(b, "y int, p int, q int").selectExpr("1 k", "y", "timestamp_seconds(p) b_start", "timestamp_seconds(q) b_end")
     got = sorted((r.x, r.y) for r in S.overlap_join(left, right, ["k"], 3600).collect())
     assert got == sorted((i, j) for i, p, q in a for j, u, v in b if u - 3600 <= q and p <= v + 3600)
+
+
+def test_a_long_stream_takes_linear_time(spark):
+    import time
+
+    df = spark.range(100_000).select(F.lit(1).alias("s"), F.col("id").alias("index"), (F.col("id") % 50_000 == 49_999).alias("x"))
+    began = time.perf_counter()
+    got = df.withColumn("n", S.next_index(KEYS, ["index"], F.col("x"))).agg(F.sum("n"), F.count("n")).first()
+    assert tuple(got) == (49_999 * 49_999 + 99_999 * 50_000, 99_999)
+    assert time.perf_counter() - began < 20

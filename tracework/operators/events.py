@@ -150,15 +150,14 @@ def extract(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, states). Events: session_id, index, ts_raw, ts and FIELDS. States: session_id, detected_branch, pr_number, shas and branches in order."""
     c = candidates(visible(found))
     w = S.window(["session_id"], ["seq", "bpos"])
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
     # what answers a block is the first result after it that isn't blank
-    answer = F.first(F.col("result"), True).over(ahead)
+    answer = S.next_value(["session_id"], ["seq", "bpos"], F.col("result"))
     commits = F.exists("made", lambda e: e.type == "git_commit")
     place = F.struct("seq", "bpos")
     c = c.withColumns({"__answer": answer, "__commits": commits, "__at": place})
     # a result answers the last commit before it, if no other result stands between
     last_commit = F.last(F.when(F.col("__commits"), F.col("__at")), True).over(w)
-    to = F.first(F.when(F.col("result").isNotNull(), F.col("__at")), True).over(ahead)
+    to = S.next_value(["session_id"], ["seq", "bpos"], F.when(F.col("result").isNotNull(), F.col("__at")))
     c = c.withColumns({"__to": to, "__last_commit": last_commit})
     newest = F.max("__last_commit").over(Window.partitionBy("session_id", "__to"))
     sha = F.when(F.col("__commits") & F.col("__to").isNotNull() & (newest == F.col("__at")), group(F.col("__answer"), P.COMMIT_OUTPUT, 2))

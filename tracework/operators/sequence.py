@@ -82,9 +82,15 @@ def near_any(keys: Keys, order: Sequence[str | Column], flag: Column, reach: int
     return F.coalesce(F.bool_or(flag).over(window(keys, order).rowsBetween(-reach, reach)), F.lit(False))
 
 
-def next_index(keys: Keys, order: Sequence[str | Column], wanted: Column, index: str = "index") -> Column:
+def next_value(keys: Keys, order: Sequence[str], value: Column) -> Column:
+    """The next value that isn't null after this event; null if none. The stream is walked backwards, as a frame that only grows costs one step an event."""
+    back = window(keys, [F.desc_nulls_last(o) for o in order])
+    return F.last(value, True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def next_index(keys: Keys, order: Sequence[str], wanted: Column, index: str = "index") -> Column:
     """Index of the next wanted event after this one; null if none."""
-    return F.first(F.when(wanted, F.col(index)), True).over(window(keys, order).rowsBetween(1, Window.unboundedFollowing))
+    return next_value(keys, order, F.when(wanted, F.col(index)))
 
 
 def previous_value(keys: Keys, order: Sequence[str | Column], wanted: Column, value: Column) -> Column:
