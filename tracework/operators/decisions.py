@@ -124,7 +124,7 @@ def classified(found: DataFrame, answers: DataFrame, catalog: DataFrame) -> Data
     catalog (``key``) lacks becomes null.
     """
     last = S.first_by(answers, ["session_id", "index"], [F.desc("batch_id"), F.desc("pos")])
-    known = F.broadcast(catalog.select(F.col("key").alias("law_key")).distinct().limit(100_000))  # a catalog has tens of entries
+    known = catalog.select(F.col("key").alias("law_key")).distinct()
     last = last.join(known.withColumn("__known", F.lit(True)), "law_key", "left").withColumn("law_key", F.when(F.col("__known"), F.col("law_key")))
     c = found.join(last.where("is_decision").withColumnRenamed("index", "position"), ["session_id", "position"])
     kind = F.coalesce("proposal_type", F.when(F.col("source") == "unpaired", "proactive_insight").otherwise("options"))
