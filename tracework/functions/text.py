@@ -143,8 +143,12 @@ def dollars(x: Column) -> Column:
 
 
 def short_tokens(n: Column) -> Column:
-    """950, 1.2k, 104.2M, 2.0B."""
-    return F.when(n >= 1_000_000_000, F.format_string("%.1fB", n / 1e9)).when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    """950, 1.2k, 104.2M, 2.0B; halves that are exact go to the even digit. Use it on aggregated rows."""
+    from .numeric import round_even
+
+    unit = F.when(n >= 1_000_000_000, 1e9).when(n >= 1_000_000, 1e6).otherwise(1e3)
+    mark = F.when(n >= 1_000_000_000, "B").when(n >= 1_000_000, "M").otherwise("k")
+    return F.when(n >= 1_000, F.concat(F.format_string("%.1f", round_even(n / unit, 1)), mark)).otherwise(n.cast("string"))
 
 
 def duration(seconds: Column) -> Column:

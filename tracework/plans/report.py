@@ -149,6 +149,17 @@ def episode_order(episodes: DataFrame, groups: DataFrame, sessions: DataFrame) -
     return out.orderBy(F.desc_nulls_last("latest"), "episode_id")
 
 
+def decision_kinds(decisions: DataFrame) -> DataFrame:
+    """(decision_type, n), the most frequent first; decisions without a type count together."""
+    return decisions.groupBy("decision_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "decision_type")
+
+
+def top_decisions(decisions: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` decisions of the highest confidence, then in order of session and event."""
+    rank = first_of([(F.col("classification_confidence") == c, F.lit(i)) for i, c in enumerate(("high", "medium", "low"))], F.lit(3))
+    return decisions.orderBy(rank, "session_id", "event_index").limit(k)
+
+
 def parse_rubric(text: str) -> dict[str, list[str]]:
     """Lines of a caller's rubric by the heading above them."""
     out: dict[str, list[str]] = {}
@@ -190,10 +201,9 @@ def render(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes:
     totals = R.model_totals(used).orderBy(F.desc("is_total"), "model").collect()
     out += ["", "## Numbers", table(["model", "input", "output", "cache read", "cache write", "cost"], [("total" if r.is_total else r.model, f"{r.input_tokens or 0:,}", f"{r.output_tokens or 0:,}", f"{r.cache_read_tokens or 0:,}", f"{r.cache_write_tokens or 0:,}", None if r.cost is None else f"${r.cost:.2f}") for r in totals])]
     out += ["", "Dearest sessions: " + ", ".join(f"{r.session_id} (${r.cost:.2f})" for r in R.costly_sessions(used).collect())]
-    kinds = decisions.groupBy("decision_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "decision_type").collect()
+    kinds = decision_kinds(decisions).collect()
     out += ["", table(["decision", "n"], [(r.decision_type or "unclassified", r.n) for r in kinds])]
-    rank = first_of([(F.col("classification_confidence") == c, F.lit(i)) for i, c in enumerate(("high", "medium", "low"))], F.lit(3))
-    for r in decisions.orderBy(rank, "session_id", "event_index").limit(3).collect():
+    for r in top_decisions(decisions).collect():
         out.append(f"- {(titles or {}).get(r.law_key, r.law_key) or r.domain}: {r.redacted_response_text[:200]}")
     out += ["", "## Highlights", *[f"- **{c['headline']}** {c['caption']}" for c in cards(st)]]
     out += ["", "## Fine print", f"{st.n_sessions} sessions, {st.n_episodes} episodes, {unmatched.count()} scores without an episode."]

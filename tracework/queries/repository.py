@@ -56,8 +56,12 @@ def commit_groups(spark, sf_dir):
     return g.select("repo_id", "id", "group_type", F.concat_ws(",", F.array_sort("commit_shas")).alias("shas"), "title", "branch", "pr_number", F.col("insertions").cast("long"), F.col("deletions").cast("long"), "coverage")
 
 
+def groups(spark, sf_dir) -> DataFrame:
+    return G.commit_groups(commits(spark, sf_dir), numstat(spark, sf_dir), sessions(spark, sf_dir))
+
+
 def _links(spark, sf_dir):
-    g = G.commit_groups(commits(spark, sf_dir), numstat(spark, sf_dir), sessions(spark, sf_dir))
+    g = groups(spark, sf_dir)
     s = sessions(spark, sf_dir).where("is_root")
     return g, s, L.edges(g, s)
 
@@ -87,19 +91,6 @@ def episodes(spark, sf_dir):
     return e.select("repo_id", "episode_id", "episode_type", F.concat_ws(",", F.array_sort("session_ids")).alias("session_ids"), F.concat_ws(",", F.transform("commit_group_ids", lambda x: x.cast("string"))).alias("groups"), F.col("added_lines").cast("long"), F.col("deleted_lines").cast("long"))
 
 
-def loc_rollup(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("insertions"), F.sum(F.col("l_linenumber").cast("long")).alias("deletions"), F.unix_seconds(F.min(F.col("l_shipdate").cast("timestamp"))).alias("first_s"), F.unix_seconds(F.max(F.col("l_shipdate").cast("timestamp"))).alias("last_s"))
-
-
-def loc_coverage(spark, sf_dir):
-    """Of each customer's orders, how many have any returned line: all, some or none covered."""
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    per = li.groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("added"))
-    c = o.join(per, o.o_orderkey == per.l_orderkey, "left").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count("added").alias("covered"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"))
-    return c.withColumn("coverage", F.when(F.col("covered") == 0, "none").when(F.col("covered") == F.col("n"), "all").otherwise("partial"))
-
-
 def sized_orders(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.lit(1).alias("repo_id"), F.col("o_orderkey").alias("sha"), F.col("o_custkey").cast("string").alias("author"), F.lit(None).cast("string").alias("email"), F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("subject")
@@ -200,15 +191,13 @@ j AS (SELECT repo_id, id, string_agg(session_id, ',' ORDER BY session_id) AS sid
 e AS (SELECT g.repo_id, 1 AS kind, g.id AS place, {_TYPE} AS episode_type, coalesce(sids, '') AS session_ids, CAST(g.id AS VARCHAR) AS groups, insertions AS added_lines, deletions AS deleted_lines FROM groups g LEFT JOIN j ON j.repo_id = g.repo_id AND j.id = g.id
  UNION ALL SELECT repo_id, 2, sess_pos, 'session_only', session_id, '', 0, 0 FROM rs WHERE NOT EXISTS (SELECT 1 FROM joined x WHERE x.repo_id = rs.repo_id AND x.session_id = rs.session_id))
 SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY kind, place) AS episode_id, episode_type, session_ids, groups, added_lines, deleted_lines FROM e""",
-    "loc_rollup": "SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS insertions, CAST(sum(l_linenumber) AS BIGINT) AS deletions, CAST(epoch(min(l_shipdate)) AS BIGINT) AS first_s, CAST(epoch(max(l_shipdate)) AS BIGINT) AS last_s FROM lineitem GROUP BY l_orderkey",
-    "loc_coverage": "SELECT *, CASE WHEN covered = 0 THEN 'none' WHEN covered = n THEN 'all' ELSE 'partial' END AS coverage FROM (SELECT o_custkey, count(*) AS n, count(a) AS covered, CAST(coalesce(sum(a), 0) AS BIGINT) AS added FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey GROUP BY o_custkey)",
     "velocity_daily": f"SELECT strftime(date, '%Y-%m-%d') AS day, count(*) AS commits, CAST(sum(i) AS BIGINT) AS insertions, CAST(sum(d) AS BIGINT) AS deletions FROM ({_SIZED}) GROUP BY date",
     "velocity_author": f"SELECT author, count(*) AS commits, CAST(sum(i) AS BIGINT) AS insertions, CAST(sum(d) AS BIGINT) AS deletions, count(DISTINCT date) AS active_days FROM ({_SIZED}) GROUP BY author",
     "velocity_peak": f"SELECT author, strftime(date, '%Y-%m-%d') AS day, insertions FROM (SELECT author, date, CAST(sum(i) AS BIGINT) AS insertions, row_number() OVER (PARTITION BY author ORDER BY sum(i) DESC, date) AS r FROM ({_SIZED}) GROUP BY author, date) WHERE r = 1",
     "velocity_totals": f"SELECT *, insertions - deletions AS net_loc, CAST(floor((insertions - deletions) / greatest(date_range_days, 1)) AS BIGINT) AS loc_per_day FROM (SELECT author, count(*) AS commits, CAST(sum(i) AS BIGINT) AS insertions, CAST(sum(d) AS BIGINT) AS deletions, CAST(sum(ti) AS BIGINT) AS test_insertions, CAST(sum(td) AS BIGINT) AS test_deletions, CAST(max(date) - min(date) + 1 AS BIGINT) AS date_range_days FROM ({_SIZED}) GROUP BY author)",
     "author_scope": "SELECT c_custkey, c_name AS author, c_mktsegment || '@X.org' AS email FROM customer WHERE lower(c_name) IN ('customer#000000007', 'customer#000000012') OR lower(c_mktsegment || '@X.org') = 'building@x.org'",
     "commit_discipline": f"SELECT author, total_commits, atomic, changed, active_days, CAST(floor(changed / total_commits + 0.5) AS BIGINT) AS avg_commit_size_lines, net_loc_change FROM (SELECT author, count(*) AS total_commits, count(*) FILTER (n <= 20) AS atomic, CAST(sum(i + d) AS BIGINT) AS changed, count(DISTINCT date) AS active_days, CAST(sum(i) - sum(d) AS BIGINT) AS net_loc_change FROM ({_SIZED}) GROUP BY author)",
-    "substring_group_match": "SELECT a.p_partkey AS pr_number, a.p_brand AS branch, CAST(b.p_partkey AS VARCHAR) AS sha FROM part a JOIN part b ON a.p_partkey <= 60 AND contains(b.p_name || ' #' || b.p_partkey, '#' || a.p_partkey)",
+    "substring_group_match": "SELECT a.p_partkey AS pr_number, a.p_brand AS branch, CAST(b.p_partkey AS VARCHAR) AS sha FROM part a JOIN part b ON contains(b.p_name || ' #' || b.p_partkey, '#' || a.p_partkey)",
     "default_since": "SELECT user_id, CAST(floor(epoch(min(ts) - INTERVAL 7 DAY)) AS BIGINT) AS since_s FROM events GROUP BY user_id",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -14,7 +14,7 @@ from ..operators import rollup as R
 from ..operators import sequence as S
 from ..operators import signals as G
 from .repository import table
-from .streams import KEYS, ORDER, events
+from .streams import ORDER, events
 from .texts import turns
 
 MODELS = ("claude-haiku-4", "claude-sonnet-x", "claude-opus-9", "gpt-other", "claude-sonnet")
@@ -43,14 +43,6 @@ def lowest_cells(spark, sf_dir):
     return R.lowest_cells(c, ["source"], 5).select("source", "episode_id", "axis", "score", "rank")
 
 
-def classified_join_last_wins(spark, sf_dir):
-    """Answers by index within a session; the last batch wins, unknown law keys become null."""
-    a = table(spark, sf_dir, "labels").select((F.col("doc_id") % 7).alias("session_id"), F.floor(F.col("doc_id") / 140).alias("batch_id"), F.col("doc_id").alias("pos"), (F.col("doc_id") % 20).alias("index"), (F.col("quality") == 1).alias("is_decision"), (F.col("doc_id") % 50).alias("law_key"))
-    last = S.first_by(a, ["session_id", "index"], [F.desc("batch_id"), F.desc("pos")])
-    known = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("law_key"), F.lit(True).alias("known"))
-    return last.join(known, "law_key", "left").select("session_id", "index", "batch_id", "pos", "is_decision", F.when(F.col("known"), F.col("law_key")).alias("law_key"))
-
-
 def messages(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("k") % 5 + 1).cast("int"))
@@ -88,18 +80,6 @@ def ledger(spark, sf_dir):
     return R.ledger(e).select("stage", "model", "calls", "total_tokens")
 
 
-def decision_histogram(spark, sf_dir):
-    """Unknown kinds fall into the null bucket."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    kind = F.when(F.col("quality").isin(0, 1), F.col("quality"))
-    return d.groupBy(kind.alias("decision_type")).agg(F.count("*").alias("n"), D.first_of([(F.max("quality") == 1, "tactical")], "other").alias("level"))
-
-
-def topk_decisions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("rank_key", F.when(F.col("quality") == 1, 0).otherwise(1))
-    return S.top_by(d, ["lang"], ["rank_key", "source", "doc_id"], 3).select("lang", "doc_id", "rank")
-
-
 def batch_packing(spark, sf_dir):
     t = S.index_events(turns(spark, sf_dir), ["session_id"], ["seq"], "position").select("session_id", "position", F.col("text").alias("agent_text"), F.col("text").alias("user_text"))
     b = D.batches(t, 2)
@@ -112,32 +92,12 @@ def plan_versions(spark, sf_dir):
     return G.latest_plans(d.select(F.col("source").alias("session_id"), F.col("lang").alias("filename"), "version", F.col("doc_id").cast("string").alias("content")))
 
 
-def intent_mode(spark, sf_dir):
-    """The most frequent label of a source; a tie is ambiguous."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source", "toxic").agg(F.count("*").alias("n"))
-    top = d.withColumn("r", F.rank().over(S.window(["source"], [F.desc("n")]))).where("r = 1")
-    return top.groupBy("source").agg(F.when(F.count("*") == 1, F.max("toxic")).alias("intent"), F.max("n").alias("n"))
-
-
-def signal_sums(spark, sf_dir):
-    """Sums of several signals rendered in fixed order, zeros left out."""
-    kinds = ("signup", "error", "click", "view", "purchase")
-    e = events(spark, sf_dir).groupBy("user_id").agg(*[F.count_if((F.col("event_type") == k) & (F.col("value") > 90)).alias(k) for k in kinds])
-    return e.select("user_id", F.concat_ws(", ", *[F.when(F.col(k) > 0, F.concat(F.lit(f"{k}: "), F.col(k).cast("string"))) for k in kinds]).alias("line"))
-
-
 def latest_duplicate_wins(spark, sf_dir):
     """Of records with one key the last stays."""
     e = events(spark, sf_dir).withColumn("key", F.get_json_object("props", "$.k").cast("long"))
     return S.first_by(e, ["user_id", "key"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "key", "event_id")
 
 
-def numstat_fill(spark, sf_dir):
-    """File lines take the commit of the last boundary line before them."""
-    e = events(spark, sf_dir).withColumn("sha", S.forward_fill(KEYS, ORDER, F.when(F.col("event_type") == "purchase", F.col("event_id"))))
-    return e.where("event_type = 'click' and sha is not null").groupBy("user_id", "sha").agg(F.count("*").alias("files"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("added"))
-
-
 def lower_median(spark, sf_dir):
     """Median of medians, the lower middle."""
     m = events(spark, sf_dir).withColumn("v", F.floor("value").cast("long")).groupBy("user_id").agg(F.expr("percentile_disc(0.5) within group (order by v)").cast("long").alias("m"))
@@ -163,21 +123,15 @@ ORACLE_SQL = {
     "score_rollup": f"SELECT episode_id, axis, CAST(s * 4 AS BIGINT) AS sum4, CAST(w * 4 AS BIGINT) AS weight4, n AS contributions, CAST(floor(s / w * 100) AS BIGINT) AS mean_floor FROM (SELECT episode_id, axis, sum(score * coalesce(confidence, CAST(0.75 AS DOUBLE))) AS s, sum(coalesce(confidence, CAST(0.75 AS DOUBLE))) AS w, count(*) AS n FROM ({_CELLS}) GROUP BY ALL) WHERE w > 0",
     "score_bands": f"SELECT axis, CASE WHEN score < 4 THEN 'WEAK' WHEN score < 6 THEN 'LIMITED' WHEN score < 8 THEN 'STRONG' WHEN score < 9 THEN 'ELITE' ELSE 'EXEMPLAR' END AS band, count(*) AS n FROM ({_CELLS}) GROUP BY ALL",
     "lowest_cells": "SELECT source, doc_id AS episode_id, lang AS axis, score, r AS rank FROM (SELECT source, doc_id, lang, n_chars % 11 AS score, row_number() OVER (PARTITION BY source ORDER BY n_chars % 11, doc_id, lang) AS r FROM documents JOIN labels USING (doc_id)) WHERE r <= 5",
-    "classified_join_last_wins": 'SELECT session_id, i AS "index", batch_id, pos, is_decision, b.item_id AS law_key FROM (SELECT doc_id % 7 AS session_id, CAST(floor(doc_id / 140) AS BIGINT) AS batch_id, doc_id AS pos, doc_id % 20 AS i, quality = 1 AS is_decision, doc_id % 50 AS lk, row_number() OVER (PARTITION BY doc_id % 7, doc_id % 20 ORDER BY floor(doc_id / 140) DESC, doc_id DESC) AS n FROM labels) LEFT JOIN benchmark b ON b.item_id = lk WHERE n = 1',
     "usage_dedupe": _USAGE,
     "cost_by_model_rollup": f"SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, CAST(grouping(model) AS INT) AS is_total, round(sum({_COST}), 4) AS cost FROM ({_USAGE}) GROUP BY ROLLUP (model)",
     "price_prefix_join": f"SELECT model, n, CASE WHEN model LIKE 'claude-sonnet-x%' THEN 'claude-sonnet-x' WHEN model LIKE 'claude-haiku%' THEN 'claude-haiku' WHEN model LIKE 'claude-sonnet%' THEN 'claude-sonnet' WHEN model LIKE 'claude-opus%' THEN 'claude-opus' END AS prefix, CAST(CASE WHEN model LIKE 'claude-sonnet-x%' THEN 1 WHEN model LIKE 'claude-haiku%' THEN 1 WHEN model LIKE 'claude-sonnet%' THEN 3 WHEN model LIKE 'claude-opus%' THEN 5 END AS DOUBLE) AS p_in FROM (SELECT {_MODEL} AS model, count(*) AS n FROM events GROUP BY 1)",
     "costly_sessions": f"SELECT session_id, CAST(sum(input_tokens) AS DOUBLE) AS cost FROM ({_USAGE}) WHERE model <> 'gpt-other' GROUP BY session_id ORDER BY cost DESC, session_id LIMIT 3",
     "model_of_session": f"SELECT session_id, model, n FROM (SELECT user_id AS session_id, {_MODEL} AS model, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, {_MODEL}) AS r FROM events GROUP BY user_id, {_MODEL}) WHERE r = 1",
     "ledger": f"SELECT event_type AS stage, user_id % 3 AS model, count(*) AS calls, CAST(sum({_K}) AS BIGINT) AS total_tokens FROM events GROUP BY ALL",
-    "decision_histogram": "SELECT quality AS decision_type, count(*) AS n, CASE WHEN quality = 1 THEN 'tactical' ELSE 'other' END AS level FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality",
-    "topk_decisions": "SELECT lang, doc_id, r AS rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN quality = 1 THEN 0 ELSE 1 END, source, doc_id) AS r FROM documents JOIN labels USING (doc_id)) WHERE r <= 3",
     "batch_packing": "SELECT session_id, b AS batch, count(*) AS n, md5('Classify these ' || count(*) || ' exchanges:' || chr(10) || chr(10) || string_agg('Exchange ' || (i % 2) || ':' || chr(10) || 'Agent: ' || t || chr(10) || 'Developer: ' || t || chr(10), chr(10) ORDER BY i)) AS prompt_md5 FROM (SELECT session_id, i, i // 2 AS b, CASE WHEN length(text) > 2000 THEN left(text, 1997) || '...' ELSE text END AS t FROM (SELECT conv_id AS session_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = 'user')) GROUP BY ALL",
     "plan_versions": "SELECT source AS session_id, lang AS filename, count(*) AS version_count, CAST(max(doc_id) AS VARCHAR) AS content FROM documents GROUP BY ALL",
-    "intent_mode": "SELECT source, CASE WHEN count(*) = 1 THEN max(toxic) END AS intent, max(n) AS n FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY n DESC) AS r FROM (SELECT source, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL)) WHERE r = 1 GROUP BY source",
-    "signal_sums": "SELECT user_id, concat_ws(', ', " + ", ".join(f"CASE WHEN {k}_n > 0 THEN '{k}: ' || {k}_n END" for k in ("signup", "error", "click", "view", "purchase")) + ") AS line FROM (SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}' AND value > 90) AS {k}_n" for k in ("signup", "error", "click", "view", "purchase")) + " FROM events GROUP BY user_id)",
     "latest_duplicate_wins": f"SELECT user_id, key, event_id FROM (SELECT user_id, {_K} AS key, event_id, row_number() OVER (PARTITION BY user_id, {_K} ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
-    "numstat_fill": f"SELECT user_id, sha, count(*) AS files, CAST(sum({_K}) AS BIGINT) AS added FROM (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sha FROM events) WHERE event_type = 'click' AND sha IS NOT NULL GROUP BY ALL",
     "lower_median": "SELECT user_id % 5 AS bucket, CAST(quantile_disc(m, 0.5) AS BIGINT) AS median FROM (SELECT user_id, quantile_disc(CAST(floor(value) AS BIGINT), 0.5) AS m FROM events GROUP BY user_id) GROUP BY 1",
     "floor_division": "SELECT c_custkey, CASE WHEN c_nationkey <> 0 THEN CAST(floor(CAST(floor(c_acctbal) AS BIGINT) / CAST(c_nationkey AS DOUBLE)) AS BIGINT) END AS per_nation, CAST(c_nationkey * 4 AS BIGINT) AS share FROM customer",
 }

@@ -43,13 +43,6 @@ def event_index_cap(spark, sf_dir):
     return capped.select("user_id", "event_id", "event_type", "index")
 
 
-def tdd_order(spark, sf_dir):
-    e = indexed(spark, sf_dir)
-    first = e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "view", F.col("index"))).alias("first_test"), F.min(F.when(F.col("event_type") == "click", F.col("index"))).alias("first_edit"))
-    ahead = F.col("first_test").isNotNull() & (F.col("first_edit").isNull() | (F.col("first_test") < F.col("first_edit")))
-    return first.withColumn("test_first", ahead).where("first_test is not null or first_edit is not null")
-
-
 def recovery_distance(spark, sf_dir):
     kind = F.col("event_type")
     fixed = ((kind == "view") & (F.col("value") > 50)) | (kind == "purchase")
@@ -57,23 +50,6 @@ def recovery_distance(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count("*").alias("n_recovered"), F.round(F.median(F.col("next") - F.col("index")), 1).alias("median_distance"))
 
 
-def retry_ratio(spark, sf_dir):
-    command = F.get_json_object("props", "$.k")
-    click = F.col("event_type") == "click"
-    w = S.window(KEYS, ORDER)
-    e = events(spark, sf_dir).withColumn("cmd", F.pmod(command.cast("long"), F.lit(7)))
-    e = e.withColumn("last_cmd", S.previous_value(KEYS, ORDER, click, F.col("cmd")))
-    e = e.withColumn("soon", F.collect_list(F.when(click, F.col("cmd"))).over(w.rowsBetween(1, 5)))
-    e = e.where("event_type = 'error'").withColumn("retried", F.coalesce(F.array_contains("soon", F.col("last_cmd")), F.lit(False)))
-    return e.groupBy("user_id").agg(F.count("*").alias("n_errors"), F.count_if("retried").alias("n_retried"))
-
-
-def commit_after_return(spark, sf_dir):
-    e = indexed(spark, sf_dir)
-    r = e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "view", F.col("index"))).alias("first_return"), F.max(F.when(F.col("event_type") == "purchase", F.col("index"))).alias("last_commit"))
-    return r.withColumn("committed", F.coalesce(F.col("first_return") < F.col("last_commit"), F.lit(False)))
-
-
 def pair_within_window(spark, sf_dir):
     e = S.follow_up(indexed(spark, sf_dir), KEYS, ORDER, F.col("event_type") == "signup", F.col("event_type") == "view", F.col("event_id"))
     return e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("proposal_id"), "index", F.col("reply").alias("response_id"))
@@ -87,13 +63,6 @@ def nearest_context(spark, sf_dir):
     return e.where("event_type = 'view'").select("user_id", "event_id", "context_id", "amplified")
 
 
-def unpaired_directives(spark, sf_dir):
-    """Second candidate pass: directives that answer no proposal (anti join)."""
-    e = indexed(spark, sf_dir)
-    paired = pair_within_window(spark, sf_dir).where("response_id is not null").select("user_id", F.col("response_id").alias("event_id"))
-    return e.where("event_type = 'view'").join(paired, ["user_id", "event_id"], "left_anti").select("user_id", "event_id", "index")
-
-
 def segment_outcomes(spark, sf_dir):
     e, kind, good = indexed(spark, sf_dir), F.col("event_type"), (F.col("value") > 50).cast("long")
     sums = D.segment_sums(e, KEYS, ORDER, kind == "signup", kind == "view", kind == "error", kind == "purchase", (kind == "click") & (F.col("value") > 99), good, 1 - good)
@@ -108,17 +77,6 @@ def dispatch_intervals(spark, sf_dir) -> DataFrame:
     return d.join(r, ["user_id", "tool"]).where("end >= start")
 
 
-def dispatch_pairs(spark, sf_dir):
-    return dispatch_intervals(spark, sf_dir).select("user_id", "tool", "dispatch_id", "return_id")
-
-
-def returns_of_dispatched(spark, sf_dir):
-    """Returns count only for ids dispatched before (semi join with order)."""
-    e = indexed(spark, sf_dir).withColumn("tool", F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(40)))
-    d = e.where("event_type = 'signup'").groupBy("user_id", "tool").agg(F.min("index").alias("sent"))
-    return e.where("event_type = 'view'").join(d, ["user_id", "tool"]).where("sent < index").select("user_id", "tool", "event_id")
-
-
 def max_concurrency(spark, sf_dir):
     return S.max_concurrency(dispatch_intervals(spark, sf_dir), KEYS, "start", "end")
 
@@ -133,20 +91,9 @@ def ship_day(spark, sf_dir):
     return S.most_common(o, ["o_custkey"], "weekday").select("o_custkey", "weekday", F.col("n").alias("n_commits"))
 
 
-def event_signals(spark, sf_dir):
-    kind = F.col("event_type")
-    e = events(spark, sf_dir).withColumn("passed", F.floor("value").cast("long"))
-    s = e.groupBy("user_id").agg(
-        F.count_if(kind.isin("click", "signup")).alias("files_modified"), F.count_if(kind == "view").alias("test_runs"), F.count_if(kind == "error").alias("errors"),
-        F.sum(F.when(kind == "view", F.col("passed")).otherwise(0)).alias("passed"), F.count_distinct(F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(20))).alias("unique_tools"),
-        F.bool_or((kind == "purchase") & (F.col("value") > 99)).alias("task_tool_used"),
-    )
-    return s
-
-
 def ordered_session(spark, sf_dir):
-    """Ordered collection of each user's first 20 event kinds."""
-    e = indexed(spark, sf_dir).where("index < 20")
+    """Ordered collection of each user's event kinds."""
+    e = indexed(spark, sf_dir)
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "event_type"))), lambda x: x.event_type), ">").alias("path"))
 
 
@@ -174,14 +121,10 @@ ORACLE_SQL = {
     "active_windows": f'SELECT user_id, CAST(s AS BIGINT) AS "window", CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS end_s, count(*) AS events FROM ({_gap(900, "s")}) GROUP BY user_id, s',
     "active_duration": "SELECT user_id, CAST(sum(CASE WHEN gap <= 5400 THEN gap ELSE 0 END) AS BIGINT) AS active_s FROM (SELECT user_id, CAST(epoch(t) - epoch(lag(t) OVER (PARTITION BY user_id ORDER BY t)) AS BIGINT) AS gap FROM (SELECT user_id, date_trunc('second', ts) AS t FROM events)) GROUP BY user_id",
     "event_index_cap": f'SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS "index" FROM ({_IDX}) WHERE i < 30 OR event_type = \'purchase\'',
-    "tdd_order": f"SELECT *, first_test IS NOT NULL AND (first_edit IS NULL OR first_test < first_edit) AS test_first FROM (SELECT user_id, min(i) FILTER (event_type = 'view') AS first_test, min(i) FILTER (event_type = 'click') AS first_edit FROM ({_IDX}) GROUP BY user_id) WHERE first_test IS NOT NULL OR first_edit IS NOT NULL",
     "recovery_distance": f"SELECT user_id, count(*) AS n_recovered, round(median(n - i), 1) AS median_distance FROM (SELECT *, first_value(CASE WHEN (event_type = 'view' AND value > 50) OR event_type = 'purchase' THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM ({_IDX})) WHERE event_type = 'error' AND n IS NOT NULL GROUP BY user_id",
-    "retry_ratio": f"SELECT user_id, count(*) AS n_errors, count(*) FILTER (coalesce(list_contains(soon, last_cmd), FALSE)) AS n_retried FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN cmd END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_cmd, list(CASE WHEN event_type = 'click' THEN cmd END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS soon FROM (SELECT *, {_K} % 7 AS cmd FROM events)) WHERE event_type = 'error' GROUP BY user_id",
-    "commit_after_return": f"SELECT user_id, min(i) FILTER (event_type = 'view') AS first_return, max(i) FILTER (event_type = 'purchase') AS last_commit, coalesce(min(i) FILTER (event_type = 'view') < max(i) FILTER (event_type = 'purchase'), FALSE) AS committed FROM ({_IDX}) GROUP BY user_id",
     "pair_within_window": f'SELECT user_id, event_id AS proposal_id, i AS "index", response_id FROM ({_PAIR})',
     "nearest_context": """SELECT user_id, event_id, context_id, amplified FROM (SELECT *, coalesce(last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), first_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) AS context_id,
  coalesce(bool_or(event_type = 'error' AND value > 50) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), FALSE) AS amplified FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'view'""",
-    "unpaired_directives": f'SELECT user_id, event_id, i AS "index" FROM ({_IDX}) x WHERE event_type = \'view\' AND NOT EXISTS (SELECT 1 FROM ({_PAIR}) p WHERE p.user_id = x.user_id AND p.response_id = x.event_id)',
     "segment_outcomes": f"""WITH x AS ({_IDX}), p AS (SELECT user_id, i AS proposal, lead(i) OVER (PARTITION BY user_id ORDER BY i) AS nxt FROM x WHERE event_type = 'signup'),
 s AS (SELECT p.user_id, proposal, count(*) FILTER (event_type = 'view') AS t, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase') AS c,
  coalesce(bool_or(event_type = 'click' AND value > 99), FALSE) AS r, arg_max(value > 50, x.i) FILTER (event_type = 'view') AS ok,
@@ -193,15 +136,12 @@ SELECT user_id, proposal,
  CASE n WHEN 0 THEN CAST(0.3 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS confidence,
  coalesce(nullif(concat_ws('. ', CASE WHEN t > 0 THEN t || ' test run(s): ' || p || ' passed, ' || f || ' failed' END, CASE WHEN e > 0 THEN e || ' error(s) encountered' END, CASE WHEN c > 0 THEN c || ' commit(s) made' END, CASE WHEN r THEN 'User reversed direction' END), ''), 'No signal events after decision') AS evidence
 FROM n""",
-    "dispatch_pairs": f"SELECT user_id, tool, dispatch_id, return_id FROM ({_DISPATCH})",
-    "returns_of_dispatched": f"SELECT r.user_id, r.tool, r.event_id FROM (SELECT *, {_K} % 40 AS tool FROM ({_IDX})) r WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM ({_IDX}) d WHERE d.user_id = r.user_id AND d.event_type = 'signup' AND CAST(json_extract_string(d.props, '$.k') AS BIGINT) % 40 = r.tool AND d.i < r.i)",
     "max_concurrency": f"SELECT user_id, CAST(max(o) AS BIGINT) AS peak FROM (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY tt, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT user_id, s AS tt, 1 AS d FROM ({_DISPATCH}) UNION ALL SELECT user_id, e, -1 FROM ({_DISPATCH}))) GROUP BY user_id",
     "peak_hours_circular": """WITH h AS (SELECT user_id, CAST(hour(ts) AS INT) AS h, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL),
 w AS (SELECT u.user_id, CAST(s.s AS INT) AS s, (SELECT sum(h.n) FROM h WHERE h.user_id = u.user_id AND (h.h - s.s + 24) % 24 < 4) AS n FROM (SELECT DISTINCT user_id FROM h) u, (SELECT unnest(range(24)) AS s) s)
 SELECT w.user_id, s AS start_hour, CAST(w.n AS BIGINT) AS n_in_window, p.h AS peak_hour, p.n AS peak_n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC NULLS LAST, s) AS r FROM w) w
 JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, h) AS r FROM h) p ON p.user_id = w.user_id AND p.r = 1 WHERE w.r = 1""",
     "ship_day": "SELECT o_custkey, weekday, n AS n_commits FROM (SELECT o_custkey, dayname(o_orderdate) AS weekday, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, dayname(o_orderdate)) AS r FROM orders GROUP BY o_custkey, dayname(o_orderdate)) WHERE r = 1",
-    "event_signals": f"SELECT user_id, count(*) FILTER (event_type IN ('click', 'signup')) AS files_modified, count(*) FILTER (event_type = 'view') AS test_runs, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) ELSE 0 END) AS BIGINT) AS passed, count(DISTINCT {_K} % 20) AS unique_tools, bool_or(event_type = 'purchase' AND value > 99) AS task_tool_used FROM events GROUP BY user_id",
-    "ordered_session": f"SELECT user_id, string_agg(event_type, '>' ORDER BY i) AS path FROM ({_IDX}) WHERE i < 20 GROUP BY user_id",
+    "ordered_session": f"SELECT user_id, string_agg(event_type, '>' ORDER BY i) AS path FROM ({_IDX}) GROUP BY user_id",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
