@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracework.operators import codequality, grouping, linking, velocity
-from tracework.sources import gitlog
+from tracework.plans import stages
+from tracework.sources import gitlog, repofiles
 
 DAY = "2026-01-0"
 
@@ -101,3 +102,42 @@ def test_code_quality(spark):
     assert q.agent_configs.tools_configured == ["claude_code"] and q.agent_configs.rules.rules_count == 2 and q.agent_configs.total_constraint_count == 2
     assert q.infrastructure.has_ci and not q.infrastructure.has_linter and q.test_quality.frameworks.jest
     assert q.production_readiness.has_logging and q.performance.has_caching and q.documentation.has_readme
+
+
+def test_listing(tmp_path, spark):
+    """Tracked files only, hidden ones too; links that lead outside and vendored files are left out."""
+    repo, outside = tmp_path / "repo", tmp_path / "outside.py"
+    outside.write_text("x")
+    for name in ("a.py", "build/b.py", "node_modules/c.js", "lib/vendor/bundle/d.rb", ".github/workflows/ci.yml", "pkg/__init__.py"):
+        (repo / name).parent.mkdir(parents=True, exist_ok=True)
+        (repo / name).write_text("y = 1\n")
+    (repo / "out.py").symlink_to(outside)
+    (repo / "in.py").symlink_to(repo / "a.py")
+    kept = [".github/workflows/ci.yml", "a.py", "build/b.py", "in.py", "pkg/__init__.py"]
+    assert repofiles.listing(str(repo)) == kept
+    got = repofiles.files(spark, str(repo)).orderBy("file_pos").collect()
+    assert [(r.path, r.size, r.content) for r in got] == [(n, 6, "y = 1\n") for n in kept]
+    subprocess.run(["git", "-C", str(repo), "init", "-q"], check=True)
+    subprocess.run(["git", "-C", str(repo), "add", "a.py", "out.py", ".github"], check=True)
+    assert repofiles.listing(str(repo)) == [".github/workflows/ci.yml", "a.py"]
+
+
+def test_statuses(tmp_path, spark):
+    c = spark.createDataFrame([], "repo_id string, sha string, author string, email string, date date, subject string")
+    n = spark.createDataFrame([], "repo_id string, sha string, path string, added long, deleted long")
+    assert stages.quality(spark, str(tmp_path / "none"), c, n) == {"status": "no_repo", "dimensions": {}}
+    assert stages.quality(spark, str(tmp_path), c, n)["status"] == "empty_repo"
+    (tmp_path / "a.py").write_text("x = 1\n")
+    q = stages.quality(spark, str(tmp_path), c, n)
+    assert q["status"] == "complete" and q["file_count"] == 1 and q["dimensions"]["code_quality"]["total_source_files"] == 1
+    assert codequality.profile(q)["project_framework"] == "generic" and codequality.profile({"status": "no_repo", "dimensions": {}}) == {"status": "no_repo"}
+
+
+def test_a_failing_dimension_is_alone(tmp_path, spark):
+    (tmp_path / "a.py").write_text("x = 1\n")
+    files = repofiles.files(spark, str(tmp_path), "r")
+    c = spark.createDataFrame([("r", "s", "a", "e", "2026-01-01", "feat: x")], "repo_id string, sha string, author string, email string, d string, subject string").withColumn("date", F.to_date("d"))
+    n = spark.createDataFrame([("r", "s", "src/a", 3, 1)], "repo_id string, sha string, path string, added long, deleted long")
+    broken = codequality.analyse(files, c, n).withColumn("documentation", F.struct(F.raise_error(F.lit("no")).cast("string").alias("x")))
+    q = codequality.evaluated(broken)
+    assert q["status"] == "complete" and q["dimensions"]["documentation"]["status"] == "error" and q["dimensions"]["code_quality"]["total_source_files"] == 1

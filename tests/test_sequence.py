@@ -120,3 +120,10 @@ def test_a_long_stream_takes_linear_time(spark):
     got = df.withColumn("n", S.next_index(KEYS, ["index"], F.col("x"))).agg(F.sum("n"), F.count("n")).first()
     assert tuple(got) == (49_999 * 49_999 + 99_999 * 50_000, 99_999)
     assert time.perf_counter() - began < 20
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("x")).repartition(5)
+    got = sorted((r.x, r.n) for r in S.numbered(df, ["x"], "n").collect())
+    assert got == [(x, x + 1) for x in range(1000)]
+    assert S.numbered(df.limit(0), ["x"], "n").collect() == []

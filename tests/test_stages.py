@@ -24,7 +24,7 @@ def test_end_to_end(spark, tmp_path, capsys):
         say("user", "add a module please", "2026-02-01T10:00:00Z"), say("assistant", [{"type": "text", "text": "Would you like option A or option B?"}], "2026-02-01T10:01:00Z"),
         say("user", "let's go with the first one because it is simple", "2026-02-01T10:02:00Z"), say("assistant", [{"type": "tool_use", "name": "Write", "id": "w", "input": {"file_path": "a.py", "content": "x"}}], "2026-02-01T10:20:00Z"),
     ]
-    (logs / "one.jsonl").write_text("\n".join(map(json.dumps, entries)))
+    (logs / "one.jsonl").write_text("\n".join([*map(json.dumps, entries), "", "{broken"]))
     (logs / "two.jsonl").write_text(json.dumps(say("user", "unrelated", "2026-03-01T10:00:00Z")))
     notes, catalog, answers, scores = tmp_path / "notes", tmp_path / "catalog.json", tmp_path / "answers.jsonl", tmp_path / "scores.jsonl"
     notes.mkdir()
@@ -40,7 +40,7 @@ def test_end_to_end(spark, tmp_path, capsys):
     run("extract", "--events", out("work/events"), "--out", out("cand"))
     run("finalize", "--events", out("work/events"), "--answers", str(answers), "--catalog", str(catalog), "--out", out("decisions"))
     run("episodes", "--logs", out("work"), "--gitdata", out("git"), "--narratives", str(notes), "--decisions", out("decisions"), "--out", out("docs"))
-    run("analytics", "--repo", str(repo), "--logs", out("work"), "--gitdata", out("git"), "--out", out("analytics.md"))
+    run("analytics", "--repo", str(repo), "--logs", out("work"), "--gitdata", out("git"), "--out", out("analytics.md"), "--json", out("analytics.json"))
     run("report", "--logs", out("work"), "--gitdata", out("git"), "--scores", str(scores), "--decisions", out("decisions"), "--out", out("report.md"))
     e = {r.episode_id: r for r in spark.read.parquet(out("git/episodes")).collect()}
     assert e[1].session_ids == ["one"] and e[1].links[0].link_type == "timestamp_overlap" and e[1].added_lines == 20 and e[2].episode_type == "session_only"
@@ -49,7 +49,12 @@ def test_end_to_end(spark, tmp_path, capsys):
     text = "\n".join(r.value for r in spark.read.text(out("docs/documents")).where("episode_id = 1").collect())
     assert "Episode type: feature" in text and "It went well." in text
     assert "Overall 7.00 (STRONG)." in (tmp_path / "report.md").read_text()
-    assert "total_source_files | 1" in (tmp_path / "analytics.md").read_text()
+    shown = (tmp_path / "analytics.md").read_text()
+    assert "total_source_files | 1" in shown and "## Profile\n- Project framework: generic" in shown
+    assert json.loads((tmp_path / "analytics.json").read_text())["code_quality"]["status"] == "complete"
+    assert any('  "episode_id" : 1' in r.value for r in spark.read.text(out("git/episodes.json")).collect())
+    told = capsys.readouterr().err
+    assert "[skip]" in told and "1 commits, 1 groups, 2 episodes" in told and "1 candidate(s), 1 batch(es) from 2 session(s)" in told and "1 decision(s) from 1 candidate(s)" in told
     (tmp_path / "agg.json").write_text(json.dumps({"episodes": [{"scores": {"steering": 9}, "confidence": 0.5}, {"scores": {"steering": 5}}]}))
     run("aggregate", "--scores", out("agg.json"))
     assert json.loads(capsys.readouterr().out)["axes"] == {"steering": 6.54}

@@ -122,3 +122,18 @@ def test_condensed(entries):
     f = r["one"].facts
     assert (f.git_commits, f.code_edits, f.subagent_dispatches, f.tool_results) == (1, 2, 1, 6)
     assert r["sess-b"].facts.code_edits == 2 and r["sess-b"].agent_type == "codex_cli" and r["sess-b"].cwd == "/b"
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """A file read in many splits keeps the numbers of its lines."""
+    rows = [f"line {i} " + "x" * (i % 300) for i in range(20_000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(rows))
+    (tmp_path / "b.jsonl").write_text("one\r\n\r\nthree")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        lines = transcripts.read_lines(spark, str(tmp_path))
+        got = {(r.path[-7], r.seq): r.raw for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a", i): r for i, r in enumerate(rows)} | {("b", 0): "one", ("b", 2): "three"}

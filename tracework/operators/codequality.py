@@ -19,7 +19,7 @@ from .sequence import top_by
 
 MAX_FILES, MAX_FILE_SIZE = 10_000, 100_000
 SOURCE_EXTENSIONS = (".rb", ".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".kt", ".swift", ".c", ".cpp", ".h")
-SKIPPED_DIRS = r"(?:^|/)(?:\.git|node_modules|vendor|dist|build|\.venv|__pycache__)/"
+SKIPPED_DIRS = r"^(?:\.git|node_modules|vendor|\.bundle)/|/node_modules/|/vendor/bundle/"
 TEST_FILE = r"(?:test|spec|__tests__)/|[._](?:test|spec)\.\w+$"
 TEST_FRAMEWORKS = {"rspec": r"spec.*_spec\.rb$", "jest": r"\.test\.[jt]sx?$", "pytest": r"test_.*\.py$", "minitest": r"test.*_test\.rb$", "go_test": r"_test\.go$", "bats": r"\.bats$"}
 RUBY = {"bare": r"(?m)rescue\s*($|\s*=>)", "standard": r"(?U)rescue\s+(?:StandardError|Exception)\b", "specific": r"(?U)rescue\s+[A-Z]\w+(?:::\w+)*(?:\s*,\s*[A-Z]\w+(?:::\w+)*)*"}
@@ -158,6 +158,45 @@ def agent_configs(files: DataFrame) -> DataFrame:
     )
 
 
+#: The dimensions, each a struct of :func:`analyse`.
+DIMENSIONS = (
+    "commit_discipline", "test_quality", "code_quality", "error_handling", "security_signals", "architecture", "documentation", "agent_configs", "infrastructure", "dependencies", "git_workflow", "code_evolution", "performance", "production_readiness",
+)
+
+
+def evaluated(analysed: DataFrame) -> dict:
+    """status, dimensions and the framework of one repository's row. If a part can't be computed, each is computed alone and the failing ones say so."""
+    try:
+        row = analysed.first()
+        if row is None:
+            return {"status": "empty_repo", "dimensions": {}}
+        return {"status": "complete", "project_framework": row.project_framework, "dimensions": {d: row[d].asDict(True) for d in DIMENSIONS}}
+    except Exception:
+        found = {}
+        for d in DIMENSIONS:
+            try:
+                found[d] = analysed.select(d).first()[0].asDict(True)
+            except Exception as e:
+                found[d] = {"status": "error", "error": type(e).__name__}
+        if all(x.get("status") == "error" for x in found.values()):
+            return {"status": "error", "dimensions": {}}
+        return {"status": "complete", "dimensions": found}
+
+
+def profile(quality: dict) -> dict:
+    """What the dimensions tell of the repository itself; only the status of one that has none."""
+    if quality["status"] != "complete":
+        return {"status": quality["status"]}
+    d = quality["dimensions"]
+    part = lambda name, key: d.get(name, {}).get(key)
+    return {
+        "project_framework": quality.get("project_framework"), "frameworks": part("dependencies", "frameworks") or [], "dependency_count": part("dependencies", "dependency_count") or 0,
+        "claude_md_stats": part("agent_configs", "rules"), "agent_config_stats": {k: v for k, v in d.get("agent_configs", {}).items() if k != "rules"},
+        "architecture_signals": {c["component"]: c["n"] for c in part("architecture", "components") or []},
+        "documentation": d.get("documentation", {}), "infra_signals": {k.removeprefix("has_"): True for k, on in d.get("infrastructure", {}).items() if on is True},
+    }
+
+
 def analyse(files: DataFrame, commits: DataFrame, numstat: DataFrame) -> DataFrame:
     """One row a repository: status, profile and the fourteen dimensions as structs. Nothing can raise: missing inputs leave nulls."""
     found = discovered(files)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import stored
+
 Keys = Sequence[str]
 
 
@@ -23,6 +25,17 @@ def index_events(df: DataFrame, keys: Keys, order: Sequence[str | Column], name:
     return df.withColumn(name, (F.row_number().over(window(keys, order)) - 1).cast("long"))
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Adds each row's place, from 1, in the order of the whole table: ranges are sorted apart, each begins where the counts of those before it end."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = stored(sorted_.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place")))
+    counts = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    # one row a range
+    begins = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = held.join(F.broadcast(begins.drop("__n")), "__part")
+    return out.withColumn(name, (F.col("__before") + F.col("__place") - F.col("__first") + 1).cast("long")).drop("__part", "__place", "__first", "__before")
+
+
 def cap_events(df: DataFrame, keys: Keys, order: Sequence[str | Column], structural: Column, cap: int, name: str = "index") -> DataFrame:
     """Keeps an event if fewer than ``cap`` were kept before it or it is structural, and numbers what is kept.
 

@@ -213,17 +213,27 @@ def render(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes:
     return "\n".join(out) + "\n"
 
 
-def render_analytics(dimensions, velocity, steering_totals, parallel) -> str:
-    """Repository metrics as markdown, from rows already collected."""
+def render_analytics(quality: dict, velocity, steering_totals, parallel, profile: dict) -> str:
+    """Repository metrics as markdown, from what is already collected."""
 
     def flat(x, prefix: str = "") -> list[tuple[str, object]]:
         rows = []
-        for k, v in x.asDict().items():
-            rows += flat(v, f"{prefix}{k}.") if hasattr(v, "asDict") else [(prefix + k, v)]
+        for k, v in (x.asDict() if hasattr(x, "asDict") else x).items():
+            rows += flat(v, f"{prefix}{k}.") if hasattr(v, "asDict") or isinstance(v, dict) else [(prefix + k, v)]
         return rows
 
-    out = ["# Repository analytics"]
-    for title, row in (("Code quality", dimensions), ("Velocity", velocity), ("Parallelism", parallel)):
+    out = ["# Repository analytics", "", f"## Code quality — status: {quality['status']}"]
+    if quality["dimensions"]:
+        out.append(table(["metric", "value"], flat(quality["dimensions"])))
+    for title, row in (("Velocity", velocity), ("Parallelism", parallel)):
         out += ["", f"## {title}", table(["metric", "value"], flat(row)) if row else "No data."]
-    out += ["", "## Steering", table(["action", "n"], [(r.action, r.n) for r in steering_totals])]
+    out += ["", "## Steering", table(["action", "n"], [(r.action, r.n) for r in steering_totals]), "", "## Profile"]
+    if "status" in profile:
+        out.append(f"- status: {profile['status']}")
+    else:
+        some = lambda xs: ", ".join(xs) or "none"
+        out += [
+            f"- Project framework: {profile['project_framework']}", f"- Frameworks detected: {some(profile['frameworks'])}; {profile['dependency_count']} dependencies", f"- Agent configs: {some(profile['agent_config_stats'].get('tools_configured') or [])}",
+            f"- Documentation files: {profile['documentation'].get('doc_count', 0)}", f"- Infra signals: {some(sorted(profile['infra_signals']))}",
+        ]
     return "\n".join(out) + "\n"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times as TM
@@ -32,11 +34,11 @@ def extracted(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFra
 def link_inputs(sessions: DataFrame, found: DataFrame, repo: str) -> DataFrame:
     """Session records as linking needs them, in order of their paths; their time is their own or that of their commits."""
     c = found.where("type = 'git_commit'").groupBy("session_id").agg(F.min("ts").alias("first_commit"), F.max("ts").alias("last_commit"))
-    s = sessions.join(c, "session_id", "left")
+    s = sessions.join(transcripts.sessions_in_order(sessions).select("session_id", "sess_pos"), "session_id").join(c, "session_id", "left")
     span = linking.time_range(TM.instant(F.col("session_created_at")), TM.instant(F.col("session_modified_at")), F.col("first_commit"), F.col("last_commit"))
     none = F.array().cast("array<string>")
     return s.withColumn("__span", span).select(
-        F.lit(repo).alias("repo_id"), F.row_number().over(Window.orderBy("path")).cast("long").alias("sess_pos"), "session_id", "pr_number", "git_branch",
+        F.lit(repo).alias("repo_id"), "sess_pos", "session_id", "pr_number", "git_branch",
         F.coalesce("event_branches", none).alias("branches"), F.coalesce("event_git_shas", none).alias("shas"), "__span.start", "__span.end", (~F.col("is_subagent")).alias("is_root"),
     )
 
@@ -59,16 +61,33 @@ def finalised(spark: SparkSession, stored_events: str, answers: str, catalog: st
     return decisions.finalise(spark.read.parquet(stored_events), repofiles.json_lines(spark, answers, ANSWERS), repofiles.catalog(spark, catalog))
 
 
-def analytics(spark: SparkSession, repo: str, commits: DataFrame, numstat: DataFrame, sessions: DataFrame, found: DataFrame) -> str:
-    """Repository metrics, velocity, steering and parallelism as markdown."""
+def quality(spark: SparkSession, repo: str, commits: DataFrame, numstat: DataFrame) -> dict:
+    """status (complete, empty_repo, no_repo, error), file_count and dimensions of a local repository."""
+    try:
+        if not os.path.isdir(repo):
+            return {"status": "no_repo", "dimensions": {}}
+        names = repofiles.listing(repo)
+        if not names:
+            return {"status": "empty_repo", "dimensions": {}}
+        return codequality.evaluated(codequality.analyse(repofiles.files(spark, repo, repo), commits, numstat)) | {"file_count": len(names)}
+    except Exception as e:
+        return {"status": "error", "error": f"{type(e).__name__}: {e}", "dimensions": {}}
+
+
+def analytics(spark: SparkSession, repo: str, commits: DataFrame, numstat: DataFrame, sessions: DataFrame, found: DataFrame) -> tuple[dict, str]:
+    """Repository metrics, velocity, steering, parallelism and profile: as a record, and as markdown."""
     c = commits.withColumn("date", TM.wall_date(F.col("date")))
     files = numstat.select("repo_id", "sha", F.col("file").alias("path"), "added", "deleted")
-    q = codequality.analyse(repofiles.files(spark, repo, repo), c, files).first()
+    q = quality(spark, repo, c, files)
     v = velocity.velocity(velocity.sizes(c, files), ["repo_id"]).first()
     turns = found.where("type = 'user_directive'")
     s = steering.totals(steering.actions(turns, ["session_id"], "index").drop("session_id"), []).orderBy(F.desc("n"), "action").collect()
-    p = steering.parallelism(sessions.withColumn("parent_session_id", F.lit(None).cast("string")), found).first()
-    return report.render_analytics(q, v, s, p)
+    if "parent_session_id" not in sessions.columns:
+        sessions = sessions.withColumn("parent_session_id", F.lit(None).cast("string"))
+    p = steering.parallelism(sessions, found).first()
+    about = codequality.profile(q)
+    record = {"session_count": sessions.count(), "code_quality": q, "velocity": v.asDict() if v else {}, "steering": {r.action: r.n for r in s}, "parallelism": p.asDict(), "profile": about}
+    return record, report.render_analytics(q, v, s, p, about)
 
 
 def aggregate(path: str) -> dict:
@@ -88,6 +107,23 @@ def export_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def export_indented(df: DataFrame, path: str) -> None:
+    """Indented JSON, a document a record."""
+    df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def say(text: str) -> None:
+    """A count or a skipped file, beside the results."""
+    print(text, file=sys.stderr)
+
+
+def say_skipped(spark: SparkSession, paths: list[str]) -> None:
+    """Files with lines that hold no entry; at most a hundred are named."""
+    skipped = transcripts.rejects(transcripts.read_lines(spark, paths)).groupBy("path").agg(F.count("*").alias("n"), F.min("reason").alias("reason"))
+    for r in skipped.orderBy("path").limit(100).collect():
+        say(f"[skip] {r.path}: {r.n} line(s), {r.reason}")
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracework", description="Stages of the session-log pipeline; tables are Parquet folders.")
     sub = p.add_subparsers(dest="stage", required=True)
@@ -110,7 +146,7 @@ def _parser() -> argparse.ArgumentParser:
     stage("finalize", "events", "answers", "catalog", "out")
     stage("episodes", "logs", "gitdata", "narratives", "decisions", "out")
     stage("aggregate", "scores")
-    stage("analytics", "repo", "logs", "gitdata", "out")
+    stage("analytics", "repo", "logs", "gitdata", "out", optional=("json",))
     stage("report", "logs", "gitdata", "scores", "decisions", "out", optional=("llm-calls",))
     return p
 
@@ -129,8 +165,10 @@ def main(argv: list[str] | None = None) -> int:
         df.write.mode("overwrite").parquet("/".join(parts))
 
     if a.stage == "condense":
+        say_skipped(spark, a.paths)
         save(condensed(spark, a.paths), a.out)
     elif a.stage == "events":
+        say_skipped(spark, a.paths)
         s, e = extracted(spark, a.paths)
         save(e, a.out, "events")
         save(s, a.out, "sessions")
@@ -138,17 +176,27 @@ def main(argv: list[str] | None = None) -> int:
         made = gitdata(spark, a.repo, load(a.logs, "sessions"), load(a.logs, "events"), a.since, a.author_name, a.author_email)
         for name, df in zip(("groups", "episodes", "commits", "numstat"), made, strict=True):
             save(df, a.out, name)
+        for name in ("groups", "episodes"):
+            export_indented(load(a.out, name), f"{a.out}/{name}.json")
+        say(f"[gitdata] {load(a.out, 'commits').count()} commits, {load(a.out, 'groups').count()} groups, {load(a.out, 'episodes').count()} episodes (since={a.since})")
     elif a.stage == "extract":
         found, packed = candidates(spark, a.events)
         save(found, a.out, "candidates")
         export_json(packed, f"{a.out}/batches")
+        found = load(a.out, "candidates")
+        say(f"{found.count()} candidate(s), {packed.count()} batch(es) from {load(a.events).select('session_id').distinct().count()} session(s)")
     elif a.stage == "finalize":
         save(finalised(spark, a.events, a.answers, a.catalog), a.out)
+        export_indented(load(a.out), f"{a.out}.json")
+        say(f"{load(a.out).count()} decision(s) from {decisions.candidates(load(a.events)).count()} candidate(s)")
     elif a.stage == "episodes":
         made = documents.documents(load(a.gitdata, "episodes"), load(a.logs, "sessions"), load(a.gitdata, "groups"), repofiles.narratives(spark, a.narratives), load(a.decisions), load(a.logs, "events"))
         documents.write(made, a.out)
     elif a.stage == "analytics":
-        Path(a.out).write_text(analytics(spark, a.repo, load(a.gitdata, "commits"), load(a.gitdata, "numstat"), load(a.logs, "sessions"), load(a.logs, "events")))
+        record, text = analytics(spark, a.repo, load(a.gitdata, "commits"), load(a.gitdata, "numstat"), load(a.logs, "sessions"), load(a.logs, "events"))
+        Path(a.out).write_text(text)
+        if a.json:
+            Path(a.json).write_text(json.dumps(record, indent=2, ensure_ascii=False, default=str) + "\n")
     else:
         scores = repofiles.json_lines(spark, a.scores, SCORES).withColumn("pos", F.monotonically_increasing_id())
         calls = repofiles.json_lines(spark, a.llm_calls, CALLS) if a.llm_calls else None

@@ -1,8 +1,7 @@
 """Transcripts of two agents as one table of canonical entries.
 
 Agent A writes one entry a line; agent B ("rollouts") wraps payloads, or writes them bare in older
-files. Files are read whole, so that lines keep their numbers; lines that don't parse, or aren't
-objects, go to :func:`rejects`.
+files. Lines that don't parse, or aren't objects, go to :func:`rejects`.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators.sequence import numbered
 
 V = "variant"
 
@@ -28,10 +28,14 @@ def kind_of(v: Column | str) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, seq, raw) of every line of every ``.jsonl`` file under ``paths``."""
-    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    files = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("seq", "raw")).withColumn("seq", F.col("seq").cast("long")).where(~T.blank(F.col("raw")))
+    """(path, seq, raw) of every line of every ``.jsonl`` file under ``paths``, numbered from 0; blank lines count but are left out.
+
+    Large files are read in splits: a line's place is its split's offset in the file, then its place in the split.
+    A file that can't be read to its end gives the lines before the error.
+    """
+    lines = spark.read.option("ignoreCorruptFiles", True).text(paths, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    lines = lines.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("raw"))
+    return lines.withColumn("seq", (F.row_number().over(Window.partitionBy("path").orderBy("at", "n")) - 1).cast("long")).select("path", "seq", "raw").where(~T.blank(F.col("raw")))
 
 
 def formats(lines: DataFrame) -> DataFrame:
@@ -181,5 +185,4 @@ def blocks(found: DataFrame, keep: list[str]) -> DataFrame:
 
 def sessions_in_order(found: DataFrame) -> DataFrame:
     """(session_id, path, sess_pos): sessions in order of their paths."""
-    s = found.groupBy("session_id").agg(F.min("path").alias("path"))
-    return s.withColumn("sess_pos", F.row_number().over(Window.orderBy("path")).cast("long"))
+    return numbered(found.groupBy("session_id").agg(F.min("path").alias("path")), ["path", "session_id"], "sess_pos")
