@@ -65,6 +65,32 @@ def test_rows_that_share_an_id(spark, tables):
     assert sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_odd_rows(spark, tables):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and columns with clashing names pass every stage."""
+    rng = random.Random(27)
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").first().text
+    long = prose(rng, 60_000)
+    texts = [None, "", " \n", "one", long, f"{long} {item}", f"{long} mail ann@site.org", prose(rng, 50), prose(rng, 50)]
+    rows = [(i if i % 3 else None, t, "en" if i % 2 else None, f"s{i % 2}" if i % 4 else None) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7], (None, texts[8], None, None), (1, texts[8], "en", "s0")]
+    extra = ["k", "t", "fp", "item", "score", "size", "terms", "component_id", "lot", "skey", "copies", "taken"]
+    docs = spark.createDataFrame([(*r, *range(len(extra))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in extra)).repartition(3)
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, tables).collect()
+    # blank texts are one group, as are the equal ones; the long texts with an end of their own may link
+    shown = [r.text for r in near]
+    assert len(set(shown)) == len(shown) and set(texts[7:9]) <= set(shown) and "one" in shown and sum(not (t or "").strip() for t in shown) == 1
+    clean = corpus_pipeline.decontamination_stage(spark, docs, tables).collect()
+    assert sorted(str(r.text) for r in clean) == sorted(str(t) for _, t, *_ in rows if t is None or item not in t)
+    private = corpus_pipeline.personal_data_stage(spark, docs, tables).collect()
+    assert sorted(str(r.text) for r in private) == sorted(str(t and t.replace("ann@site.org", "<email>")) for _, t, *_ in rows)
+    good = corpus_pipeline.quality_stage(spark, docs, tables)
+    assert good.columns == docs.columns and all(list(r)[4:] == list(range(len(extra))) for r in near + clean + private)
+    kept = {r.text for r in good.collect()}
+    assert long in kept and set(texts[7:9]) <= kept
+    mixed = corpus_pipeline.mixing_stage(spark, docs, tables).collect()
+    assert all(1 <= r.copies <= 3 and r.taken == r.copies * len((r.text or "").split()) for r in mixed)
+
+
 def test_run_agrees_with_the_stages(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Remembered, id_column, real_id
 
@@ -182,7 +183,7 @@ SCORE = "__tracework_score"
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with every column, and SCORE (0 to 1, higher: better). Null texts score as empty ones."""
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__tracework_text"), *[F.col(f"`{c}`") for c in docs.columns])
-    schema = docs.schema.add(SCORE, "double")
+    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
     return rows.mapInArrow(_scores(model), schema)
 
 
