@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracework.llm import decontaminate, mixing, pii, quality, simhash
-from tracework.llm.common import id_column, table, written
+from tracework.llm.common import dropped, id_column, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good; labels only train it."""
+    """Documents that the classifier takes for good; labels only train it.
+
+    A null text scores as an empty one. Rows that share an id, or have none, are judged each by their
+    text; equal texts are judged alike, so ties stay or go together. All columns come back as they were.
+    An empty table stays empty; without labels of both classes see ``quality.train``.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.with_score(docs, model).where(F.col(quality.SCORE) >= quality.GOOD).drop(quality.SCORE)
 
@@ -24,7 +29,13 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; of rows that share it in a group, one."""
+    """One document of each group of near duplicates, the one with the smallest id; of rows that share it in a group, one.
+
+    Documents are known by id and text: of equal rows one stays, and texts that share an id, or have none,
+    are documents of their own. No id counts as the smallest. Null, empty and blank texts are one group, as
+    their fingerprints are equal. All columns come back as they were; where rows agree in id and text but
+    differ in other columns, one of them stays. An empty table stays empty.
+    """
     rows = _with_row(docs)
     groups = simhash.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
     ids = rows.select("__row", id_column("doc_id").alias("k")).distinct()
@@ -33,7 +44,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item; rows that share an id are judged each."""
+    """Documents without a copy of a benchmark item; rows that share an id are judged each.
+
+    Null and empty texts hold no copy and stay, as do repeated clean rows. All columns come back as they
+    were. An empty benchmark keeps every document.
+    """
     rows = _with_row(docs)
     found = decontaminate.passages(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
     if found is None:
@@ -57,7 +72,11 @@ def _clean(at: int, batches):
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data replaced by its kind and disclosing terms generalised or removed; n_chars follows the text."""
+    """Every document, with personal data replaced by its kind and disclosing terms generalised or removed; n_chars follows the text.
+
+    A null text stays null. Repeated rows are cleaned each; rows that share an id by their own text. Other
+    columns come back as they were. An empty table stays empty.
+    """
     terms = pii.find(docs).where("terms is not null").select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("terms").alias("__terms"))
     terms = written(terms.dropDuplicates(["__k", "__t"]))
     rows = docs.withColumns({"__k": id_column("doc_id"), "__t": pii.text_hash("text")}).join(terms, ["__k", "__t"], "left")
@@ -67,7 +86,11 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how often (``copies``) and how many words that is (``taken``)."""
+    """Documents that the mix takes, with how often (``copies``) and how many words that is (``taken``).
+
+    Documents without words weigh nothing and come as often as their lot says. A null source is a source. Equal
+    rows go together. Columns that are named ``copies`` or ``taken`` are replaced. An empty table stays empty.
+    """
     _, planned = mixing.plan(docs)
     out = mixing.with_copies(docs, planned, "__copies").where("__copies > 0")
     size = mixing.n_words(F.col("text").cast("string"))
@@ -87,8 +110,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on ``documents``; each result is written and read again."""
+    """The stages one after another on ``documents``; each result is written and read again, and goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if n:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
