@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import logs, repository, rules, scores, streams, texts
+from . import artifacts, logs, repository, rules, scores, streams, texts
 
-_MODULES = (streams, repository, texts, scores, logs, rules)
+_MODULES = (streams, repository, texts, scores, logs, rules, artifacts)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -92,12 +92,6 @@ def plan_versions(spark, sf_dir):
     return G.latest_plans(d.select(F.col("source").alias("session_id"), F.col("lang").alias("filename"), "version", F.col("doc_id").cast("string").alias("content")))
 
 
-def latest_duplicate_wins(spark, sf_dir):
-    """Of records with one key the last stays."""
-    e = events(spark, sf_dir).withColumn("key", F.get_json_object("props", "$.k").cast("long"))
-    return S.first_by(e, ["user_id", "key"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "key", "event_id")
-
-
 def lower_median(spark, sf_dir):
     """Median of medians, the lower middle."""
     m = events(spark, sf_dir).withColumn("v", F.floor("value").cast("long")).groupBy("user_id").agg(F.expr("percentile_disc(0.5) within group (order by v)").cast("long").alias("m"))
@@ -131,7 +125,6 @@ ORACLE_SQL = {
     "ledger": f"SELECT event_type AS stage, user_id % 3 AS model, count(*) AS calls, CAST(sum({_K}) AS BIGINT) AS total_tokens FROM events GROUP BY ALL",
     "batch_packing": "SELECT session_id, b AS batch, count(*) AS n, md5('Classify these ' || count(*) || ' exchanges:' || chr(10) || chr(10) || string_agg('Exchange ' || (i % 2) || ':' || chr(10) || 'Agent: ' || t || chr(10) || 'Developer: ' || t || chr(10), chr(10) ORDER BY i)) AS prompt_md5 FROM (SELECT session_id, i, i // 2 AS b, CASE WHEN length(text) > 2000 THEN left(text, 1997) || '...' ELSE text END AS t FROM (SELECT conv_id AS session_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = 'user')) GROUP BY ALL",
     "plan_versions": "SELECT source AS session_id, lang AS filename, count(*) AS version_count, CAST(max(doc_id) AS VARCHAR) AS content FROM documents GROUP BY ALL",
-    "latest_duplicate_wins": f"SELECT user_id, key, event_id FROM (SELECT user_id, {_K} AS key, event_id, row_number() OVER (PARTITION BY user_id, {_K} ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "lower_median": "SELECT user_id % 5 AS bucket, CAST(quantile_disc(m, 0.5) AS BIGINT) AS median FROM (SELECT user_id, quantile_disc(CAST(floor(value) AS BIGINT), 0.5) AS m FROM events GROUP BY user_id) GROUP BY 1",
     "floor_division": "SELECT c_custkey, CASE WHEN c_nationkey <> 0 THEN CAST(floor(CAST(floor(c_acctbal) AS BIGINT) / CAST(c_nationkey AS DOUBLE)) AS BIGINT) END AS per_nation, CAST(c_nationkey * 4 AS BIGINT) AS share FROM customer",
 }

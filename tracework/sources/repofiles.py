@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators.codequality import MAX_FILE_SIZE, SKIPPED_DIRS
 
 
@@ -73,5 +74,5 @@ def narratives(spark: SparkSession, path: str) -> DataFrame:
     tag = r"(?i)<session_intent>\s*(shipping|exploration|ambiguous)\s*</session_intent>"
     notes = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1)
-    text = F.trim(F.regexp_replace("value", tag, ""))
+    text = T.strip(F.regexp_replace("value", tag, ""))
     return notes.select(name.alias("session_id"), F.nullif(text, F.lit("")).alias("narrative"), F.nullif(F.lower(F.regexp_extract("value", tag, 1)), F.lit("")).alias("intent"))
