@@ -56,7 +56,7 @@ def partitions(spark: SparkSession) -> int:
 class Remembered(dict):
     """What ``make`` gives for a word, kept for words of moderate length only and for so many at most, so that its bytes are bounded."""
 
-    def __init__(self, make, most: int = 1_000_000, longest: int = 64):
+    def __init__(self, make, most: int = 400_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 
