@@ -12,8 +12,8 @@ BITS, LEVEL_BITS, MOST_COPIES = 60, 10, 3
 
 
 def n_words(text: Column) -> Column:
-    """Number of words: each run is replaced by one letter, then letters are counted."""
-    return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), r"[^x]+", "")).cast("long")
+    """Number of words: each run is replaced by one letter, blanks are dropped, then letters are counted."""
+    return F.length(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def lot(k: Column, text: Column) -> Column:
@@ -134,12 +134,16 @@ def _copies(p: str, size: Column, lot: Column, most: int) -> Column:
     return F.least(F.col(f"{p}rounds") + F.when((lot < below) | fits, 1).otherwise(0), F.lit(most)).cast("long")
 
 
-def with_copies(docs: DataFrame, planned: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_COPIES) -> DataFrame:
-    """``docs`` with every column, and how often the mix takes each row."""
+def with_copies(docs: DataFrame, planned: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_COPIES, size: str | None = None) -> DataFrame:
+    """``docs`` with every column, how often the mix takes each row and, if named, its number of words."""
     p = planned.select(*[F.col(c).alias(f"__mix_{c}") for c in planned.columns])
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.withColumn("__mix_key", _key(F.col(f"`{source_col}`").cast("string"))).join(p, F.col("__mix_key") == F.col("__mix_skey"))
-    return rows.withColumn(name, _copies("__mix_", n_words(text), lot(id_column(id_col), text), most)).drop("__mix_key", *p.columns)
+    facts = F.struct(n_words(text).alias("__mix_size"), lot(id_column(id_col), text).alias("__mix_lot"), _key(F.col(f"`{source_col}`").cast("string")).alias("__mix_key"))
+    # a row of an array of one: what costs a pass over the text is computed once
+    rows = docs.select("*", F.inline(F.array(facts))).join(p, F.col("__mix_key") == F.col("__mix_skey"))
+    rows = rows.withColumn(name, _copies("__mix_", F.col("__mix_size"), F.col("__mix_lot"), most))
+    rows = rows.withColumn(size, F.col("__mix_size")) if size else rows
+    return rows.drop("__mix_key", "__mix_size", "__mix_lot", *p.columns)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_COPIES) -> DataFrame:
