@@ -92,9 +92,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows go together. Columns that are named ``copies`` or ``taken`` are replaced. An empty table stays empty.
     """
     _, planned = mixing.plan(docs)
-    out = mixing.with_copies(docs, planned, "__copies").where("__copies > 0")
-    size = mixing.n_words(F.col("text").cast("string"))
-    return out.withColumn("copies", F.col("__copies")).withColumn("taken", size * F.col("__copies")).drop("__copies")
+    out = mixing.with_copies(docs, planned, "__copies", size="__words").where("__copies > 0")
+    return out.withColumn("copies", F.col("__copies")).withColumn("taken", F.col("__words") * F.col("__copies")).drop("__copies", "__words")
 
 
 STAGES = [
