@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,21 @@ class Remembered(dict):
         return value
 
 
+def tidy(run):
+    """A function over Arrow batches that gives memory back to the system at its end: workers are used again and would keep what they once held."""
+
+    def held(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return held
+
+
 def id_column(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, real_id
+from .common import id_column, real_id, tidy
 
 #: Words of a seed; score of a match, a changed word and a gap; share of an item's best score from which a passage counts as a copy.
 SEED_WORDS, MATCH, MISMATCH, GAP, COPY = 3, 2, -1, -1, 0.5
@@ -27,9 +27,11 @@ class Vocabulary(dict):
         self.words = words
 
     def __missing__(self, raw: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        n = self[raw] = self.words.get(_EDGES.sub("", raw), 0)
+        n = self.words.get(_EDGES.sub("", raw), 0)
+        if len(raw) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[raw] = n
         return n
 
 
@@ -165,7 +167,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, copy: float = COPY, id_col:
     rows = docs.select(id_column(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = None
     for block in blocks(benchmark):
-        got = rows.mapInArrow(_passage_rows(block, copy), "k long, item long, score double, begin long, end long")
+        got = rows.mapInArrow(tidy(_passage_rows(block, copy)), "k long, item long, score double, begin long, end long")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, id_column, real_id, written
+from .common import Remembered, id_column, real_id, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Chance that any term of the corpus passes for disclosing though it meets its entity by accident.
@@ -21,7 +21,7 @@ ALPHA = 0.05
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.85, 0.95
 #: Terms whose counts a worker holds before it sends them on.
-COUNTED_TERMS = 500_000
+COUNTED_TERMS = 200_000
 
 # The patterns, each begun where a run of its characters begins, so that no text takes quadratic time.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -152,7 +152,7 @@ def _frequencies(batches):
 def frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): in how many documents each of ``terms`` stands. One pass counts all terms of a partition; those asked for are joined before the counts are added up."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = texts.mapInArrow(_frequencies, "term string, n long").join(terms.select("term"), "term", "left_semi")
+    found = texts.mapInArrow(tidy(_frequencies), "term string, n long").join(terms.select("term"), "term", "left_semi")
     return found.groupBy("term").agg(F.sum("n").alias("n"))
 
 
@@ -182,7 +182,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     by themselves, and the words of an entity's only document hardly ever do.
     """
     rows = docs.select(id_column(id_col).alias("k"), text_hash(text_col).alias("t"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = written(rows.mapInArrow(_find, _FOUND))
+    found = written(rows.mapInArrow(tidy(_find), _FOUND))
     n_docs = found.count()
     by = ("origin1", "origin2", "origin3")
     held = found.where(F.size("entities") > 0).select("k", "t", *by, F.explode("entities").alias("entity"), F.array_distinct(F.transform("near", lambda x: x.term)).alias("near"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Remembered, id_column, real_id
+from .common import Remembered, id_column, real_id, tidy
 
 #: Labelled documents of each class that a classifier is fitted on at most, and bytes of their texts; feature slots, and the score from which a document is good.
 SAMPLE, SAMPLE_BYTES, SLOTS, GOOD = 4000, 32_000_000, 1 << 18, 0.7
@@ -184,7 +184,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """``docs`` with every column, and SCORE (0 to 1, higher: better). Null texts score as empty ones."""
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__tracework_text"), *[F.col(f"`{c}`") for c in docs.columns])
     schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
-    return rows.mapInArrow(_scores(model), schema)
+    return rows.mapInArrow(tidy(_scores(model)), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, good: float = GOOD, sample: int = SAMPLE) -> DataFrame:

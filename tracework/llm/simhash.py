@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, id_column, partitions, real_id, written
+from .common import connected_components, id_column, partitions, real_id, tidy, written
 
 SEED, LINK_BITS = 42, 3
 #: Fixed value: the generator polynomial of the [23, 12, 7] Golay code.
@@ -52,7 +52,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(k, fp): SimHash of every whole text; fp holds the 64 bits as a signed long."""
     rows = docs.select(id_column(id_col).alias("k"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "k long, fp long")
+    return rows.mapInArrow(tidy(_fingerprints(shingle)), "k long, fp long")
 
 
 @cache
@@ -181,7 +181,7 @@ def links(classes: DataFrame, bits: int = LINK_BITS) -> DataFrame:
     if bits > LINK_BITS:
         raise ValueError(f"the keys hold for at most {LINK_BITS} differing bits")
     buckets = max(partitions(classes.sparkSession), -(-classes.count() * MOST_KEYS // BUCKET_KEYS))
-    dealt = classes.select("fp").mapInArrow(_deal_keys(buckets), "bucket int, keys binary, fps binary")
+    dealt = classes.select("fp").mapInArrow(tidy(_deal_keys(buckets)), "bucket int, keys binary, fps binary")
     return dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_verify(bits), "a long, b long").distinct()
 
 

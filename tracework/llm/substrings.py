@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, id_column, partitions, real_id
+from .common import Remembered, id_column, partitions, real_id, tidy
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -211,7 +211,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
 
 
 def _repeated(rows: DataFrame, width: int, buckets: int) -> DataFrame:
-    dealt = rows.mapInArrow(_map_windows(width, buckets), "bucket int, hashes binary, places binary, repeated binary")
+    dealt = rows.mapInArrow(tidy(_map_windows(width, buckets)), "bucket int, hashes binary, places binary, repeated binary")
     found = dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_reduce_bucket(buckets), "lot int, repeated binary")
     return found.repartitionById(buckets, F.col("lot")).groupBy("lot").applyInArrow(_merge_lot, "k long, t long, starts binary")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, partitions, real_id, written
+from .common import id_column, partitions, real_id, tidy, written
 
 LIMIT = 2048
 #: Words of the documents that one chunk holds, and bytes of text whose distinct words one bucket takes.
@@ -165,9 +165,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     rows = docs.select(id_column(id_col).alias("k"), text.alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-n_bytes // BUCKET_BYTES))
-    chunks = written(rows.mapInArrow(_frequencies(buckets), _CHUNK))
+    chunks = written(rows.mapInArrow(tidy(_frequencies(buckets)), _CHUNK))
     words = chunks.where("bucket >= 0").select("chunk", "bucket", "words").repartitionById(buckets, F.col("bucket"))
-    replies = words.mapInArrow(_pieces(tokenizer), "chunk binary, bucket int, pieces binary")
+    replies = words.mapInArrow(tidy(_pieces(tokenizer)), "chunk binary, bucket int, pieces binary")
     replies = replies.groupBy("chunk").agg(F.collect_set(F.struct("bucket", "pieces")).alias("replies"))
     held = chunks.where("bucket = -1").drop("bucket", "words").join(replies, "chunk", "left")
     out = held.mapInArrow(_sums, "k long, n_bytes long, n_tokens long")
