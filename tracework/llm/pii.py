@@ -21,7 +21,7 @@ ALPHA = 0.05
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.85, 0.95
 #: Terms whose counts a worker holds before it sends them on.
-COUNTED_TERMS = 200_000
+COUNTED_TERMS = 400_000
 
 # The patterns, each begun where a run of its characters begins, so that no text takes quadratic time.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -149,11 +149,10 @@ def _frequencies(batches):
     yield flush()
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): in how many documents each of ``terms`` stands. One pass counts all terms of a partition; those asked for are joined before the counts are added up."""
+def frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): in how many documents each term of the corpus stands. A partition adds up its counts before they are sent; one pass counts all terms."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = texts.mapInArrow(tidy(_frequencies), "term string, n long").join(terms.select("term"), "term", "left_semi")
-    return found.groupBy("term").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(_frequencies), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def text_hash(text_col: str):
@@ -198,7 +197,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     told = pairs.join(entities, "entity").withColumn("known", F.least("origins", "entity_origins"))
     told = written(told.where(_accident(F.col("entity_origins"), F.col("known"), F.col("known"), n_docs) <= sure))
     # without a term to judge there is nothing to count
-    counts = docs.sparkSession.createDataFrame([], "term string, n long") if told.isEmpty() else frequencies(docs, written(told.select("term").distinct()), text_col)
+    counts = docs.sparkSession.createDataFrame([], "term string, n long") if told.isEmpty() else frequencies(docs, text_col)
     information = F.log2(F.lit(n_docs) / F.col("n_entity"))
     share = (information + F.log2(F.least(F.col("n_both") / F.col("n"), F.lit(1.0)))) / information
     others = F.greatest(F.col("n") - F.col("n_both"), F.lit(0))
