@@ -72,17 +72,22 @@ class Remembered(dict):
         return value
 
 
+def release() -> None:
+    """Give memory that is no longer held back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run):
-    """A function over Arrow batches that gives memory back to the system at its end: workers are used again and would keep what they once held."""
+    """A function over Arrow batches that gives memory back at its end: workers are used again and would keep what they once held."""
 
     def held(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        release()
 
     return held
 

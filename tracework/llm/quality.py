@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Remembered, id_column, real_id, tidy
+from .common import Remembered, id_column, real_id, release, tidy
 
 #: Labelled documents of each class that a classifier is fitted on at most, and bytes of their texts; feature slots, and the score from which a document is good.
 SAMPLE, SAMPLE_BYTES, SLOTS, GOOD = 4000, 32_000_000, 1 << 18, 0.7
@@ -153,9 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return Model(np.zeros(SLOTS), 0.0, 0.0, -30.0 if {y for _, y, _ in chosen} == {0} else 30.0)
     picked = F.broadcast(spark.createDataFrame(chosen, "k long, y int, t long").select("k", "t"))
     rows = texts.withColumn("t", F.xxhash64("text")).join(picked, ["k", "t"]).dropDuplicates(["k"])
-    got = sorted(rows.select("k", "y", "text").mapInArrow(_feature_rows, "k long, y int, slots binary").collect())
-    rows = [np.frombuffer(r.slots, np.int32) for r in got]
-    y = np.array([1 if r.y else -1 for r in got])
+    got = rows.select("k", "y", "text").mapInArrow(tidy(_feature_rows), "k long, y int, slots binary").toArrow().sort_by("k")
+    rows = [np.frombuffer(x.as_buffer() or b"", np.int32) for x in got.column("slots")]
+    y = np.where(got.column("y").to_numpy() == 1, 1, -1)
     # folds give margins that the weights were not fitted to, for the line
     fold = np.arange(len(y)) % 3
     margins = np.zeros(len(y))
@@ -163,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         fitted = [i for i in range(len(y)) if fold[i] != f]
         m = Model(*fit([rows[i] for i in fitted], y[fold != f]), 1.0, 0.0)
         margins[fold == f] = [m.margin(rows[i]) for i in np.flatnonzero(fold == f)]
-    return Model(*fit(rows, y), *_line(margins, y))
+    model = Model(*fit(rows, y), *_line(margins, y))
+    del got, rows, m
+    release()
+    return model
 
 
 def _scores(model: Model):
