@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, mixing, pii, quality, simhash, substrings, tokencount, urlrules
+from . import chat, decontaminate, embeddings, merkle, mixing, pii, quality, simhash, substrings, tokencount, urlrules, vectorcodes
 from .common import table
+from .digest_sql import codes_sql, manifest_sql
 
 #: Rules of op5: action, host, path.
 RULES = [
@@ -60,7 +61,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_chat, op2_embedding_dedup, op3_pii, op4_quality, op5_url_rules, op6_simhash, op7_decontaminate, op8_token_counts, op9_substring_dedup, op10_mixing)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_chat, op2_embedding_dedup, op3_pii, op4_quality, op5_url_rules, op6_simhash, op7_decontaminate, op8_token_counts, op9_substring_dedup, op10_mixing, op12_vector_codes, op13_merkle)}
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), [])"
 
@@ -172,4 +181,6 @@ taken AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, CAST(copies AS BIGINT) AS copies
 FROM taken
 """,
+    "op12_vector_codes": codes_sql(),
+    "op13_merkle": manifest_sql(),
 }
