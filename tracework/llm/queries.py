@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, merkle, mixing, pii, quality, simhash, substrings, tokencount, urlrules, vectorcodes
+from . import chat, decontaminate, embeddings, merkle, mixing, pii, prefixfree, quality, simhash, substrings, tokencount, urlrules, vectorcodes
 from .common import table
 from .digest_sql import codes_sql, manifest_sql
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixfree.dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +73,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_chat, op2_embedding_dedup, op3_pii, op4_quality, op5_url_rules, op6_simhash, op7_decontaminate, op8_token_counts, op9_substring_dedup, op10_mixing, op12_vector_codes, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_preference_chat, op2_embedding_dedup, op3_pii, op4_quality, op5_url_rules, op6_simhash, op7_decontaminate, op8_token_counts, op9_substring_dedup, op10_mixing, op11_suffix_dedup, op12_vector_codes, op13_merkle)}
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), [])"
 
