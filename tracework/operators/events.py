@@ -13,6 +13,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import times as TM
 from ..sources.transcripts import V, blocks, get, kind_of
+from . import scans
 from . import sequence as S
 from .decisions import any_match, first_of
 
@@ -146,31 +147,27 @@ def user_messages(seen: DataFrame) -> DataFrame:
     return m.select("session_id", "seq", "ts_raw", T.truncate(F.col("full"), P.MAX_USER_TEXT).alias("text"), "full", T.n_words(F.col("full")).alias("word_count"))
 
 
-def extract(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, states). Events: session_id, index, ts_raw, ts and FIELDS. States: session_id, detected_branch, pr_number, shas and branches in order."""
-    c = candidates(visible(found))
-    w = S.window(["session_id"], ["seq", "bpos"])
-    # what answers a block is the first result after it that isn't blank
-    answer = S.next_value(["session_id"], ["seq", "bpos"], F.col("result"))
-    commits = F.exists("made", lambda e: e.type == "git_commit")
-    place = F.struct("seq", "bpos")
-    c = c.withColumns({"__answer": answer, "__commits": commits, "__at": place})
-    # a result answers the last commit before it, if no other result stands between
-    last_commit = F.last(F.when(F.col("__commits"), F.col("__at")), True).over(w)
-    to = S.next_value(["session_id"], ["seq", "bpos"], F.when(F.col("result").isNotNull(), F.col("__at")))
-    c = c.withColumns({"__to": to, "__last_commit": last_commit})
-    newest = F.max("__last_commit").over(Window.partitionBy("session_id", "__to"))
-    sha = F.when(F.col("__commits") & F.col("__to").isNotNull() & (newest == F.col("__at")), group(F.col("__answer"), P.COMMIT_OUTPUT, 2))
-    c = c.withColumn("__sha", sha)
-    # pull requests: the newest request before a result is answered by it if ids agree, or by the next result if it has none
+def extract(found: DataFrame, spread: bool = False, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, states). Events: session_id, index, ts_raw, ts and FIELDS. States: session_id, detected_branch, pr_number, shas and branches in order.
+
+    ``spread`` (over ``ranges`` ranges) scans sessions that are too long for a task by ranges of their order.
+    """
+    commits = F.coalesce(F.exists("made", lambda e: e.type == "git_commit"), F.lit(False))
     asks = F.coalesce(F.col("shell").rlike(P.PR_CREATE), F.lit(False))
+    s = S.Stream(candidates(visible(found)), ["session_id"], ["seq", "bpos"], spread, ranges)
+    s = s.map(lambda c: c.withColumns({"__commits": commits, "__at": F.struct("seq", "bpos")}))
+    # a commit is answered by the next result, unless another commit comes before it
+    heard = F.when(F.col("result").isNotNull() | F.col("__commits"), F.struct(F.col("result").alias("said")))
+    # a result answers the newest request for a pull request before it, if ids agree or the request has none
     ask = F.struct(F.col("__at").alias("at"), F.when(~T.blank(F.col("tool_id")), F.col("tool_id")).alias("id"))
-    pending = F.last(F.when(asks, ask), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("__ask", pending)
+    s = s.scan(__next=scans.following(heard), __ask=scans.last(F.when(asks, ask)))
+    sha = F.when(F.col("__commits"), group(F.col("__next.said"), P.COMMIT_OUTPUT, 2))
     matches = F.col("result").isNotNull() & F.col("__ask").isNotNull() & (F.col("__ask.id").isNull() | (F.col("__ask.id") == F.col("tool_use_id")))
-    c = c.withColumn("__match", F.coalesce(matches, F.lit(False)))
-    first_match = F.row_number().over(Window.partitionBy("session_id", "__ask", "__match").orderBy("seq", "bpos")) == 1
-    c = c.withColumn("__pr", F.when(F.col("__match") & first_match, group(F.col("result"), P.PR_URL, 1).try_cast("long")))
+    s = s.map(lambda c: c.withColumns({"__sha": sha, "__match": F.coalesce(matches, F.lit(False))}))
+    # only the first answer of a request counts
+    s = s.scan(__answered=scans.last(F.when(F.col("__match"), F.col("__ask.at"))))
+    first_match = F.col("__match") & ~F.col("__answered").eqNullSafe(F.col("__ask.at"))
+    c = s.rows().withColumn("__pr", F.when(first_match, group(F.col("result"), P.PR_URL, 1).try_cast("long")))
     named = [
         (group(F.col("shell"), P.CHECKOUT, 1), 0), (group(F.col("result"), P.COMMIT_OUTPUT, 1), 1), (group(F.col("result"), P.ON_BRANCH, 1), 2), (group(F.col("result"), P.SWITCHED, 1), 3),
     ]
@@ -179,10 +176,11 @@ def extract(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     states = c.groupBy("session_id").agg(F.max_by("__branch", F.when(F.col("__branch").isNotNull(), F.col("__at"))).alias("detected_branch"), F.max_by("__pr", F.when(F.col("__pr").isNotNull(), F.col("__at"))).alias("pr_number"))
     e = c.select("session_id", "seq", "bpos", "ts_raw", "__sha", F.explode("made").alias("e")).select("session_id", "seq", "bpos", "ts_raw", "__sha", "e.*")
     e = e.withColumn("sha", F.when(F.col("type") == "git_commit", F.col("__sha"))).drop("__sha")
-    # a return counts only after a dispatch of its id
-    sent = F.min(F.when(F.col("type") == "subagent_dispatch", F.struct(*ORDER))).over(Window.partitionBy("session_id", "tool_use_id"))
+    # a return counts only after a dispatch of its id; other events need no company
+    alone = F.when(~F.col("type").isin("subagent_dispatch", "subagent_return"), F.struct(*ORDER))
+    sent = F.min(F.when(F.col("type") == "subagent_dispatch", F.struct(*ORDER))).over(Window.partitionBy("session_id", "tool_use_id", alone))
     e = e.withColumn("__sent", sent).where((F.col("type") != "subagent_return") | (F.col("__sent") < F.struct(*ORDER))).drop("__sent")
-    e = S.cap_events(e, ["session_id"], ORDER, F.col("type").isin(*P.STRUCTURAL), P.MAX_EVENTS)
+    e = S.cap_events(e, ["session_id"], ORDER, F.col("type").isin(*P.STRUCTURAL), P.MAX_EVENTS, spread=spread)
     events = e.select("session_id", "index", "ts_raw", TM.instant(F.col("ts_raw")).alias("ts"), *FIELDS)
     git = events.where("type in ('git_commit', 'git_branch_switch')").groupBy("session_id").agg(_ordered("sha").alias("event_git_shas"), _ordered("branch").alias("event_branches"))
     return events, states.join(git, "session_id", "left")
@@ -214,7 +212,7 @@ def dispatch_metadata(events: DataFrame) -> DataFrame:
     )
 
 
-def sessions(found: DataFrame) -> DataFrame:
+def sessions(found: DataFrame, spread: bool = False) -> DataFrame:
     """The session record: one row a session, with times, windows, branch, prompts, signals, usage and plan files.
 
     ``events`` stays a table of its own, from :func:`extract`.
@@ -222,7 +220,7 @@ def sessions(found: DataFrame) -> DataFrame:
     from . import rollup, signals
 
     seen = visible(found).persist()
-    events, states = extract(found)
+    events, states = extract(found, spread)
     # read by several aggregates below; lost blocks are computed again
     events, said = events.persist(), user_messages(seen).persist()
     first = lambda c, by: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(by)))
@@ -232,7 +230,7 @@ def sessions(found: DataFrame) -> DataFrame:
         F.coalesce(first("git_branch", "seq"), F.max("meta_branch")).alias("entry_branch"), F.bool_or("is_subagent").alias("is_subagent"),
     )
     times = seen.select("session_id", "seq", TM.instant(F.col("ts_raw")).alias("ts"))
-    windows = S.active_windows(times, ["session_id"], "ts", P.WINDOW_GAP_MINUTES * 60).groupBy("session_id").agg(
+    windows = S.active_windows(times, ["session_id"], "ts", P.WINDOW_GAP_MINUTES * 60, spread=spread).groupBy("session_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("start", "end"))), lambda x: F.struct(TM.iso(x["start"]).alias("start"), TM.iso(x["end"]).alias("end"))).alias("active_time_windows")
     )
     usage = rollup.usage(seen.where("etype = 'assistant'").withColumn("counted", F.lit(True)))

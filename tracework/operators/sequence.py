@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stored import stored
+from . import scans
+from .scans import Stream
 
 Keys = Sequence[str]
 
@@ -36,37 +38,41 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFra
     return out.withColumn(name, (F.col("__before") + F.col("__place") - F.col("__first") + 1).cast("long")).drop("__part", "__place", "__first", "__before")
 
 
-def cap_events(df: DataFrame, keys: Keys, order: Sequence[str | Column], structural: Column, cap: int, name: str = "index") -> DataFrame:
-    """Keeps an event if fewer than ``cap`` were kept before it or it is structural, and numbers what is kept.
+def cap_events(df: DataFrame, keys: Keys, order: Sequence[str], structural: Column, cap: int, name: str = "index", spread: bool = False) -> DataFrame:
+    """Keeps an event if fewer than ``cap`` were kept before it or it is structural, and numbers what is kept from 0.
 
-    Until the cap is reached everything is kept, so an event's place among all events decides.
+    Until the cap is reached everything is kept, so an event's place among all events decides; a kept one's number is how many
+    were kept before it. ``spread``: see :class:`Stream`.
     """
-    w = window(keys, order)
-    kept = df.withColumn("__n", F.row_number().over(w)).where((F.col("__n") <= cap) | structural).drop("__n")
-    return index_events(kept, keys, order, name)
+    s = Stream(df, keys, order, spread).scan(__n=scans.total(F.lit(1)))
+    kept = F.when((F.col("__n") <= cap) | structural, 1)
+    s = s.map(lambda d: d.withColumn("__kept", kept)).scan(**{name: scans.total(F.col("__kept"), own=False)})
+    return s.rows().where("__kept = 1").drop("__n", "__kept").withColumn(name, F.col(name).cast("long"))
+
 
+def gap_sessions(df: DataFrame, keys: Keys, ts: str, gap_seconds: int, order: Sequence[str] | None = None, name: str = "session", break_on_null: bool = False, spread: bool = False, ranges: int | None = None) -> DataFrame:
+    """Adds the number (from 1) of the run of events whose gaps are at most ``gap_seconds``; optionally a null time starts and ends a run.
 
-def gap_sessions(df: DataFrame, keys: Keys, ts: str, gap_seconds: int, order: Sequence[str | Column] | None = None, name: str = "session", break_on_null: bool = False) -> DataFrame:
-    """Adds the number (from 1) of the run of events whose gaps are at most ``gap_seconds``; optionally a null time starts and ends a run."""
-    w = window(keys, order or [ts])
-    before = F.lag(ts).over(w)
-    gap = (F.unix_micros(F.col(ts)) - F.unix_micros(before)) > gap_seconds * 1_000_000
-    first = F.row_number().over(w) == 1
-    starts = first | F.coalesce(gap, F.lit(break_on_null))
-    return df.withColumn("__starts", starts.cast("int")).withColumn(name, F.sum("__starts").over(w).cast("long")).drop("__starts")
+    ``spread`` (over ``ranges`` ranges) is for streams too long for a task, and for a table that is one stream: see :class:`Stream`.
+    """
+    s = Stream(df, keys, order or [ts], spread, ranges).scan(__before=scans.last(F.struct(F.col(ts).alias("t"))))
+    gap = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("__before.t"))) > gap_seconds * 1_000_000
+    starts = F.col("__before").isNull() | F.coalesce(gap, F.lit(break_on_null))
+    s = s.map(lambda d: d.withColumn("__starts", starts.cast("int"))).scan(**{name: scans.total(F.col("__starts"))})
+    return s.rows().drop("__before", "__starts").withColumn(name, F.col(name).cast("long"))
 
 
-def active_windows(df: DataFrame, keys: Keys, ts: str, gap_seconds: int = 15 * 60) -> DataFrame:
+def active_windows(df: DataFrame, keys: Keys, ts: str, gap_seconds: int = 15 * 60, spread: bool = False, ranges: int | None = None) -> DataFrame:
     """(keys, window, start, end): bare extents of runs; a gap of exactly ``gap_seconds`` still joins. Null times are left out."""
-    runs = gap_sessions(df.where(F.col(ts).isNotNull()), keys, ts, gap_seconds, name="window")
+    runs = gap_sessions(df.where(F.col(ts).isNotNull()), keys, ts, gap_seconds, name="window", spread=spread, ranges=ranges)
     return runs.groupBy(*keys, "window").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("events"))
 
 
-def active_seconds(df: DataFrame, keys: Keys, ts: str, gap_seconds: int = 90 * 60) -> DataFrame:
+def active_seconds(df: DataFrame, keys: Keys, ts: str, gap_seconds: int = 90 * 60, spread: bool = False, ranges: int | None = None) -> DataFrame:
     """(keys, seconds): sum of the gaps of at most ``gap_seconds``."""
-    w = window(keys, [ts])
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))
-    counted = df.where(F.col(ts).isNotNull()).withColumn("__gap", F.when(gap <= gap_seconds * 1_000_000, gap).otherwise(0))
+    s = Stream(df.where(F.col(ts).isNotNull()), keys, [ts], spread, ranges).scan(__before=scans.last(F.col(ts)))
+    gap = F.unix_micros(F.col(ts)) - F.unix_micros("__before")
+    counted = s.rows().withColumn("__gap", F.when(gap <= gap_seconds * 1_000_000, gap).otherwise(0))
     return counted.groupBy(*keys).agg((F.sum("__gap") / 1e6).alias("seconds"))
 
 
@@ -132,10 +138,11 @@ def most_common(df: DataFrame, keys: Keys, value: str, order: Sequence[str | Col
 
 
 def max_concurrency(df: DataFrame, keys: Keys, start: str, end: str) -> DataFrame:
-    """(keys, peak): most intervals open at once; an end at an instant counts before a start."""
+    """(keys, peak): most intervals open at once; an end at an instant counts before a start. For one stream over a whole table: :func:`scans.peak`."""
     marks = df.select(*keys, F.col(start).alias("at"), F.lit(1).alias("step")).unionByName(df.select(*keys, F.col(end).alias("at"), F.lit(-1).alias("step")))
-    open_now = F.sum("step").over(window(keys, ["at", "step"]).rowsBetween(Window.unboundedPreceding, 0))
-    return marks.withColumn("open", open_now).groupBy(*keys).agg(F.greatest(F.max("open"), F.lit(0)).cast("long").alias("peak"))
+    steps = marks.groupBy(*keys, "at").agg(F.sum("step").alias("step"))
+    open_now = F.sum("step").over(window(keys, ["at"]).rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("open", open_now).groupBy(*keys).agg(F.greatest(F.max("open"), F.lit(0)).cast("long").alias("peak"))
 
 
 def busiest_hours(df: DataFrame, keys: Keys, hour: str, width: int = 4) -> DataFrame:

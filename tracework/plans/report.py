@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times as TM
 from ..operators import rollup as R
+from ..operators import scans
 from ..operators import sequence as S
 from ..operators import steering
 from ..operators.decisions import first_of
@@ -44,15 +45,16 @@ def go_to_prompt(sessions: DataFrame) -> DataFrame:
 
 def stats(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes: DataFrame) -> DataFrame:
     """One row of figures. ``commits``: sha, date (author-local text). Each input is aggregated to one row by itself."""
-    sig, one = "session_signals", F.lit(1)
+    sig = "session_signals"
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     s = sessions.agg(
         F.count("*").alias("n_sessions"), zero(f"{sig}.user_message_count").alias("prompts"), zero(F.try_element_at(F.col(f"{sig}.prompt_types"), F.lit("correction"))).alias("corrections"),
         zero(f"{sig}.courtesy_messages").alias("courtesy"), F.count_if(F.col(f"{sig}.courtesy_messages") > 0).alias("courtesy_sessions"), zero("prompt_stats.short_prompt_count").alias("short_prompts"),
         F.count_if(F.size("plan_files") > 0).alias("plan_sessions"), zero(f"{sig}.test_run_count").alias("test_runs"), F.expr("percentile_disc(0.5) within group (order by prompt_stats.median_words)").alias("median_words"),
     )
-    w = dispatch_windows(events).withColumn("all", one)
-    peak = w.agg(F.count("*")).select(F.lit(0).alias("none")).join(S.max_concurrency(w, ["all"], "start", "end").select("peak"), how="left")
+    w = dispatch_windows(events)
+    # the whole corpus is one stream
+    peak = scans.peak(w, [], "start", "end")
     longest = w.agg(F.max(F.struct((F.unix_seconds("end") - F.unix_seconds("start")).alias("s"), (-F.unix_seconds("start")).alias("at"))).alias("longest"))
     loops = steering.closed_loops(events).agg(zero("dispatches").alias("dispatch_count"), F.count_if(F.col("dispatches") > 0).alias("dispatching_sessions"), F.count_if((F.col("dispatches") > 0) & F.col("committed")).alias("committed_after_return_sessions"))
     c = commits.select(F.lit(1).alias("all"), TM.wall_hour(F.col("date")).alias("hour"), TM.wall_weekday(F.col("date")).alias("day"))
@@ -65,7 +67,7 @@ def stats(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes:
     top = models.orderBy(F.desc("m"), "model").limit(1).select(F.struct("model", "m").alias("top_model")).join(models.agg(F.sum("m").alias("model_messages")))
     goto = go_to_prompt(sessions).select(F.struct("example", "n").alias("goto"))
     out = s
-    for part in (loops, e, n, longest, peak.select(F.coalesce("peak", F.lit(0)).alias("max_parallel"))):
+    for part in (loops, e, n, longest, peak.select(F.col("peak").alias("max_parallel"))):
         out = out.join(part)
     for part in (hours, day, quotes, top, goto):
         out = out.join(part, how="left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times as TM
-from ..operators import codequality, condense, decisions, events, grouping, linking, rollup, steering, velocity
+from ..operators import codequality, condense, decisions, events, grouping, linking, rollup, scans, steering, velocity
 from ..sources import gitlog, repofiles, transcripts
 from . import documents, report
 
@@ -28,7 +28,8 @@ def condensed(spark: SparkSession, paths: list[str]) -> DataFrame:
 def extracted(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(sessions, events)."""
     found = transcripts.entries(transcripts.read_lines(spark, paths))
-    return events.sessions(found), events.extract(found)[0]
+    spread = scans.too_long(found, ["session_id"])
+    return events.sessions(found, spread), events.extract(found, spread)[0]
 
 
 def link_inputs(sessions: DataFrame, found: DataFrame, repo: str) -> DataFrame:

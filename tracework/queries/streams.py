@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions as D
+from ..operators import scans
 from ..operators import sequence as S
 
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
@@ -97,6 +98,29 @@ def ordered_session(spark, sf_dir):
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "event_type"))), lambda x: x.event_type), ">").alias("path"))
 
 
+def site_sessions(spark, sf_dir):
+    """All events as one stream: its runs without a pause of more than 20 seconds."""
+    runs = S.gap_sessions(events(spark, sf_dir), [], "ts", 20, ORDER, spread=True)
+    return runs.groupBy("session").agg(F.count("*").alias("n_events"), F.unix_seconds(F.min("ts")).alias("start_s"), F.unix_seconds(F.max("ts")).alias("end_s"))
+
+
+def site_states(spark, sf_dir):
+    """All events as one stream: what each error finds before and after it, as a state machine would hold it."""
+    kind = F.col("event_type")
+    s = scans.Stream(events(spark, sf_dir), [], ORDER, spread=True).scan(
+        n_before=scans.total(F.lit(1), own=False), spent=scans.total(F.when(kind == "purchase", F.floor("value").cast("long"))),
+        last_purchase=scans.last(F.when(kind == "purchase", F.col("event_id"))), next_signup=scans.following(F.when(kind == "signup", F.col("event_id"))),
+    )
+    return s.rows().where("event_type = 'error'").select("event_id", F.col("n_before").cast("long").alias("n_before"), "spent", "last_purchase", "next_signup")
+
+
+def site_concurrency(spark, sf_dir):
+    """Most dispatches open at once over all users, and most order lines on their way at once over all orders."""
+    d = scans.peak(dispatch_intervals(spark, sf_dir), [], "start", "end").select(F.lit("dispatches").alias("what"), "peak")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", F.date_add("l_shipdate", (F.col("l_quantity") % 30).cast("int")).alias("arrives"))
+    return d.unionByName(scans.peak(lines, [], "l_shipdate", "arrives").select(F.lit("lines").alias("what"), "peak"))
+
+
 _IDX = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events"
 _PAIR = """SELECT *, CASE WHEN k1 = 'signup' THEN NULL WHEN k1 = 'view' THEN e1 WHEN k2 = 'signup' THEN NULL WHEN k2 = 'view' THEN e2 WHEN k3 = 'signup' THEN NULL WHEN k3 = 'view' THEN e3 END AS response_id
 FROM (SELECT *, lead(event_type, 1) OVER w AS k1, lead(event_type, 2) OVER w AS k2, lead(event_type, 3) OVER w AS k3,
@@ -136,6 +160,9 @@ SELECT user_id, proposal,
  CASE n WHEN 0 THEN CAST(0.3 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS confidence,
  coalesce(nullif(concat_ws('. ', CASE WHEN t > 0 THEN t || ' test run(s): ' || p || ' passed, ' || f || ' failed' END, CASE WHEN e > 0 THEN e || ' error(s) encountered' END, CASE WHEN c > 0 THEN c || ' commit(s) made' END, CASE WHEN r THEN 'User reversed direction' END), ''), 'No signal events after decision') AS evidence
 FROM n""",
+    "site_sessions": "SELECT CAST(s AS BIGINT) AS session, count(*) AS n_events, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS end_s FROM (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 20000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id))) GROUP BY s",
+    "site_states": "SELECT event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS n_before, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END) OVER w, 0) AS BIGINT) AS spent, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS last_purchase, first_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_signup FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY event_type = 'error'",
+    "site_concurrency": f"SELECT what, CAST(max(o) AS BIGINT) AS peak FROM (SELECT what, sum(d) OVER (PARTITION BY what ORDER BY tt, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT 'dispatches' AS what, epoch_us(s) AS tt, 1 AS d FROM ({_DISPATCH}) UNION ALL SELECT 'dispatches', epoch_us(e), -1 FROM ({_DISPATCH}) UNION ALL SELECT 'lines', epoch_us(l_shipdate), 1 FROM lineitem UNION ALL SELECT 'lines', epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) % 30 * 86400000000, -1 FROM lineitem)) GROUP BY what",
     "max_concurrency": f"SELECT user_id, CAST(max(o) AS BIGINT) AS peak FROM (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY tt, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT user_id, s AS tt, 1 AS d FROM ({_DISPATCH}) UNION ALL SELECT user_id, e, -1 FROM ({_DISPATCH}))) GROUP BY user_id",
     "peak_hours_circular": """WITH h AS (SELECT user_id, CAST(hour(ts) AS INT) AS h, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL),
 w AS (SELECT u.user_id, CAST(s.s AS INT) AS s, (SELECT sum(h.n) FROM h WHERE h.user_id = u.user_id AND (h.h - s.s + 24) % 24 < 4) AS n FROM (SELECT DISTINCT user_id FROM h) u, (SELECT unnest(range(24)) AS s) s)
