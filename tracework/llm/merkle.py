@@ -32,42 +32,40 @@ def tampered(text: Column, key: Column) -> Column:
 
 
 def _placed(leaves: DataFrame) -> DataFrame:
-    """Adds ``i``, a leaf's place from 0 in its group: ranges are sorted apart, and each group's part of a range begins where its parts before end."""
+    """Adds ``i``, a leaf's place from 0 in its group, and ``n``, how many there are: ranges are sorted apart, and each group's part of a range begins where its parts before end."""
     order = [F.col("g"), F.col("id").asc_nulls_first(), F.col("h"), F.col("tie")]
     ranged = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
     held = written(ranged.drop("tie").select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")))
     # one row a range and group that meet
     counts = held.groupBy("p", "g").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begins = counts.select("p", "g", "first", before.alias("before"))
-    return held.join(begins, ["p", "g"]).select("g", "id", "h", "h2", (F.col("before") + F.col("at") - F.col("first")).alias("i"))
+    begins = counts.select("p", "g", "first", before.alias("before"), F.sum("n").over(Window.partitionBy("g")).alias("n"))
+    return held.join(begins, ["p", "g"]).select("g", "id", "h", "h2", (F.col("before") + F.col("at") - F.col("first")).alias("i"), "n")
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
-    """Runs of ``RUN`` consecutive nodes (g, i, h and more): (g, i of the parent, kids in order, h of the parent)."""
-    kid = F.struct("i", *[c for c in nodes.columns if c not in ("g", "i")])
-    runs = nodes.groupBy("g", F.expr(f"i div {RUN}").alias("up")).agg(F.sort_array(F.collect_list(kid)).alias("kids"))
+    """Runs of ``RUN`` consecutive nodes (g, i, n, h and more): (g, i of the parent, n of its level, kids in order, h of the parent)."""
+    kid = F.struct("i", *[c for c in nodes.columns if c not in ("g", "i", "n")])
+    runs = nodes.groupBy("g", F.expr(f"i div {RUN}").alias("up")).agg(F.sort_array(F.collect_list(kid)).alias("kids"), F.first("n").alias("below"))
     digest = F.sha2(F.array_join(F.transform("kids", lambda k: k.h), ""), 256)
-    return runs.select("g", F.col("up").alias("i"), "kids", digest.alias("h"))
+    return runs.select("g", F.col("up").alias("i"), F.expr(f"(below + {RUN - 1}) div {RUN}").alias("n"), "kids", digest.alias("h"))
 
 
 def build(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Levels of runs (g, i, kids, h), leaves' first, and for each height the groups whose tree ends there (g, h, and leaf columns at height 0).
+    """Levels of runs (g, i, n, kids, h), leaves' first, and for each height the groups whose tree ends there (g, h, and leaf columns at height 0).
 
     While a group has more than one node, its nodes of a level become runs of the next. Every level is a written table.
     """
     nodes = written(nodes)
+    most = nodes.agg(F.max("n")).first()[0] or 0
     levels, tops = [], []
     while True:
-        sizes = nodes.groupBy("g").agg(F.max("i").alias("last"))
-        lone = nodes.join(sizes.where("last = 0"), "g", "left_semi")
-        tops.append(lone)
-        open_ = nodes.join(sizes.where("last > 0"), "g", "left_semi")
-        if sizes.agg(F.max("last")).first()[0] in (None, 0):
+        tops.append(nodes.where("n = 1").drop("n"))
+        if most <= 1:
             return levels, tops
-        level = written(_parents(open_))
-        levels.append(level)
-        nodes = level.select("g", "i", "h")
+        levels.append(written(_parents(nodes.where("n > 1"))))
+        nodes = levels[-1].select("g", "i", "n", "h")
+        most = -(-most // RUN)
 
 
 def _siblings(kids: Column, i: Column) -> Column:
