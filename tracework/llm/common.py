@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,17 +58,21 @@ def partitions(spark: SparkSession) -> int:
 
 
 class Remembered(dict):
-    """What ``make`` gives for a word, kept for words of moderate length only and for so many at most, so that its bytes are bounded."""
+    """What ``make`` gives for a word, kept for words of moderate length only and while all that is kept takes no more than ``room`` bytes; then it begins anew."""
 
-    def __init__(self, make, most: int = 400_000, longest: int = 64):
+    def __init__(self, make, room: int = 48_000_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.room, self.longest, self.held = make, room, longest, 0
 
     def __missing__(self, word):
         value = self.make(word)
         if len(word) <= self.longest:
-            if len(self) >= self.most:
+            # the word, its value and what a tuple holds, and the entry in the table
+            size = getsizeof(word) + getsizeof(value) + 100 + (sum(map(getsizeof, value)) if type(value) is tuple else 0)
+            if self.held + size > self.room:
                 self.clear()
+                self.held = 0
+            self.held += size
             self[word] = value
         return value
 

@@ -20,8 +20,8 @@ KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.05
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.85, 0.95
-#: Terms whose counts a worker holds before it sends them on.
-COUNTED_TERMS = 400_000
+#: Bytes of terms and their counts that a worker holds before it sends them on.
+COUNTED_BYTES = 48_000_000
 
 # The patterns, each begun where a run of its characters begins, so that no text takes quadratic time.
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -133,7 +133,7 @@ def _words(raw: str) -> tuple[str, ...]:
 
 
 def _frequencies(batches):
-    words, counts = Remembered(_words), Counter()
+    words, counts, held = Remembered(_words), Counter(), 0
 
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
@@ -142,10 +142,14 @@ def _frequencies(batches):
         for text in batch.column(0):
             text = text.as_py()
             if text:
-                counts.update(set(chain.from_iterable(map(words.__getitem__, set(text.split())))))
-                if len(counts) >= COUNTED_TERMS:
+                before = len(counts)
+                terms = set(chain.from_iterable(map(words.__getitem__, set(text.split()))))
+                counts.update(terms)
+                # a new term takes its characters and some 150 bytes; of long ones more than a text's own share is never counted
+                held += (len(counts) - before) * 150 + (sum(map(len, terms)) if len(counts) > before else 0)
+                if held >= COUNTED_BYTES:
                     yield flush()
-                    counts = Counter()
+                    counts, held = Counter(), 0
     yield flush()
 
 

@@ -126,7 +126,7 @@ def _line(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from at most ``sample`` labelled documents of each class, those with the smallest hashes of their ids, as far as their texts fit in ``sample_bytes`` (at least one).
+    """A model from at most ``sample`` labelled documents of each class, those with the smallest hashes of their ids; texts that don't fit in what is left of ``sample_bytes`` are passed over (but never the first).
 
     Rows whose crc32 of the id as text leaves 2 when divided by 4 are held out. Null ids and labels
     are left out; an id with both labels counts as good; of texts that share an id the one with the smallest hash counts. Without
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         room = sample_bytes
         for r in (r for r in few if r.y == y and r.k in found):
             if room < sample_bytes and found[r.k].n > room:
-                break
+                continue
             room -= found[r.k].n
             chosen.append((r.k, r.y, found[r.k].t))
     if len({y for _, y, _ in chosen}) < 2:
