@@ -521,6 +521,43 @@ def test_copies_with_few_trigrams_left(spark):
     assert all(got[100 + i].contaminated for i in range(12)) and got[400].contaminated
 
 
+def test_short_items_and_worn_copies(spark):
+    """Items of one or two words are seeds by themselves; with every word for a seed each copy is met."""
+    rng = random.Random(21)
+    items = [(0, "zebrafish"), (1, "quantum lobster"), (2, prose(rng, 30)), (3, prose(rng, 31)), (4, ""), (5, None)]
+    third = " ".join(w if k % 3 else "changed" for k, w in enumerate(items[2][1].split()))
+    apart = " ".join(f"{w} between" for w in items[3][1].split())
+    rows = [(0, "a zebrafish swims"), (1, "the quantum lobster"), (2, "quantum and lobster"), (3, f"{prose(rng, 9)} {third} {prose(rng, 9)}"), (4, apart), (5, prose(rng, 50)), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect() if r.contaminated} >= {0, 1}
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, bench, seed_words=1).collect()}
+    for k, text in rows:
+        best = max(brute_alignment(t.split(), (text or "").split()) / (2 * len(t.split())) for _, t in items if t)
+        assert got[k].contaminated == (best >= 0.5), k
+        assert not got[k].contaminated or got[k].score == round(best, 6)
+    assert got[3].contaminated and got[4].contaminated
+    for seeds in (1, 3):
+        clean = {r.doc_id for r in decontaminate.clean(docs, bench, seed_words=seeds).collect()}
+        assert clean == {r.doc_id for r in decontaminate.contaminated(docs, bench, seed_words=seeds).collect() if not r.contaminated}
+
+
+def test_seeds_meet_worn_copies(spark):
+    """Recall of trigram seeds over all items: copies with 5 to 30 % of words changed, dropped or doubled, against every word as a seed."""
+    rng = random.Random(22)
+    items = [(i, prose(rng, rng.randint(3, 60))) for i in range(80)]
+    rows = []
+    for i, text in items:
+        for wear in (0.05, 0.15, 0.3):
+            out = []
+            for w in text.split():
+                out += [w] if rng.random() > wear else rng.choice([["changed"], [], [w, "more"]])
+            rows.append((len(rows), f"{prose(rng, 40)} {' '.join(out)} {prose(rng, 40)}"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    met, every = ({r.doc_id for r in decontaminate.contaminated(docs, bench, seed_words=n).collect() if r.contaminated} for n in (3, 1))
+    assert met <= every and len(every) > 200 and len(met) / len(every) >= 0.9
+
+
 def brute_alignment(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
@@ -636,6 +673,24 @@ def test_mixing(spark, docs, empty):
     assert as_counts(n) == as_counts([(i, len(words(t))) for i, t in corpus()])
 
 
+@pytest.mark.parametrize("doc", [7, None])
+def test_mixing_takes_as_many_of_equal_rows_as_fit(spark, doc):
+    """Equal rows are interchangeable, so a target is met within one row of them."""
+    rows = [(doc, "w " * 10, "a")] * 900 + [(10_000 + i, "w " * 10, "b") for i in range(90)] + [(doc, "w " * 10, "c")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = r.target
+    assert len(got) == 1290 and set(taken) == {9000, 900, 3000}
+    assert all(target[s] - 10 < taken[s] <= target[s] for s in taken)
+    assert max(r.copies for r in got) <= 3
+    assert as_counts(mixing.mix(df.repartition(2)).collect()) == as_counts(got)
+    again = mixing.with_copies(df, mixing.plan(df)[1], "n").groupBy("doc_id", "source", "n").count().collect()
+    assert sum(r["count"] * r.n * 10 for r in again) == sum(r.taken for r in got)
+
+
 # --- op1 ---
 
 

@@ -22,6 +22,30 @@ def lot(k: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, BITS // 4), 16, 10).cast("long")
 
 
+def own_lots(rows: DataFrame, name: str, source: str) -> DataFrame:
+    """``rows`` with lots (column ``name``) that no two rows of a ``source`` share: the first keeps it, each further one gets the hash of it and of its number.
+
+    Rows of a source with equal lots are equal in id and text, so it doesn't matter which is which: each partition numbers its own and
+    begins where those before it end. Only lots that stand more than once are dealt; without such rows this is a count.
+    """
+    key = [source, name]
+    twice = written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(source).alias("__s"), F.col(name).alias("__l")))
+    if twice.isEmpty():
+        return rows
+    same = (rows[source] == twice["__s"]) & (rows[name] == twice["__l"])
+    alone = rows.join(twice, same, "left_anti")
+    many = written(rows.join(twice, same, "left_semi").withColumn("__part", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy(*key, "__part").orderBy(F.lit(0))) - 1
+    # one row a lot and partition
+    sums = many.groupBy(*key, "__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = many.withColumn("__nth", within).join(sums.select(*key, "__part", before.alias("__before")), [*key, "__part"])
+    nth = F.col("__nth") + F.col("__before")
+    further = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(name).cast("string"), nth.cast("string"))), 1, BITS // 4), 16, 10).cast("long")
+    placed = placed.withColumn(name, F.when(nth == 0, F.col(name)).otherwise(further))
+    return alone.unionByName(placed.select(*rows.columns))
+
+
 def targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     """sizes (source, source_size) with ``target``: weights 1, 2, 3, 1, ... by code point order, nulls last.
 
@@ -102,6 +126,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     text = F.col(f"`{text_col}`").cast("string")
     sized = docs.select(id_column(id_col).alias("k"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(text).alias("size"), lot(id_column(id_col), text).alias("lot"))
     sized = written(sized.withColumn("skey", _key(F.col("source"))))
+    told = own_lots(sized, "lot", "skey")
+    sized = sized if told is sized else written(told)
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     # full rounds, and the budget of words for the last one
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -140,7 +166,7 @@ def with_copies(docs: DataFrame, planned: DataFrame, name: str, id_col: str = "d
     text = F.col(f"`{text_col}`").cast("string")
     facts = F.struct(n_words(text).alias("__mix_size"), lot(id_column(id_col), text).alias("__mix_lot"), _key(F.col(f"`{source_col}`").cast("string")).alias("__mix_key"))
     # a row of an array of one: what costs a pass over the text is computed once
-    rows = docs.select("*", F.inline(F.array(facts))).join(p, F.col("__mix_key") == F.col("__mix_skey"))
+    rows = own_lots(docs.select("*", F.inline(F.array(facts))), "__mix_lot", "__mix_key").join(p, F.col("__mix_key") == F.col("__mix_skey"))
     rows = rows.withColumn(name, _copies("__mix_", F.col("__mix_size"), F.col("__mix_lot"), most))
     rows = rows.withColumn(size, F.col("__mix_size")) if size else rows
     return rows.drop("__mix_key", "__mix_size", "__mix_lot", *p.columns)
@@ -153,8 +179,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document floor(c) times, and those whose lot lies below the source's threshold once more, as far
     as the budget goes. A document larger than what is left then is passed over and further ones
     that fit are taken, the largest sizes first, so fewer words are left than any document not taken has.
-    The lot depends on the id and the text alone, so reruns agree. Equal rows share a lot and go together, or
-    are all left where they don't fit together.
+    The lot depends on the id and the text alone, so reruns agree. Of rows equal in both, each further one has a lot of its own;
+    which of them that is doesn't matter, as many are taken in each run.
 
     Returns doc_id, size, source_size, target (the source's), taken (words) and copies. A null
     source is a source of its own, last in order; null ids are drawn by their texts. An empty

@@ -145,9 +145,12 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 FROM kept LEFT JOIN words USING (doc_id)
 """,
     "op10_mixing": rf"""
-WITH RECURSIVE sized AS (
+WITH RECURSIVE named AS (
   SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-9223372036854775808') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS lot
   FROM documents),
+sized AS (
+  SELECT doc_id, source, size, CASE WHEN nth = 0 THEN lot ELSE CAST('0x' || substr(md5(CAST(lot AS VARCHAR) || ':' || CAST(nth AS VARCHAR)), 1, 15) AS BIGINT) END AS lot
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, lot) - 1 AS nth FROM named)),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weights AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM sizes),
