@@ -23,38 +23,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.with_score(docs, model).where(F.col(quality.SCORE) >= quality.GOOD).drop(quality.SCORE)
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, a number of each id and text, as rows may share an id or have none."""
-    return docs.withColumn("__row", F.xxhash64(id_column("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-
-
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; of rows that share it in a group, one.
+    """One document of each group of near duplicates: the one with the smallest id, among those that share it the first by a hash of all columns.
 
-    Documents are known by id and text: of equal rows one stays, and texts that share an id, or have none,
-    are documents of their own. No id counts as the smallest. Null, empty and blank texts are one group, as
-    their fingerprints are equal. All columns come back as they were; where rows agree in id and text but
-    differ in other columns, one of them stays. An empty table stays empty.
+    Rows are numbered, so rows that share an id, or have none, are documents of their own; of rows equal throughout one
+    stays. No id counts as the smallest. Null, empty and blank texts are one group, as their fingerprints are equal. All
+    columns come back as they were, and reruns keep the same rows. An empty table stays empty.
     """
-    rows = _with_row(docs)
-    groups = simhash.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
-    ids = rows.select("__row", id_column("doc_id").alias("k")).distinct()
-    keep = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("k", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.md5(F.to_json(F.struct(*cols)))
+    rows = written(docs.select(*cols, F.monotonically_increasing_id().alias("__row"), order.alias("__order")))
+    groups = simhash.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", id_column("doc_id").alias("k"), "__order")
+    keep = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("k", "__order", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(written(keep), "__row", "left_semi").select(*cols)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item; rows that share an id are judged each.
+    """Documents without a copy of a benchmark item; each row is judged where it is read.
 
     Null and empty texts hold no copy and stay, as do repeated clean rows. All columns come back as they
     were. An empty benchmark keeps every document.
     """
-    rows = _with_row(docs)
-    found = decontaminate.passages(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
-    if found is None:
-        return docs
-    bad = written(found.select(F.col("k").alias("__row")).distinct())
-    return rows.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def _clean(at: int, batches):
@@ -88,8 +79,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how often (``copies``) and how many words that is (``taken``).
 
-    Documents without words weigh nothing and come as often as their lot says. A null source is a source. Equal
-    rows go together. Columns that are named ``copies`` or ``taken`` are replaced. An empty table stays empty.
+    Documents without words weigh nothing and come as often as their lot says. A null source is a source. Of equal
+    rows as many are taken in each run. Columns that are named ``copies`` or ``taken`` are replaced. An empty table stays empty.
     """
     _, planned = mixing.plan(docs)
     out = mixing.with_copies(docs, planned, "__copies", size="__words").where("__copies > 0")
