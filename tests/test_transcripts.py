@@ -125,15 +125,14 @@ def test_condensed(entries):
 
 
 def test_lines_of_split_files(spark, tmp_path):
-    """A file read in many splits keeps the numbers of its lines."""
+    """A file read in many splits keeps each line once, at its offset."""
     rows = [f"line {i} " + "x" * (i % 300) for i in range(20_000)]
     (tmp_path / "a.jsonl").write_text("\n".join(rows))
     (tmp_path / "b.jsonl").write_text("one\r\n\r\nthree")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
-    try:
-        lines = transcripts.read_lines(spark, str(tmp_path))
-        got = {(r.path[-7], r.seq): r.raw for r in lines.collect()}
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert got == {("a", i): r for i, r in enumerate(rows)} | {("b", 0): "one", ("b", 2): "three"}
+    lines = transcripts.read_lines(spark, str(tmp_path), split=100_000)
+    got = {(r.path[-7], r.seq): r.raw for r in lines.collect()}
+    at, want = 0, {}
+    for r in rows:
+        want["a", at] = r
+        at += len(r) + 1
+    assert got == want | {("b", 0): "one", ("b", 7): "three"}

@@ -8,7 +8,7 @@ import os
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times as TM
@@ -21,13 +21,18 @@ SCORES = "episode_id long, title string, facts string, interpretation string, co
 CALLS = "stage string, target string, model string, total_tokens long, duration_s double"
 
 
-def condensed(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return condense.condensed(transcripts.entries(transcripts.read_lines(spark, paths)))
+def loaded(spark: SparkSession, paths: list[str], seen: Observation | None = None) -> DataFrame:
+    """Transcripts under ``paths``, read and parsed once; ``seen`` observes that pass."""
+    return transcripts.held(transcripts.read_lines(spark, paths), seen)
 
 
-def extracted(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def condensed(lines: DataFrame) -> DataFrame:
+    return condense.condensed(transcripts.entries(lines))
+
+
+def extracted(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sessions, events)."""
-    found = transcripts.entries(transcripts.read_lines(spark, paths))
+    found = transcripts.entries(lines)
     spread = scans.too_long(found, ["session_id"])
     return events.sessions(found, spread), events.extract(found, spread)[0]
 
@@ -118,11 +123,14 @@ def say(text: str) -> None:
     print(text, file=sys.stderr)
 
 
-def say_skipped(spark: SparkSession, paths: list[str]) -> None:
-    """Files with lines that hold no entry; at most a hundred are named."""
-    skipped = transcripts.rejects(transcripts.read_lines(spark, paths)).groupBy("path").agg(F.count("*").alias("n"), F.min("reason").alias("reason"))
-    for r in skipped.orderBy("path").limit(100).collect():
-        say(f"[skip] {r.path}: {r.n} line(s), {r.reason}")
+def say_seen(seen: Observation, lines: DataFrame) -> None:
+    """What the pass over the transcripts has seen, and every file with lines that hold no entry, from the lines held."""
+    got = seen.get
+    say(f"[read] {got['lines']} line(s): {got['unparsable']} unparsable, {got['not_objects']} not an object, {got['errors']} read(s) ended early")
+    if got["unparsable"] or got["not_objects"] or got["errors"]:
+        skipped = transcripts.rejects(lines).groupBy("path").agg(F.count("*").alias("n"), F.min("reason").alias("reason"))
+        for r in skipped.orderBy("path").toLocalIterator():
+            say(f"[skip] {r.path}: {r.n} line(s), {r.reason}")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -165,14 +173,17 @@ def main(argv: list[str] | None = None) -> int:
     def save(df: DataFrame, *parts: str) -> None:
         df.write.mode("overwrite").parquet("/".join(parts))
 
-    if a.stage == "condense":
-        say_skipped(spark, a.paths)
-        save(condensed(spark, a.paths), a.out)
-    elif a.stage == "events":
-        say_skipped(spark, a.paths)
-        s, e = extracted(spark, a.paths)
-        save(e, a.out, "events")
-        save(s, a.out, "sessions")
+    if a.stage in ("condense", "events"):
+        seen = Observation("transcripts")
+        lines = loaded(spark, a.paths, seen)
+        say_seen(seen, lines)
+        if a.stage == "condense":
+            save(condensed(lines), a.out)
+        else:
+            s, e = extracted(lines)
+            save(e, a.out, "events")
+            save(s, a.out, "sessions")
+        save(transcripts.rejects(lines), f"{a.out.rstrip('/')}-rejects")
     elif a.stage == "gitdata":
         made = gitdata(spark, a.repo, load(a.logs, "sessions"), load(a.logs, "events"), a.since, a.author_name, a.author_email)
         for name, df in zip(("groups", "episodes", "commits", "numstat"), made, strict=True):

@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import re
-import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times as TM
 from ..operators.sequence import forward_fill
+from . import linefiles
 
 # Log formats and limits.
 COMMITS_FORMAT, NUMSTAT_FORMAT = "%H%x09%h%x09%aN%x09%aE%x09%aI%x09%s", "COMMIT_BOUNDARY %H %aI %aN <%aE>"
 COMMIT_LIMIT, LOOKBACK_DAYS = 1000, 7
 
 
+def lines(spark: SparkSession, paths: str | list[str], suffix: str = ".log") -> DataFrame:
+    """(repo_id, log_pos, line, error) of exported logs, a file a repository (its path): read in splits, in order of byte offsets."""
+    return linefiles.read(spark, paths, suffix).select(F.col("path").alias("repo_id"), F.col("at").alias("log_pos"), F.col("raw").alias("line"), "error")
+
+
+def rejects(found: DataFrame) -> DataFrame:
+    """(repo_id, log_pos, reason) of reads that ended early."""
+    return found.where("error is not null").select("repo_id", "log_pos", F.col("error").alias("reason"))
+
+
 def _lines(df: DataFrame) -> DataFrame:
-    """(repo_id, content) to (repo_id, log_pos, line)."""
+    """(repo_id, log_pos, line) of lines, or of whole logs (repo_id, content)."""
+    if "line" in df.columns:
+        return df.where("line is not null").select("repo_id", "log_pos", "line").where(F.trim("line") != "")
     return df.select("repo_id", F.posexplode(F.split("content", "\r\n|\n|\r")).alias("log_pos", "line")).withColumn("log_pos", F.col("log_pos").cast("long")).where(F.trim("line") != "")
 
 
@@ -76,24 +88,15 @@ def author_flags(names: list[str], emails: list[str]) -> list[str]:
     return [f"--author=<{escape(e)}>" for e in emails if e] + [f"--author={escape(n)}" for n in names if n]
 
 
-def _git(repo: str, args: list[str], timeout: int = 120) -> str:
-    try:
-        run = subprocess.run(["git", "-C", repo, *args], capture_output=True, timeout=timeout, check=False)
-    except (OSError, subprocess.TimeoutExpired):
-        return ""
-    return run.stdout.decode("utf-8", "replace") if run.returncode == 0 else ""
+def export(spark: SparkSession, repos: str | list[str], since: str | None = None, names: list[str] = (), emails: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(commits, numstat) of local repositories, each read in a task of its own: the author's log, both parts of it, where it isn't empty, else the newest thousand commits."""
+    commit_lines, stat_lines = (export_lines(spark, repos, form, since, names, emails) for form in ([f"--format={COMMITS_FORMAT}"], [f"--format={NUMSTAT_FORMAT}", "--numstat"]))
+    return commits(commit_lines), numstat(stat_lines)
 
 
-def export(spark: SparkSession, repo: str, since: str | None = None, names: list[str] = (), emails: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(commits, numstat) of a local repository: the author's log, both parts of it, where it isn't empty, else the newest thousand commits."""
+def export_lines(spark: SparkSession, repos: str | list[str], form: list[str], since: str | None = None, names: list[str] = (), emails: list[str] = ()) -> DataFrame:
+    """(repo_id, log_pos, line, error) of the logs of local repositories in a format; a repository that can't be read gives its error."""
     window = [f"--since={since}"] if since else []
-    own, flags = "", author_flags(list(names), list(emails))
-    base = ["log", f"-{COMMIT_LIMIT}", *window]
-    if flags:
-        own = _git(repo, ["log", *flags, *window, f"--format={COMMITS_FORMAT}"])
-        if own.strip():
-            base = ["log", *flags, *window]
-    log = own if own.strip() else _git(repo, [*base, f"--format={COMMITS_FORMAT}"])
-    stat = _git(repo, [*base, f"--format={NUMSTAT_FORMAT}", "--numstat"])
-    as_table = lambda text: spark.createDataFrame([(repo, text)], "repo_id string, content string")
-    return commits(as_table(log)), numstat(as_table(stat))
+    flags = author_flags(list(names), list(emails))
+    found = linefiles.read_git(spark, [repos] if isinstance(repos, str) else list(repos), [*flags, *window] if flags else [], [f"-{COMMIT_LIMIT}", *window], form)
+    return found.select(F.col("path").alias("repo_id"), F.col("at").alias("log_pos"), F.col("raw").alias("line"), "error")

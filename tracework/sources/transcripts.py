@@ -1,17 +1,19 @@
 """Transcripts of two agents as one table of canonical entries.
 
 Agent A writes one entry a line; agent B ("rollouts") wraps payloads, or writes them bare in older
-files. Lines that don't parse, or aren't objects, go to :func:`rejects`.
+files. Lines that don't parse, or aren't objects, and reads that end early go to :func:`rejects`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators.sequence import numbered
+from ..stored import stored
+from . import linefiles
 
 V = "variant"
 
@@ -27,48 +29,68 @@ def kind_of(v: Column | str) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, seq, raw) of every line of every ``.jsonl`` file under ``paths``, numbered from 0; blank lines count but are left out.
+def read_lines(spark: SparkSession, paths: str | list[str], split: int = linefiles.SPLIT) -> DataFrame:
+    """(path, seq, raw, error) of every line that isn't blank of every ``.jsonl`` (or ``.jsonl.gz``) file under ``paths``; ``seq`` is the line's byte offset.
 
-    Large files are read in splits: a line's place is its split's offset in the file, then its place in the split.
-    A file that can't be read to its end gives the lines before the error.
+    Large files are read in splits. A file that can't be read to its end gives the lines before the error and one row with ``error``,
+    which :func:`rejects` tells; errors of the storage fail the read.
     """
-    lines = spark.read.option("ignoreCorruptFiles", True).text(paths, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    lines = lines.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("raw"))
-    return lines.withColumn("seq", (F.row_number().over(Window.partitionBy("path").orderBy("at", "n")) - 1).cast("long")).select("path", "seq", "raw").where(~T.blank(F.col("raw")))
+    lines = linefiles.read(spark, paths, ".jsonl", split).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("at").alias("seq"), "raw", "error")
+    return lines.where(F.col("error").isNotNull() | ~T.blank(F.col("raw")))
+
+
+def _opens(v: Column) -> Column:
+    opens = (get(v, "$.type") == "session_meta") | F.contains(F.coalesce(get(v, "$.originator"), F.lit("")), F.lit("codex"))
+    return F.coalesce(opens & (kind_of(v) == "OBJECT"), F.lit(False))
 
 
 def formats(lines: DataFrame) -> DataFrame:
     """(path, rollout): whether a file's first line that isn't blank opens a rollout; one that doesn't parse means it doesn't."""
-    first = lines.groupBy("path").agg(F.min_by("raw", "seq").alias("raw")).withColumn("v", F.try_parse_json(T.strip(F.col("raw"))))
-    opens = (get("v", "$.type") == "session_meta") | F.contains(F.coalesce(get("v", "$.originator"), F.lit("")), F.lit("codex"))
-    return first.select("path", F.coalesce(opens & (kind_of("v") == "OBJECT"), F.lit(False)).alias("rollout"))
+    first = lines.where("raw is not null").groupBy("path").agg(F.min_by("raw", "seq").alias("raw")).withColumn("v", F.try_parse_json(T.strip(F.col("raw"))))
+    return first.select("path", _opens(F.col("v")).alias("rollout"))
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Lines with ``rollout`` and ``v``; NUL characters are dropped from transcripts only."""
-    clean = F.when(F.col("rollout"), F.col("raw")).otherwise(F.replace("raw", F.lit("\x00"), F.lit("")))
-    return lines.join(formats(lines), "path").withColumn("v", F.try_parse_json(T.strip(clean)))
+def held(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """(path, seq, rollout, v, error): lines parsed once and stored, with what opened their file; NUL characters are dropped from transcripts only.
+
+    ``seen`` observes the pass: lines, and of them ``unparsable``, ``not_objects`` and ``errors`` (reads that ended early).
+    """
+    error = F.col("error") if "error" in lines.columns else F.lit(None).cast("string")
+    # both readings agree where a line has no NUL, so the text is parsed before its format is known
+    v = F.try_parse_json(T.strip(F.col("raw")))
+    clean = F.when(F.contains("raw", F.lit("\x00")), F.try_parse_json(T.strip(F.replace("raw", F.lit("\x00"), F.lit(""))))).otherwise(v)
+    p = lines.select("path", "seq", v.alias("v"), clean.alias("clean"), (v.isNotNull() & _opens(v)).alias("opens"), error.alias("error"))
+    if seen is not None:
+        object_ = kind_of("clean") == "OBJECT"
+        p = p.observe(
+            seen, F.count_if(F.col("error").isNull()).alias("lines"), F.count_if(F.col("error").isNull() & F.col("clean").isNull()).alias("unparsable"),
+            F.count_if(F.col("clean").isNotNull() & ~object_).alias("not_objects"), F.count_if(F.col("error").isNotNull()).alias("errors"),
+        )
+    p = stored(p)
+    # one row a file
+    first = p.where("error is null").groupBy("path").agg(F.min_by("opens", "seq").alias("rollout"))
+    rollout = F.coalesce("rollout", F.lit(False))
+    return p.join(first, "path", "left").select("path", "seq", rollout.alias("rollout"), F.when(rollout, F.col("v")).otherwise(F.col("clean")).alias("v"), "error")
 
 
 def rejects(lines: DataFrame) -> DataFrame:
-    """(path, seq, reason) of lines that hold no entry."""
-    p = parsed(lines)
-    return p.where(F.col("v").isNull() | (kind_of("v") != "OBJECT")).select("path", "seq", F.when(F.col("v").isNull(), "unparsable").otherwise("not an object").alias("reason"))
+    """(path, seq, reason) of lines that hold no entry, and of reads that ended early; ``lines`` may be :func:`held` ones."""
+    p = lines if "v" in lines.columns else held(lines)
+    reason = F.coalesce("error", F.when(F.col("v").isNull(), "unparsable").when(kind_of("v") != "OBJECT", "not an object"))
+    return p.select("path", "seq", reason.alias("reason")).where("reason is not null")
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """Canonical entries of both agents: path, session_id, rollout, seq, etype, role, content, ts_raw, is_sidechain, git_branch, cwd, msg_id, model, usage."""
-    p = parsed(lines).where(kind_of("v") == "OBJECT")
-    both = _transcript(p.where("not rollout")).unionByName(_rollout(p.where("rollout")))
-    return both
+    """Canonical entries of both agents: path, session_id, rollout, seq, etype, role, content, ts_raw, is_sidechain, git_branch, cwd, msg_id, model, usage; ``lines`` may be :func:`held` ones."""
+    p = (lines if "v" in lines.columns else held(lines)).where(kind_of("v") == "OBJECT").drop("error")
+    return _transcript(p.where("not rollout")).unionByName(_rollout(p.where("rollout")))
 
 
 _USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
 
 
 def _stem(path: Column) -> Column:
-    return F.regexp_replace(T.basename(path), r"\.jsonl$", "")
+    return F.regexp_replace(T.basename(path), r"\.jsonl(\.gz)?$", "")
 
 
 def _transcript(p: DataFrame) -> DataFrame:
