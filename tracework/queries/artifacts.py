@@ -13,9 +13,9 @@ from ..operators import sequence as S
 from ..plans import documents as PD
 from ..plans import report as R
 from ..plans import stages
-from ..sources import repofiles, transcripts
+from ..sources import gitlog, repofiles, transcripts
 from ..stored import stored
-from . import logs, streams
+from . import logs, rules, streams
 from .repository import table
 from .rules import pick, sql_pick
 
@@ -30,16 +30,30 @@ def folder(spark: SparkSession) -> str:
 
 
 def transcript_files(spark, sf_dir):
-    """Lines of logs written as files of a folder tree and read again, with their formats: how many lines and entries each file has."""
+    """Lines of logs written as files of a folder tree, rollouts compressed, and read again, with their formats: how many lines and entries each file has."""
     root = folder(spark)
     raw = logs.lines(spark, sf_dir).withColumn("name", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1))
     # one file a log: the folder tells its name
-    raw.repartition("name").sortWithinPartitions("name", "seq").select("name", F.col("raw").alias("value")).write.partitionBy("name").text(f"{root}/logs")
-    read = spark.read.text(f"{root}/logs", recursiveFileLookup=True)
-    read = read.withColumn("path", F.concat(F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1), F.lit(".jsonl")))
-    lines = S.index_events(read.withColumn("n", F.monotonically_increasing_id()), ["path"], ["n"], "seq").select("path", "seq", F.col("value").alias("raw"))
-    e = transcripts.entries(lines).groupBy("path").agg(F.count("*").alias("entries"), F.bool_or("rollout").alias("rollout"))
-    return lines.groupBy("path").agg(F.count("*").alias("lines")).join(e, "path", "left")
+    raw = stored(raw.select("name", "seq", F.col("raw").alias("value")))
+    for rollouts, codec in ((False, "none"), (True, "gzip")):
+        mine = raw.where(F.col("name").startswith("r") == rollouts).repartition("name").sortWithinPartitions("name", "seq")
+        mine.drop("seq").write.partitionBy("name").option("compression", codec).text(f"{root}/logs/{codec}")
+    read = transcripts.read_lines(spark, f"{root}/logs", split=50_000, suffix=".txt")
+    held = transcripts.held(read.withColumn("path", F.concat(F.regexp_extract("path", r"name=([^/]+)/", 1), F.lit(".jsonl"))))
+    e = transcripts.entries(held).groupBy("path").agg(F.count("*").alias("entries"), F.bool_or("rollout").alias("rollout"))
+    return held.where("error is null").groupBy("path").agg(F.count("*").alias("lines")).join(e, "path", "left")
+
+
+def git_log_files(spark, sf_dir):
+    """The same logs written as files, a folder a repository, every other one compressed, and read in splits: one repository's scan may take many tasks."""
+    lines = rules.numstat_lines(spark, sf_dir).select("user_id", "index", F.col("line").alias("value"))
+    root = folder(spark)
+    for odd, codec in ((0, "none"), (1, "gzip")):
+        mine = lines.where(F.col("user_id") % 2 == odd).repartition("user_id").sortWithinPartitions("user_id", "index")
+        mine.drop("index").write.partitionBy("user_id").option("compression", codec).text(f"{root}/{codec}")
+    found = gitlog.numstat(gitlog.lines(spark, [f"{root}/none", f"{root}/gzip"], ".txt"), spread=True)
+    repo = F.regexp_extract("repo_id", r"user_id=(\d+)/", 1).cast("long")
+    return found.select(repo.alias("repo_id"), "sha", "date", "author", "email", "file", "added", "deleted", "is_binary")
 
 
 def json_lines_round_trip(spark, sf_dir):
@@ -237,4 +251,5 @@ SELECT b.*, (SELECT CAST(sum(sent) AS BIGINT) FROM lp) AS dispatch_count, (SELEC
     "agent_files": f"""SELECT path, CASE p WHEN 2 THEN '.go' WHEN 4 THEN '.rb' WHEN 5 THEN '.py' WHEN 6 THEN '.ts' WHEN 7 THEN '.gz' WHEN 10 THEN '.js' WHEN 11 THEN '.H' ELSE '' END AS ext, p IN (4, 6) AS is_test, p IN (2, 4, 5, 6, 10) AS is_source, CASE WHEN p IN (2, 4, 5, 6, 10) THEN doc_id % 3 * 60000 <= 100000 END AS was_read
 FROM (SELECT doc_id, doc_id % {len(PLACES)} AS p, replace({sql_pick(PLACES, "doc_id")}, '{{}}', CAST(doc_id AS VARCHAR)) AS path FROM documents) WHERE p NOT IN (0, 1, 9)""",
 }
+ORACLE_SQL["git_log_files"] = rules.ORACLE_SQL["git_numstat"]
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -87,7 +87,7 @@ def entries(spark, sf_dir) -> DataFrame:
 
 def events(spark, sf_dir) -> DataFrame:
     """Typed events as the next stage reads them, from a table."""
-    return stored(E.extract(entries(spark, sf_dir))[0])
+    return stored(E.extract(stored(entries(spark, sf_dir)))[0])
 
 
 def transcript_formats(spark, sf_dir):

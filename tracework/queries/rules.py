@@ -204,26 +204,30 @@ def _commits(spark, sf_dir) -> DataFrame:
     return e.withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX"))
 
 
-def _joined(lines: DataFrame) -> DataFrame:
-    """One log a user."""
-    return lines.groupBy(F.col("user_id").alias("repo_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "line"))), lambda x: x.line), "\n").alias("content"))
+def _log(lines: DataFrame) -> DataFrame:
+    """A log a user, as its source gives it: (repo_id, log_pos, line)."""
+    return lines.select(F.col("user_id").alias("repo_id"), F.col("index").alias("log_pos"), "line")
 
 
 def git_commits(spark, sf_dir):
     """Tab-separated logs: six fields, tabs stay in subjects, short lines drop out."""
     c = _commits(spark, sf_dir)
     line = F.concat_ws("\t", "sha", F.left("sha", F.lit(7)), F.concat(F.lit("u"), "user_id"), F.lit("u@x.org"), "at", F.concat(F.lit("fix\tit "), "k"))
-    logs_ = _joined(c.withColumn("line", F.when(F.col("event_id") % 6 == 0, "too\tshort").otherwise(line)))
+    logs_ = _log(c.withColumn("line", F.when(F.col("event_id") % 6 == 0, "too\tshort").otherwise(line)))
     return gitlog.commits(logs_).select("repo_id", "log_pos", "sha", "short", "author", "email", "date", "subject", F.unix_micros("ts").alias("us"))
 
 
-def git_numstat(spark, sf_dir):
-    """File lines under boundary lines: purchases are commits, errors binary files, other events files; what comes before the first commit drops out."""
+def numstat_lines(spark, sf_dir) -> DataFrame:
     c = _commits(spark, sf_dir)
     kind = F.col("event_type")
     head = F.concat(F.lit("COMMIT_BOUNDARY "), "sha", F.lit(" "), "at", F.lit(" A B <a@b.c>"))
     line = F.when(kind == "purchase", head).when(kind == "error", F.concat(F.lit("-\t-\timg"), "k")).otherwise(F.concat("k", F.lit("\t3\tsrc/f"), "k"))
-    return gitlog.numstat(_joined(c.withColumn("line", line))).select("repo_id", "sha", "date", "author", "email", "file", "added", "deleted", "is_binary")
+    return c.withColumn("line", line)
+
+
+def git_numstat(spark, sf_dir):
+    """File lines under boundary lines: purchases are commits, errors binary files, other events files; what comes before the first commit drops out."""
+    return gitlog.numstat(_log(numstat_lines(spark, sf_dir))).select("repo_id", "sha", "date", "author", "email", "file", "added", "deleted", "is_binary")
 
 
 def git_combined(spark, sf_dir):
@@ -232,7 +236,7 @@ def git_combined(spark, sf_dir):
     kind = F.col("event_type")
     head = F.concat_ws("|", "sha", "at", F.lit("A B"), F.lit("a@b.c"), F.concat(F.lit("s|"), "k"))
     line = F.when(kind == "purchase", head).when(kind == "error", F.concat(F.lit("-\t-\timg"), "k")).otherwise(F.concat("k", F.lit("\t3\tsrc/f"), "k"))
-    return gitlog.combined(_joined(c.withColumn("line", line))).select("repo_id", "log_pos", "sha", "subject", "path", "added", "deleted", "is_binary")
+    return gitlog.combined(_log(c.withColumn("line", line))).select("repo_id", "log_pos", "sha", "subject", "path", "added", "deleted", "is_binary")
 
 
 def commit_payload(spark, sf_dir):

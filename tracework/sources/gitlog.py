@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times as TM
-from ..operators.sequence import forward_fill
+from ..operators import scans
+from ..operators.scans import Stream
 from . import linefiles
 
 # Log formats and limits.
@@ -41,12 +42,12 @@ def commits(logs: DataFrame) -> DataFrame:
     return out.withColumn("ts", TM.instant(F.col("date")))
 
 
-def numstat(logs: DataFrame) -> DataFrame:
-    """(repo_id, sha, date, author, email, file, added, deleted, is_binary): file lines under the boundary line before them; ``-`` counts 0."""
+def numstat(logs: DataFrame, spread: bool = False) -> DataFrame:
+    """(repo_id, sha, date, author, email, file, added, deleted, is_binary): file lines under the boundary line before them; ``-`` counts 0. ``spread``: a log too long for a task is scanned by ranges."""
     head = r"^COMMIT_BOUNDARY (\S+)(?: (\S+))?(?: (.*))?$"
     d = _lines(logs).withColumn("line", F.trim("line"))
     d = d.withColumn("h", F.when(F.col("line").startswith("COMMIT_BOUNDARY"), F.struct(*[F.regexp_extract("line", head, i).alias(n) for i, n in ((1, "sha"), (2, "date"), (3, "who"))])))
-    d = d.withColumn("h", forward_fill(["repo_id"], ["log_pos"], F.col("h"))).where(F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t.+$") & F.col("h").isNotNull())
+    d = Stream(d, ["repo_id"], ["log_pos"], spread).scan(h=scans.last(F.col("h"), own=True)).rows().where(F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t.+$") & F.col("h").isNotNull())
     f = F.split("line", "\t", 3)
     number = lambda i: F.coalesce(F.get(f, i).try_cast("long"), F.lit(0))
     who = r"^(.+?)\s+<([^>]+)>$"
@@ -56,13 +57,13 @@ def numstat(logs: DataFrame) -> DataFrame:
     )
 
 
-def combined(logs: DataFrame) -> DataFrame:
+def combined(logs: DataFrame, spread: bool = False) -> DataFrame:
     """(repo_id, log_pos, sha, date, author, email, subject, path, added, deleted, is_binary) of logs with five fields cut by vertical bars, each followed by its files."""
     d = _lines(logs)
     f = F.split("line", r"\|", 5)
     isfile = F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t.+$")
     head = F.when(~isfile & (F.size(f) == 5), F.struct(*[F.get(f, i).alias(n) for i, n in enumerate(("sha", "date", "author", "email", "subject"))]))
-    d = d.withColumn("h", forward_fill(["repo_id"], ["log_pos"], head)).where("h is not null")
+    d = Stream(d, ["repo_id"], ["log_pos"], spread).scan(h=scans.last(head, own=True)).rows().where("h is not null")
     t = F.split("line", "\t", 3)
     number = lambda i: F.when(isfile, F.coalesce(F.get(t, i).try_cast("long"), F.lit(0)))
     return d.select("repo_id", "log_pos", "h.*", F.when(isfile, F.get(t, 2)).alias("path"), number(0).alias("added"), number(1).alias("deleted"), (isfile & (F.get(t, 0) == "-")).alias("is_binary"))

@@ -29,13 +29,13 @@ def kind_of(v: Column | str) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], split: int = linefiles.SPLIT) -> DataFrame:
-    """(path, seq, raw, error) of every line that isn't blank of every ``.jsonl`` (or ``.jsonl.gz``) file under ``paths``; ``seq`` is the line's byte offset.
+def read_lines(spark: SparkSession, paths: str | list[str], split: int = linefiles.SPLIT, suffix: str = ".jsonl") -> DataFrame:
+    """(path, seq, raw, error) of every line that isn't blank of every file under ``paths`` that ends in ``suffix``, compressed or not; ``seq`` is the line's byte offset.
 
     Large files are read in splits. A file that can't be read to its end gives the lines before the error and one row with ``error``,
     which :func:`rejects` tells; errors of the storage fail the read.
     """
-    lines = linefiles.read(spark, paths, ".jsonl", split).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("at").alias("seq"), "raw", "error")
+    lines = linefiles.read(spark, paths, suffix, split).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("at").alias("seq"), "raw", "error")
     return lines.where(F.col("error").isNotNull() | ~T.blank(F.col("raw")))
 
 
