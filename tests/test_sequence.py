@@ -112,6 +112,27 @@ def test_overlap_join(spark):
     assert got == sorted((i, j) for i, p, q in a for j, u, v in b if u - 3600 <= q and p <= v + 3600)
 
 
+def test_overlap_join_of_seconds_and_years(spark):
+    """Intervals from a second to ten years, before and after the epoch, with shared ends; each is dealt to twice the logarithm of its cells at most."""
+    rng = random.Random(16)
+
+    def span():
+        p = rng.choice([rng.randint(-400_000_000, 400_000_000), rng.randint(0, 50) * 3600])
+        return p, p + rng.choice([0, 1, 60, 3600, 86_400, 7 * 86_400, 300_000_000, rng.randint(0, 315_360_000)])
+
+    a, b = ([(i, *span(), rng.choice("xy")) for i in range(150)] for _ in range(2))
+    a += [(1000, 5, 3, "x"), (1001, None, 3, "x")]
+    left = spark.createDataFrame(a, "x long, p long, q long, k string").selectExpr("k", "x", "timestamp_seconds(p) a_start", "timestamp_seconds(q) a_end")
+    right = spark.createDataFrame(b, "y long, p long, q long, k string").selectExpr("k", "y", "timestamp_seconds(p) b_start", "timestamp_seconds(q) b_end")
+    for cell, pad in ((3600, 3600), (7, 0), (10**7, 1)):
+        got = sorted((r.x, r.y) for r in S.overlap_join(left, right, ["k"], pad, cell).collect())
+        assert got == sorted((i, j) for i, p, q, k in a for j, u, v, m in b if k == m and p is not None and p <= q and u - pad <= q and p <= v + pad)
+    cells = spark.createDataFrame([(i, low := rng.randint(-10_000, 10_000), low + n) for i, n in enumerate([0, 1, 2, 7, 8, 63, 1000, 87_600, 10**9])], "i int, low long, high long")
+    n = {r.i: (r.n, r.cells) for r in S._nodes(cells, "low", "high").groupBy("i").agg(F.count("*").alias("n"), F.sum(F.expr("shiftleft(1L, __level)")).alias("cells")).collect()}
+    size = {r.i: r.high - r.low + 1 for r in cells.collect()}
+    assert all(n[i][1] == size[i] and n[i][0] <= max(1, 2 * size[i].bit_length()) for i in size)
+
+
 def test_a_long_stream_takes_linear_time(spark):
     import time
 

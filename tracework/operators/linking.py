@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..stored import stored
 from . import sequence as S
 from .decisions import first_of
 
@@ -25,7 +26,7 @@ def time_range(created: Column, modified: Column, first_commit: Column, last_com
 
 
 def edges(groups: DataFrame, sessions: DataFrame, tolerance_seconds: int = P.LINK_TOLERANCE_HOURS * 3600) -> DataFrame:
-    """(repo_id, id, session_id, sess_pos, tier): every link of every tier, from one equi-join a tier and a bucketed interval join."""
+    """(repo_id, id, session_id, sess_pos, tier): every link of every tier, from one equi-join a tier and an interval join."""
     g = groups.withColumn("a_start", F.coalesce("earliest_commit_at", "latest_commit_at")).withColumn("a_end", F.coalesce("latest_commit_at", "earliest_commit_at"))
     who = ["repo_id", "id", "session_id", "sess_pos"]
     s = sessions.withColumn("__branch", F.coalesce(F.nullif(F.try_element_at("branches", F.lit(-1)), F.lit("")), F.nullif("git_branch", F.lit(""))))
@@ -70,7 +71,8 @@ def episodes(groups: DataFrame, sessions: DataFrame) -> DataFrame:
     from ..functions.numeric import round_binary
 
     roots = sessions.where("is_root")
-    joined = first_match(best_links(edges(groups, roots)))
+    # read twice below
+    joined = stored(first_match(best_links(edges(groups, roots))))
     link = F.struct("sess_pos", "session_id", tier_name(F.col("tier")).alias("link_type"), tier_confidence(F.col("tier")).alias("link_confidence"))
     per = joined.groupBy("repo_id", "id").agg(F.sort_array(F.collect_list(link)).alias("links"), F.avg(tier_confidence(F.col("tier"))).alias("mean"))
     e = groups.join(per, ["repo_id", "id"], "left")

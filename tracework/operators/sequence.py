@@ -155,21 +155,43 @@ def busiest_hours(df: DataFrame, keys: Keys, hour: str, width: int = 4) -> DataF
     return best.join(peak, list(keys)) if keys else best.join(peak)
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: Keys, pad_seconds: int, bucket_seconds: int = 6 * 3600) -> DataFrame:
+def _nodes(df: DataFrame, low: str, high: str) -> DataFrame:
+    """Deals each interval of cells ``low`` to ``high`` to the dyadic nodes (``__level``, ``__node``) that make it up: two a level at most."""
+    # on level k what is left of an interval begins at cell ceil(low / 2**k) and ends before floor((high + 1) / 2**k)
+    left, right = f"-shiftright(-{low}, k)", f"shiftright({high} + 1, k)"
+    ends = f"filter(array(struct(k AS level, {left} AS node, ({left}) % 2 <> 0 AS odd), struct(k AS level, {right} - 1 AS node, {right} % 2 <> 0 AS odd)), e -> e.odd AND {left} < {right})"
+    top = f"CAST(ceil(log2({high} - {low} + 1)) AS INT)"
+    return df.withColumn("__n", F.expr(f"explode(flatten(transform(sequence(0, {top}), k -> {ends})))")).withColumns({"__level": F.col("__n.level"), "__node": F.col("__n.node")}).drop("__n")
+
+
+def _ancestors(df: DataFrame, cell: str, levels: DataFrame) -> DataFrame:
+    """Deals each cell to the nodes above it, on the levels that the other side has."""
+    return df.join(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).withColumn("__node", F.expr(f"shiftright({cell}, __level)")).drop("__levels")
+
+
+def _levels(nodes: DataFrame) -> DataFrame:
+    """One row: the levels of ``nodes``, at most 63."""
+    return nodes.agg(F.sort_array(F.collect_set("__level")).alias("__levels"))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: Keys, pad_seconds: int, cell_seconds: int = 3600) -> DataFrame:
     """Inner join of intervals (``a_start``, ``a_end``) and (``b_start``, ``b_end``) that meet when ``b`` is padded on both sides, ends included.
 
-    Both sides are dealt to the time buckets that they touch, so it is an equi-join; of the buckets
-    that a pair shares only the first one keeps it.
+    Two intervals meet if one begins in the other. So the beginnings of each side are dealt to the dyadic nodes above their cell, the
+    intervals of the other side to the nodes that make them up, of which exactly one holds a beginning within: an equi-join without
+    repeats, in which an interval of any length costs twice the logarithm of its cells.
     """
-    width, pad = bucket_seconds * 1_000_000, pad_seconds * 1_000_000
-
-    def dealt(df: DataFrame, side: str, low: Column, high: Column) -> DataFrame:
-        df = df.withColumn(f"__{side}0", F.floor(low / width).cast("long")).withColumn(f"__{side}1", F.floor(high / width).cast("long"))
-        return df.where(low <= high).withColumn("__bucket", F.explode(F.sequence(f"__{side}0", f"__{side}1")))
-
-    left = dealt(a, "a", F.unix_micros("a_start"), F.unix_micros("a_end"))
-    right = dealt(b, "b", F.unix_micros("b_start") - pad, F.unix_micros("b_end") + pad)
-    met = left.join(right, [*keys, "__bucket"])
-    meets = (F.unix_micros("b_start") - pad <= F.unix_micros("a_end")) & (F.unix_micros("a_start") <= F.unix_micros("b_end") + pad)
-    first = F.col("__bucket") == F.greatest("__a0", "__b0")
-    return met.where(meets & first).drop("__bucket", "__a0", "__a1", "__b0", "__b1")
+    width, pad = cell_seconds * 1_000_000, pad_seconds * 1_000_000
+
+    def ready(df: DataFrame, side: str, low: Column, high: Column) -> DataFrame:
+        df = df.withColumns({f"__{side}l": low, f"__{side}h": high}).where(F.col(f"__{side}l") <= F.col(f"__{side}h"))
+        return df.withColumns({f"__{side}0": F.floor(F.col(f"__{side}l") / width).cast("long"), f"__{side}1": F.floor(F.col(f"__{side}h") / width).cast("long")})
+
+    left = ready(a, "a", F.unix_micros("a_start"), F.unix_micros("a_end"))
+    right = ready(b, "b", F.unix_micros("b_start") - pad, F.unix_micros("b_end") + pad)
+    made = [f"__{side}{end}" for side in "ab" for end in "lh01"]
+    by = [*keys, "__level", "__node"]
+    held_a, held_b = _nodes(left, "__a0", "__a1"), _nodes(right, "__b0", "__b1")
+    first = _ancestors(left, "__a0", _levels(held_b)).join(held_b, by).where("__al between __bl and __bh")
+    second = held_a.join(_ancestors(right, "__b0", _levels(held_a)), by).where("__bl > __al and __bl <= __ah")
+    return first.unionByName(second).drop("__level", "__node", *made)

@@ -372,8 +372,10 @@ def signal_sums(spark, sf_dir):
 
 def _episodes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Groups and episodes of all repositories, numbered through."""
-    g = logs.stored(repository.groups(spark, sf_dir))
-    e = L.episodes(g, repository.sessions(spark, sf_dir))
+    # each of the three is read several times
+    c, n, s = (logs.stored(f(spark, sf_dir)) for f in (repository.commits, repository.numstat, repository.sessions))
+    g = logs.stored(GR.commit_groups(c, n, s))
+    e = L.episodes(g, s)
     g = g.withColumn("wide", F.col("repo_id") * 100_000 + F.col("id"))
     e = e.withColumns({"episode_id": F.col("repo_id") * 100_000 + F.col("episode_id"), "commit_group_ids": F.transform("commit_group_ids", lambda i: F.col("repo_id") * 100_000 + i)})
     return g.drop("id").withColumnRenamed("wide", "id"), logs.stored(e)
