@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import literals
 from . import patterns as P
 
 
@@ -19,10 +20,7 @@ def strip(s: Column) -> Column:
 
 def scrub(s: Column) -> Column:
     """Secrets replaced by their kind; null becomes empty."""
-    s = F.coalesce(s, F.lit(""))
-    for pattern, mark in P.SECRETS:
-        s = F.regexp_replace(s, pattern, mark)
-    return s
+    return literals.replaced(F.coalesce(s, F.lit("")), P.SECRETS)
 
 
 def clip(s: Column, n: int) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import literals
 from ..functions import numeric as N
 from ..functions import text as T
 from . import velocity as V
@@ -79,7 +80,7 @@ def _any(cond: Column) -> Column:
 
 def _handling(kinds: dict[str, str]) -> tuple[Column, Column]:
     """(generic, specific) handlers; specific ones don't include the standard ones."""
-    n = {k: F.regexp_count("content", F.lit(p)) for k, p in kinds.items()}
+    n = {k: literals.count(F.col("content"), p) for k, p in kinds.items()}
     return n["bare"] + n["standard"], F.greatest(n["specific"] - n["standard"], F.lit(0))
 
 
@@ -99,9 +100,9 @@ def contents(found: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("is_test"), F.col("lines")).otherwise(0)).alias("test_loc"), F.sum(F.when(~F.col("is_test"), F.col("lines")).otherwise(0)).alias("prod_loc"),
         ).alias("length"),
         F.struct(F.sum("generic").alias("rescue_generic"), F.sum("specific").alias("rescue_specific"), _any(F.col("ext").isin(*HANDLING_EXTENSIONS) & F.col("content").rlike(RETRY)).alias("has_retry_logic")).alias("handling"),
-        F.struct(*[F.sum(F.when(prod, F.regexp_count("content", F.lit(p))).otherwise(0)).alias(n) for n, p in SECURITY.items()]).alias("security"),
-        F.struct(*[_any(F.col("content").rlike(p)).alias(n) for n, p in PERFORMANCE.items()]).alias("performance"),
-        F.struct(*[_any(F.col("content").rlike(p)).alias(n) for n, p in PRODUCTION_CONTENTS.items()]).alias("production"),
+        F.struct(*[F.sum(F.when(prod, literals.count(F.col("content"), p)).otherwise(0)).alias(n) for n, p in SECURITY.items()]).alias("security"),
+        F.struct(*[_any(literals.matches(F.col("content"), p)).alias(n) for n, p in PERFORMANCE.items()]).alias("performance"),
+        F.struct(*[_any(literals.matches(F.col("content"), p)).alias(n) for n, p in PRODUCTION_CONTENTS.items()]).alias("production"),
     )
 
 

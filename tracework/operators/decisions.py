@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import decision_patterns as P
+from ..functions import literals
 from ..functions import text as T
 from . import sequence as S
 
@@ -18,7 +19,7 @@ KEYS, ORDER = ["session_id"], ["index"]
 
 
 def any_match(s: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, (s.rlike(p) for p in patterns)), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, (literals.matches(s, p) for p in patterns)), F.lit(False))
 
 
 def first_of(cases: list[tuple[Column, Column | str]], otherwise: Column | str | None = None) -> Column:
@@ -31,7 +32,7 @@ def first_of(cases: list[tuple[Column, Column | str]], otherwise: Column | str |
 
 
 def domain(s: Column) -> Column:
-    return first_of([(s.rlike(p), name) for name, p in P.DOMAINS.items()], "general")
+    return first_of([(literals.matches(s, p), name) for name, p in P.DOMAINS.items()], "general")
 
 
 def reversibility(s: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import literals
 from ..functions import numeric as N
 from ..functions import patterns as P
 from ..functions import text as T
@@ -24,7 +25,7 @@ def first_word(text: Column) -> Column:
 
 def flags(text: Column, patterns: dict[str, str] | None = None, imperatives: tuple[str, ...] = P.IMPERATIVES) -> dict[str, Column]:
     """Which signals a message carries; signals count messages, not occurrences."""
-    out = {name: text.rlike(p) for name, p in (patterns or P.FLAGS).items()}
+    out = {name: literals.matches(text, p) for name, p in (patterns or P.FLAGS).items()}
     return out | {"imperative_prompts": F.coalesce(first_word(text).isin(*imperatives), F.lit(False))}
 
 
@@ -39,9 +40,9 @@ def prompt_type(text: Column, imperatives: tuple[str, ...] = P.IMPERATIVES, open
     asks = s.endswith("?")
     for o in openings:
         asks = asks | s.startswith(o)
-    corrects = s.rlike(p["self_corrections"]) | s.rlike(p["domain_corrections"])
+    corrects = literals.matches(s, p["self_corrections"]) | literals.matches(s, p["domain_corrections"])
     return first_of(
-        [(F.coalesce(first_word(s).isin(*imperatives), F.lit(False)), "directive"), (asks, "question"), (corrects, "correction"), (s.rlike(p["debugging_messages"]), "debugging"), (s.rlike(p["review_checks"]), "review")],
+        [(F.coalesce(first_word(s).isin(*imperatives), F.lit(False)), "directive"), (asks, "question"), (corrects, "correction"), (literals.matches(s, p["debugging_messages"]), "debugging"), (literals.matches(s, p["review_checks"]), "review")],
         "other",
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import literals
 from ..functions import text as T
 
 # Actions in order, with their patterns, and the most that are listed.
@@ -31,7 +32,7 @@ def actions(turns: DataFrame, keys: list[str], order: str, text: str = "text", p
     from .sequence import index_events
 
     t = index_events(turns, keys, [order], "line").withColumn("__text", T.truncate(T.strip(F.coalesce(F.col(text), F.lit(""))), 500)).where("__text != ''")
-    named = F.array(*[F.when(F.col("__text").rlike(p), F.struct(F.lit(i).alias("rank"), F.lit(n).alias("action"))) for i, (n, p) in enumerate((patterns or ACTIONS).items())])
+    named = F.array(*[F.when(literals.matches(F.col("__text"), p), F.struct(F.lit(i).alias("rank"), F.lit(n).alias("action"))) for i, (n, p) in enumerate((patterns or ACTIONS).items())])
     return t.select(*keys, "line", F.explode(F.filter(named, lambda a: a.isNotNull())).alias("a"), T.truncate(F.col("__text"), 200).alias("text")).select(*keys, "line", "a.rank", "a.action", "text")
 
 
