@@ -55,7 +55,7 @@ def matches(s: str, pattern: str) -> str:
 def messages(spark, sf_dir) -> DataFrame:
     """User turns that open with a phrase."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    text = F.concat_ws(" ", pick(PHRASES, F.col("conv_id") * 7 + F.col("turn")), F.when(F.col("conv_id") % 3 > 0, F.left(F.translate("text", "\n\t!", "   "), F.lit(40))))
+    text = F.concat_ws(" ", pick(PHRASES, F.col("conv_id") * 7 + F.col("turn")), "text")
     return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), text.alias("text")).withColumn("word_count", T.n_words(F.col("text")))
 
 
@@ -82,7 +82,7 @@ def steering_listed(spark, sf_dir):
 
 def charged_messages(spark, sf_dir):
     """The first eight charged messages of each third of the sessions, then without repeats."""
-    m = messages(spark, sf_dir).select((F.col("session_id") % 3).alias("third"), (F.col("session_id") * 1000 + F.col("seq")).alias("place"), pick(PHRASES, F.col("session_id") * 7 + F.col("seq")).alias("text"))
+    m = messages(spark, sf_dir).select((F.col("session_id") % 3).alias("third"), (F.col("session_id") * 1000 + F.col("seq")).alias("place"), "text")
     return G.charged(m, ["third"], "place").select("third", F.array_join("charged_messages", "|").alias("charged_messages"))
 
 
@@ -408,7 +408,9 @@ def episode_order(spark, sf_dir):
 
 
 _PHRASE = sql_pick(PHRASES, "conv_id * 7 + turn")
-_MESSAGES = f"SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count FROM (SELECT conv_id AS session_id, turn AS seq, concat_ws(' ', {_PHRASE}, CASE WHEN conv_id % 3 > 0 THEN left(translate(text, chr(10) || chr(9) || '!', '   '), 40) END) AS text FROM conversations WHERE role = 'user')"
+_MESSAGES = f"SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count FROM (SELECT conv_id AS session_id, turn AS seq, concat_ws(' ', {_PHRASE}, text) AS text FROM conversations WHERE role = 'user')"
+_STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_SHOWN = "CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END"
 _FIRST = "lower(regexp_extract(trim(text), '^\\S+'))"
 _VERBS = ", ".join(f"'{v}'" for v in P.IMPERATIVES)
 _TYPE = f"""CASE WHEN {_FIRST} IN ({_VERBS}) THEN 'directive' WHEN s LIKE '%?' OR {' OR '.join(f"starts_with(s, '{o}')" for o in P.QUESTION_OPENINGS)} THEN 'question'
@@ -462,8 +464,8 @@ ORACLE_SQL = {
     "prompt_type_histogram": f"SELECT session_id, string_agg(prompt_type || ':' || n, ',' ORDER BY prompt_type) AS prompt_types FROM ({_TYPED}) GROUP BY session_id",
     "steering_multilabel": f"{_STEERED} SELECT session_id, action, count(*) AS n FROM a GROUP BY ALL",
     "steering_listed": f"{_STEERED} SELECT session_id, line, action, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line, k) AS place FROM a) WHERE place <= 5",
-    "charged_messages": f"""SELECT third, string_agg(t, '|' ORDER BY n) AS charged_messages FROM (SELECT *, row_number() OVER (PARTITION BY third, t ORDER BY n) AS again FROM (SELECT *, row_number() OVER (PARTITION BY third ORDER BY place) AS n FROM (SELECT conv_id % 3 AS third, conv_id * 1000 + turn AS place, {_PHRASE} AS t FROM conversations WHERE role = 'user') WHERE {_CHARGED}) WHERE n <= 8) WHERE again = 1 GROUP BY third""",
-    "caps_quotes": rf"SELECT session_id, text, caps_ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY caps_ratio DESC, text) AS rank FROM (SELECT session_id, trim(text) AS text, round(len(regexp_extract_all(text, '\p{{Lu}}')) / len(regexp_extract_all(text, '\p{{L}}')), 2) AS caps_ratio, len(regexp_extract_all(text, '\p{{Lu}}')) / len(regexp_extract_all(text, '\p{{L}}')) AS r FROM ({_MESSAGES}) WHERE word_count >= 3) WHERE r >= 0.6) WHERE rank <= 3",
+    "charged_messages": f"""SELECT third, string_agg(t, '|' ORDER BY n) AS charged_messages FROM (SELECT *, row_number() OVER (PARTITION BY third, t ORDER BY n) AS again FROM (SELECT third, n, {_SHOWN} AS t FROM (SELECT *, row_number() OVER (PARTITION BY third ORDER BY place) AS n FROM (SELECT session_id % 3 AS third, session_id * 1000 + seq AS place, {_STRIPPED} AS t FROM ({_MESSAGES})) WHERE length(t) BETWEEN 1 AND 280 AND {_CHARGED}) WHERE n <= 8)) WHERE again = 1 GROUP BY third""",
+    "caps_quotes": rf"SELECT session_id, text, caps_ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY caps_ratio DESC, text) AS rank FROM (SELECT session_id, {_SHOWN} AS text, round(r, 2) AS caps_ratio FROM (SELECT *, len(regexp_extract_all(t, '\p{{Lu}}')) / len(regexp_extract_all(t, '\p{{L}}')) AS r FROM (SELECT session_id, word_count, {_STRIPPED} AS t FROM ({_MESSAGES}))) WHERE word_count >= 3 AND r >= 0.6)) WHERE rank <= 3",
     "decision_rules": f"SELECT session_id, seq, d AS domain, CASE WHEN {matches('text', DP.ONE_WAY)} THEN 'one_way' WHEN {matches('text', DP.REVERSIBLE)} THEN 'reversible' ELSE 'unknown' END AS reversibility, l AS significance, CASE l WHEN 'tactical' THEN 'moderate' ELSE 'strategic' END AS escalated, {_COUNTER} AS counter FROM (SELECT *, {_LEVEL} AS l FROM (SELECT *, {_DOMAIN} AS d FROM ({_MESSAGES})))",
     "redacted": _results([b for _, b in REDACTED], ("redacted",)),
     "test_results": _results(RUN_RESULTS, ("framework", "passed", "failed", "pending")),
