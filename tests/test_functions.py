@@ -1,5 +1,9 @@
 """Rounding rules, regex dialect and scalar text operators."""
 
+import decimal
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +25,24 @@ def test_rounding(spark, rule, want):
     assert values(spark, lambda x: rule(x, 2), 2.675, 1.005, 0.125, kind="double") == want
 
 
+def test_rounding_is_exact(spark):
+    """Against decimals of unbounded size, on random doubles and on what lies next to a half; no Python worker takes part."""
+    rng = random.Random(3)
+    near = [k / 1000 + e for k in range(0, 9000, 5) for e in (0.0, 1e-16, -1e-16)] + [2.675, 1.005, 0.125, 0.375, 1e15 + 0.5, 2.0**52 - 0.5, 2.0**51 + 0.25, 45035996273704.965, 1e300, 5e-324, 0.0, 70368744177664.015625]
+    some = [rng.uniform(-10, 10) * 10.0 ** rng.randint(-6, 17) for _ in range(20_000)]
+    xs = [y for x in near for y in (x, -x, math.nextafter(x, 9e9), math.nextafter(x, -9e9))] + some
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for digits in (0, 1, 2, 3):
+        out = df.select("x", N.round_binary(F.col("x"), digits).alias("b"), N.round_even(F.col("x"), digits).alias("e"))
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "ArrowEval" not in out._jdf.queryExecution().executedPlan().toString()
+        with decimal.localcontext(prec=400):
+            for r in out.collect():
+                want = float(decimal.Decimal(r.x).quantize(decimal.Decimal(1).scaleb(-digits), rounding=decimal.ROUND_HALF_UP)) if abs(r.x) < 1e200 else r.x
+                assert r.b == want, (r.x, digits)
+                assert r.e == round(r.x, digits), (r.x, digits)
+    assert values(spark, lambda x: N.round_even(x, 2), float("nan"), float("inf"), None, kind="double") == [None, float("inf"), None]
+
+
 def test_guarded_division(spark):
     assert values(spark, lambda x: N.floor_div(x, F.lit(2)), -7, 7, None, kind="long") == [-4, 3, None]
     assert values(spark, lambda x: N.ratio(F.lit(1), x), 0.0, 4.0, None, kind="double") == [0.0, 0.25, 0.0]
