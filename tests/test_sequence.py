@@ -148,3 +148,23 @@ def test_numbered(spark):
     got = sorted((r.x, r.n) for r in S.numbered(df, ["x"], "n").collect())
     assert got == [(x, x + 1) for x in range(1000)]
     assert S.numbered(df.limit(0), ["x"], "n").collect() == []
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_capped_text(spark, spread):
+    rng = random.Random(12)
+    rows = [(k, i, rng.choice([None, "", "a", "é" * 3, "word " * rng.randint(0, 30)])) for k in ("a", "b", None) for i in range(60)] + [("c", 0, None), ("d", 0, ""), ("d", 1, "")]
+    df = spark.createDataFrame(rows, "k string, i int, t string").repartition(4)
+    for cap in (0, 2, 10, 57, 400, 10**6):
+        got = {r.k: r.text for r in S.capped_text(df, ["k"], ["i"], F.col("t"), cap, " | ", "text", spread=spread, ranges=5).collect()}
+        want = {}
+        for key in ("a", "b", None, "d"):
+            whole = " | ".join(t for k, _, t in rows if k == key and t is not None)
+            want[key] = whole if len(whole) <= cap else whole[: max(cap - 3, 0)] + "..."
+        assert got == want, cap
+
+
+def test_a_text_beyond_its_cap_is_not_gathered(spark):
+    df = spark.range(200_000).select(F.lit(1).alias("k"), "id", F.repeat(F.lit("x"), 1000).alias("t"))
+    out = S.capped_text(df, ["k"], ["id"], F.col("t"), 5000, "\n", "text")
+    assert len(out.first().text) == 5000

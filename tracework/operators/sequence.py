@@ -131,6 +131,22 @@ def top_by(df: DataFrame, keys: Keys, order: Sequence[str | Column], k: int, ran
     return df.withColumn(rank, F.row_number().over(window(keys, order)).cast("long")).where(F.col(rank) <= k)
 
 
+def capped_text(df: DataFrame, keys: Keys, order: Sequence[str], value: Column, cap: int, separator: str, name: str, mark: str = "...", spread: bool = False, ranges: int | None = None) -> DataFrame:
+    """(keys, name): values that aren't null in order, joined and cut to ``cap`` characters with the mark included, as if all had been gathered.
+
+    Where each value would begin is known from the lengths before it, so what lies beyond the cap is dropped and the last value cut
+    before anything is gathered: a key costs its cap, whatever stands under it.
+    """
+    held = df.select(*keys, *order, value.cast("string").alias("__v")).where("__v is not null")
+    s = Stream(held, keys, order, spread, ranges).scan(__begin=scans.total(F.length("__v") + len(separator), own=False))
+    # the separator before a value may be what goes beyond the cap
+    near = s.rows().where(F.col("__begin") - len(separator) <= cap)
+    cut = F.struct("__begin", *order, F.left("__v", F.greatest(cap + 1 - F.col("__begin"), F.lit(0)).cast("int")).alias("v"))
+    lines = near.groupBy(*keys).agg(F.sort_array(F.collect_list(cut)).alias("__all"))
+    text = F.array_join(F.transform("__all", lambda x: x.v), separator)
+    return lines.select(*keys, F.when(F.length(text) > cap, F.concat(F.left(text, F.lit(max(cap - len(mark), 0))), F.lit(mark))).otherwise(text).alias(name))
+
+
 def most_common(df: DataFrame, keys: Keys, value: str, order: Sequence[str | Column] | None = None) -> DataFrame:
     """(keys, value, n): the value with the most rows; ties by ``order``, by default the smaller value."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))

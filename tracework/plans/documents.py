@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numeric import round_binary
+from ..operators import sequence as S
 from ..operators import steering
 
 # Limits, and the signals that are summed, in order.
@@ -53,10 +54,13 @@ def documents(episodes: DataFrame, sessions: DataFrame, groups: DataFrame, notes
     signal = lambda k: F.sum(F.coalesce(F.col(f"session_signals.{k}"), F.lit(0)))
     dispatching = F.col("dispatches") > 0
     s = m.groupBy("episode_id").agg(
-        F.count("*").alias("session_count"), _in_order(F.col("narrative"), "place").alias("narratives"), _in_order(F.col("user_highlights"), "place").alias("highlights"),
-        _in_order(F.col("first_prompt"), "place").alias("prompts"), *[signal(k).alias(f"s_{k}") for k in SIGNALS],
+        F.count("*").alias("session_count"), F.min_by("first_prompt", F.when(F.col("first_prompt").isNotNull(), F.col("place"))).alias("opening"), *[signal(k).alias(f"s_{k}") for k in SIGNALS],
         F.coalesce(F.sum("dispatches"), F.lit(0)).alias("dispatch_count"), F.avg(F.when(dispatching, F.col("committed").cast("int"))).alias("closed"),
     )
+    # texts are cut before they are gathered, prompts counted once
+    told_by = [S.capped_text(m, ["episode_id"], ["place"], F.col(c), n, RULE, name) for c, n, name in (("narrative", MAX_NARRATIVES, "narratives"), ("user_highlights", MAX_HIGHLIGHTS, "highlights"))]
+    own = m.where(F.col("first_prompt").isNotNull() & ~F.ltrim("first_prompt").startswith("You are Codex")).groupBy("episode_id", "first_prompt").agg(F.min("place").alias("place"))
+    prompts = S.top_by(own, ["episode_id"], ["place"], MAX_PROMPTS).groupBy("episode_id").agg(_in_order(F.col("first_prompt"), "place").alias("prompts"))
     g = episodes.select("episode_id", F.explode("commit_group_ids").alias("id")).join(groups.select("id", "insertions", "deletions"), "id")
     g = g.groupBy("episode_id").agg(F.count("*").alias("commit_group_count"), F.sum("insertions").alias("added"), F.sum("deletions").alias("deleted"))
     p = m.select("episode_id", "place", F.posexplode("plan_files").alias("n", "p")).select("episode_id", "place", "n", "p.*")
@@ -67,10 +71,10 @@ def documents(episodes: DataFrame, sessions: DataFrame, groups: DataFrame, notes
     # decisions of all sessions of an episode count together, in order of their events
     d = decisions.join(members(episodes, sessions).select("episode_id", "session_id"), "session_id").where("significance != 'tactical'").drop("session_id").withColumnRenamed("episode_id", "session_id")
     told = summary(d).select(F.col("session_id").alias("episode_id"), F.format_string("%d decision(s): %d strategic, %d moderate; %d positive, %d negative outcome(s)\n%s", "total", "strategic", "moderate", "positive", "negative", "lines").alias("decisions"))
+    for part in (*told_by, prompts):
+        e = e.join(part, "episode_id", "left")
     x = e.join(s, "episode_id", "left").join(g, "episode_id", "left").join(plans, "episode_id", "left").join(told, "episode_id", "left").join(intent(m.select("episode_id", "intent")), "episode_id", "left")
     x = x.na.fill(0, ["session_count", "commit_group_count", "added", "deleted", "dispatch_count"])
-    clean = F.slice(F.array_distinct(F.filter("prompts", lambda q: ~F.ltrim(q).startswith("You are Codex"))), 1, MAX_PROMPTS)
-    joined = lambda c, n: T.truncate(F.array_join(c, RULE), n)
     block = lambda title, body: F.when(~T.blank(body), F.concat(F.lit(f"## {title}\n"), body))
     ratio = F.coalesce(F.format_string("%.2f", round_binary(F.col("closed"), 2)), F.lit("n/a"))
     text = F.concat_ws(
@@ -79,13 +83,13 @@ def documents(episodes: DataFrame, sessions: DataFrame, groups: DataFrame, notes
         F.format_string("Sessions: %d, Commit groups: %d", "session_count", "commit_group_count"),
         F.when((F.col("commit_group_count") > 0) & (F.col("added") + F.col("deleted") > 0), F.format_string("Code volume: +%d/-%d lines (from this episode's commits)", "added", "deleted")),
         F.when((F.col("episode_type") == "session_only") & F.col("intent").isNotNull(), F.concat(F.lit("Session intent: "), "intent")),
-        F.when(F.size(clean) > 0, F.concat(F.lit("First prompts: "), F.array_join(clean, " | "))),
-        block("Session Narratives", joined("narratives", MAX_NARRATIVES)), block("User Highlights", joined("highlights", MAX_HIGHLIGHTS)), block("Decision Exchanges", F.col("decisions")),
+        F.when(F.size("prompts") > 0, F.concat(F.lit("First prompts: "), F.array_join("prompts", " | "))),
+        block("Session Narratives", F.col("narratives")), block("User Highlights", F.col("highlights")), block("Decision Exchanges", F.col("decisions")),
         block("Plan Files", F.array_join("plans", SEPARATOR)),
         block("Session Signals", signal_line([F.when(F.col(f"s_{k}") > 0, F.format_string(f"{k}: %d", F.col(f"s_{k}"))) for k in SIGNALS])),
         F.when(F.col("dispatch_count") > 0, F.concat(F.format_string("## Subagent Dispatch Activity\nDispatches: %d | Committed-return ratio: ", "dispatch_count"), ratio)),
     )
-    return x.select("episode_id", "episode_type", "session_count", "commit_group_count", F.coalesce(F.get("prompts", 0), F.lit("")).alias("first_prompt"), text.alias("text"))
+    return x.select("episode_id", "episode_type", "session_count", "commit_group_count", F.coalesce("opening", F.lit("")).alias("first_prompt"), text.alias("text"))
 
 
 def write(docs: DataFrame, path: str) -> None:
