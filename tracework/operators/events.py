@@ -147,34 +147,42 @@ def user_messages(seen: DataFrame) -> DataFrame:
     return m.select("session_id", "seq", "ts_raw", T.truncate(F.col("full"), P.MAX_USER_TEXT).alias("text"), "full", T.n_words(F.col("full")).alias("word_count"))
 
 
-def extract(found: DataFrame, spread: bool = False, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, states). Events: session_id, index, ts_raw, ts and FIELDS. States: session_id, detected_branch, pr_number, shas and branches in order.
+def marked(c: DataFrame) -> DataFrame:
+    """Facts of blocks (made, shell, result, tool_id, tool_use_id) with what the state asks of each: does it commit, say something, ask for a pull request; which sha, request number and branch does it name."""
+    named = [
+        (group(F.col("shell"), P.CHECKOUT, 1), 0), (group(F.col("result"), P.COMMIT_OUTPUT, 1), 1), (group(F.col("result"), P.ON_BRANCH, 1), 2), (group(F.col("result"), P.SWITCHED, 1), 3),
+    ]
+    marks = F.array_compact(F.array(*[F.when(n.isNotNull() & ~((F.lit(r) == 0) & n.startswith("-")), F.struct(F.lit(r).alias("r"), n.alias("n"))) for n, r in named]))
+    return c.withColumns({
+        "commits": F.coalesce(F.exists("made", lambda e: e.type == "git_commit"), F.lit(False)), "said": F.col("result").isNotNull(), "asks": F.coalesce(F.col("shell").rlike(P.PR_CREATE), F.lit(False)),
+        "asked_by": F.when(~T.blank(F.col("tool_id")), F.col("tool_id")), "said_sha": group(F.col("result"), P.COMMIT_OUTPUT, 2), "said_pr": group(F.col("result"), P.PR_URL, 1).try_cast("long"),
+        "said_branch": F.when(F.size(marks) > 0, F.array_max(marks).n),
+    })
 
-    ``spread`` (over ``ranges`` ranges) scans sessions that are too long for a task by ranges of their order.
-    """
-    commits = F.coalesce(F.exists("made", lambda e: e.type == "git_commit"), F.lit(False))
-    asks = F.coalesce(F.col("shell").rlike(P.PR_CREATE), F.lit(False))
-    s = S.Stream(candidates(visible(found)), ["session_id"], ["seq", "bpos"], spread, ranges)
-    s = s.map(lambda c: c.withColumns({"__commits": commits, "__at": F.struct("seq", "bpos")}))
+
+def resolved(s: S.Stream) -> S.Stream:
+    """Marked facts in order with ``sha`` of each commit and ``pr`` where a result answers a request; :mod:`streaming.states` finds the same as rows come in."""
+    s = s.map(lambda c: c.withColumn("at", F.struct("seq", "bpos")))
     # a commit is answered by the next result, unless another commit comes before it
-    heard = F.when(F.col("result").isNotNull() | F.col("__commits"), F.struct(F.col("result").alias("said")))
+    heard = F.when(F.col("said") | F.col("commits"), F.struct("said", "said_sha"))
     # a result answers the newest request for a pull request before it, if ids agree or the request has none
-    ask = F.struct(F.col("__at").alias("at"), F.when(~T.blank(F.col("tool_id")), F.col("tool_id")).alias("id"))
-    s = s.scan(__next=scans.following(heard), __ask=scans.last(F.when(asks, ask)))
-    sha = F.when(F.col("__commits"), group(F.col("__next.said"), P.COMMIT_OUTPUT, 2))
-    matches = F.col("result").isNotNull() & F.col("__ask").isNotNull() & (F.col("__ask.id").isNull() | (F.col("__ask.id") == F.col("tool_use_id")))
-    s = s.map(lambda c: c.withColumns({"__sha": sha, "__match": F.coalesce(matches, F.lit(False))}))
+    s = s.scan(__next=scans.following(heard), __ask=scans.last(F.when(F.col("asks"), F.struct("at", "asked_by"))))
+    matches = F.col("said") & F.col("__ask").isNotNull() & (F.col("__ask.asked_by").isNull() | (F.col("__ask.asked_by") == F.col("tool_use_id")))
+    s = s.map(lambda c: c.withColumns({"sha": F.when(F.col("commits") & F.col("__next.said"), F.col("__next.said_sha")), "__match": F.coalesce(matches, F.lit(False))}))
     # only the first answer of a request counts
     s = s.scan(__answered=scans.last(F.when(F.col("__match"), F.col("__ask.at"))))
-    first_match = F.col("__match") & ~F.col("__answered").eqNullSafe(F.col("__ask.at"))
-    c = s.rows().withColumn("__pr", F.when(first_match, group(F.col("result"), P.PR_URL, 1).try_cast("long")))
-    named = [
-        (group(F.col("shell"), P.CHECKOUT, 1), 0), (group(F.col("result"), P.COMMIT_OUTPUT, 1), 1), (group(F.col("result"), P.ON_BRANCH, 1), 2), (group(F.col("result"), P.SWITCHED, 1), 3),
-    ]
-    marks = F.array_compact(F.array(*[F.when(n.isNotNull() & ~((F.lit(r) == 0) & n.startswith("-")), F.struct(F.lit(r).alias("r"), n.alias("n"))) for n, r in named]))
-    c = c.withColumn("__branch", F.when(F.size(marks) > 0, F.array_max(marks).n))
-    states = c.groupBy("session_id").agg(F.max_by("__branch", F.when(F.col("__branch").isNotNull(), F.col("__at"))).alias("detected_branch"), F.max_by("__pr", F.when(F.col("__pr").isNotNull(), F.col("__at"))).alias("pr_number"))
-    e = c.select("session_id", "seq", "bpos", "ts_raw", "__sha", F.explode("made").alias("e")).select("session_id", "seq", "bpos", "ts_raw", "__sha", "e.*")
+    first = F.col("__match") & ~F.col("__answered").eqNullSafe(F.col("__ask.at"))
+    return s.map(lambda c: c.withColumn("pr", F.when(first, F.col("said_pr"))).drop("__next", "__ask", "__match", "__answered"))
+
+
+def extract(found: DataFrame, spread: bool = False, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, states). Events: session_id, index, ts_raw, ts and FIELDS. States: session_id, detected_branch, pr_number, shas and branches in order.
+
+    ``spread`` (over ``ranges`` ranges) scans sessions that are too long for a task by ranges of their order.
+    """
+    c = resolved(S.Stream(marked(candidates(visible(found))), ["session_id"], ["seq", "bpos"], spread, ranges)).rows()
+    states = c.groupBy("session_id").agg(F.max_by("said_branch", F.when(F.col("said_branch").isNotNull(), F.col("at"))).alias("detected_branch"), F.max_by("pr", F.when(F.col("pr").isNotNull(), F.col("at"))).alias("pr_number"))
+    e = c.select("session_id", "seq", "bpos", "ts_raw", F.col("sha").alias("__sha"), F.explode("made").alias("e")).select("session_id", "seq", "bpos", "ts_raw", "__sha", "e.*")
     e = e.withColumn("sha", F.when(F.col("type") == "git_commit", F.col("__sha"))).drop("__sha")
     # a return counts only after a dispatch of its id; other events need no company
     alone = F.when(~F.col("type").isin("subagent_dispatch", "subagent_return"), F.struct(*ORDER))
