@@ -93,3 +93,27 @@ def test_a_stream_of_many_events_takes_its_ranges(spark):
 def test_too_long(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("s"))
     assert scans.too_long(df, ["s"], 33) and not scans.too_long(df, ["s"], 34) and not scans.too_long(df.limit(0), ["s"])
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_medians(spark, spread):
+    rng = random.Random(31)
+    rows = [(k, rng.choice([None, rng.randint(0, 9), rng.uniform(-5, 5)])) for k in ["hot"] * 3000 + ["a", "b", None] * 40 + ["one"]] + [("none", None)]
+    rows = [(k, None if v is None else float(v)) for k, v in rows]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r.k: (r.n, r.low, r.high) for r in scans.medians(df, ["k"], "v", 5, spread).collect()}
+    want = {}
+    for key in {k for k, _ in rows}:
+        own = sorted(v for k, v in rows if k == key and v is not None)
+        if own:
+            want[key] = (len(own), own[(len(own) - 1) // 2], own[len(own) // 2])
+    assert got == want
+    whole = sorted(v for _, v in rows if v is not None)
+    assert [tuple(r) for r in scans.medians(df, [], "v", 5, spread).collect()] == [(len(whole), whole[(len(whole) - 1) // 2], whole[len(whole) // 2])]
+    assert scans.medians(df.limit(0), [], "v", 5, spread).collect() == []
+
+
+def test_median_of_one_large_group(spark):
+    big = spark.range(3_000_000).select(F.pmod(F.xxhash64("id"), F.lit(10_000_019)).alias("v"))
+    r = scans.medians(big, [], "v", 16).first()
+    assert (r.low + r.high) / 2 == big.agg(F.median("v")).first()[0]

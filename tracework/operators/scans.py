@@ -129,3 +129,19 @@ def peak(df: DataFrame, keys: Sequence[str], start: str, end: str, ranges: int |
     best = F.greatest(F.max("high"), F.lit(0)).cast("long").alias("peak")
     high = tops.select(*keys, (F.col("top") + before).alias("high"))
     return high.groupBy(*keys).agg(best) if keys else high.agg(F.coalesce(best, F.lit(0).cast("long")).alias("peak"))
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None, spread: bool = True) -> DataFrame:
+    """(keys, n, low, high): the two middle values of each key, equal where n is odd; nulls are left out, keys without a value too.
+
+    Equal values are added up first, then a scan over the distinct ones tells how many stand before each, so no group
+    is held in one place, however many values it has. (low + high) / 2 is the median, low the lower one.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    s = Stream(counts, keys, ["__v"], spread, ranges).scan(__before=total(F.col("__n"), own=False))
+    whole = counts.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sum("__n").alias("n"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    rows = s.rows().join(whole, same) if keys else s.rows().join(F.broadcast(whole))
+    holds = lambda rank: (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return rows.where(holds(low) | holds(high)).groupBy(*keys).agg(F.max("n").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")).where("n is not null")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +50,10 @@ def stats(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes:
     s = sessions.agg(
         F.count("*").alias("n_sessions"), zero(f"{sig}.user_message_count").alias("prompts"), zero(F.try_element_at(F.col(f"{sig}.prompt_types"), F.lit("correction"))).alias("corrections"),
         zero(f"{sig}.courtesy_messages").alias("courtesy"), F.count_if(F.col(f"{sig}.courtesy_messages") > 0).alias("courtesy_sessions"), zero("prompt_stats.short_prompt_count").alias("short_prompts"),
-        F.count_if(F.size("plan_files") > 0).alias("plan_sessions"), zero(f"{sig}.test_run_count").alias("test_runs"), F.expr("percentile_disc(0.5) within group (order by prompt_stats.median_words)").alias("median_words"),
+        F.count_if(F.size("plan_files") > 0).alias("plan_sessions"), zero(f"{sig}.test_run_count").alias("test_runs"),
     )
+    # the middle of the sessions' medians, the lower one of two
+    words = scans.medians(sessions.select(F.col("prompt_stats.median_words").alias("m")), [], "m").agg(F.max("low").alias("median_words"))
     w = dispatch_windows(events)
     # the whole corpus is one stream
     peak = scans.peak(w, [], "start", "end")
@@ -67,7 +69,7 @@ def stats(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes:
     top = models.orderBy(F.desc("m"), "model").limit(1).select(F.struct("model", "m").alias("top_model")).join(models.agg(F.sum("m").alias("model_messages")))
     goto = go_to_prompt(sessions).select(F.struct("example", "n").alias("goto"))
     out = s
-    for part in (loops, e, n, longest, peak.select(F.col("peak").alias("max_parallel"))):
+    for part in (words, loops, e, n, longest, peak.select(F.col("peak").alias("max_parallel"))):
         out = out.join(part)
     for part in (hours, day, quotes, top, goto):
         out = out.join(part, how="left")
@@ -181,38 +183,65 @@ def table(head: Iterable[str], rows: Iterable[Iterable[object]]) -> str:
     return "\n".join(lines + ["| " + " | ".join("—" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
-def render(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes: DataFrame, scores: DataFrame, decisions: DataFrame, calls: DataFrame | None = None, titles: dict[str, str] | None = None) -> str:
-    """The whole report as markdown; equal inputs give equal bytes. What is collected has one row a session or episode at most, or is cut to a few."""
+def work_lines(episodes: DataFrame) -> DataFrame:
+    """(episode_id, line): an episode as the report lists it."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    text = F.concat(F.lit("- episode "), F.col("episode_id").cast("string"), F.lit(" ("), F.coalesce("episode_type", F.lit("None")), F.lit(", "), F.col("label"), F.lit("): +"), number("added_lines"), F.lit("/-"), number("deleted_lines"))
+    return episodes.join(link_labels(episodes), "episode_id").select("episode_id", text.alias("line"))
+
+
+def _around(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes: DataFrame, scores: DataFrame, decisions: DataFrame, calls: DataFrame | None, titles: dict[str, str] | None) -> tuple[list[str], list[str]]:
+    """Lines before and after those of the episodes. What is collected is cut to a few rows, or has one a model, axis or kind."""
     st = stats(sessions, events, commits, episodes).first()
     matched, unmatched = matched_scores(scores, episodes)
     cells = matched.select("episode_id", "confidence", F.explode("scores").alias("axis", "score")).withColumn("all", F.lit(1))
     roll = R.rollup(cells, ["all"]).first()
     usage = sessions.select("session_id", F.explode("token_usage").alias("model", "u")).select("session_id", "model", "u.*")
     used = R.priced(usage)
-    out = ["# Work report", "", "## Verdict"]
+    head = ["# Work report", "", "## Verdict"]
     if roll:
-        out += [f"Overall {roll.overall:.2f} ({roll.band}).", "", table(["axis", "score"], sorted(roll.axes.items(), key=lambda kv: (-kv[1], R.AXES.index(kv[0]) if kv[0] in R.AXES else 99)))]
+        head += [f"Overall {roll.overall:.2f} ({roll.band}).", "", table(["axis", "score"], sorted(roll.axes.items(), key=lambda kv: (-kv[1], R.AXES.index(kv[0]) if kv[0] in R.AXES else 99)))]
     else:
-        out.append("Nothing was scored.")
-    out += ["", "## Why", table(["episode", "title", "confidence"], [(r.episode_id, r.title, r.confidence) for r in matched.orderBy(F.desc("confidence"), "episode_id").limit(20).collect()])]
+        head.append("Nothing was scored.")
+    head += ["", "## Why", table(["episode", "title", "confidence"], [(r.episode_id, r.title, r.confidence) for r in matched.orderBy(F.desc("confidence"), "episode_id").limit(20).collect()])]
     low = R.lowest_cells(cells, ["all"], 5).orderBy("rank").collect()
-    out += ["", "## Improve", *[f"- episode {r.episode_id}: {r.axis} {r.score:g}" for r in low], *[f"- {w}" for w in warnings(st)]]
-    labels = {r.episode_id: r.label for r in link_labels(episodes).collect()}
-    work = episodes.orderBy("episode_id").collect()
-    out += ["", "## Work", *[f"- episode {r.episode_id} ({r.episode_type}, {labels.get(r.episode_id)}): +{r.added_lines}/-{r.deleted_lines}" for r in work]]
+    head += ["", "## Improve", *[f"- episode {r.episode_id}: {r.axis} {r.score:g}" for r in low], *[f"- {w}" for w in warnings(st)], "", "## Work"]
     totals = R.model_totals(used).orderBy(F.desc("is_total"), "model").collect()
-    out += ["", "## Numbers", table(["model", "input", "output", "cache read", "cache write", "cost"], [("total" if r.is_total else r.model, f"{r.input_tokens or 0:,}", f"{r.output_tokens or 0:,}", f"{r.cache_read_tokens or 0:,}", f"{r.cache_write_tokens or 0:,}", None if r.cost is None else f"${r.cost:.2f}") for r in totals])]
-    out += ["", "Dearest sessions: " + ", ".join(f"{r.session_id} (${r.cost:.2f})" for r in R.costly_sessions(used).collect())]
+    foot = ["", "## Numbers", table(["model", "input", "output", "cache read", "cache write", "cost"], [("total" if r.is_total else r.model, f"{r.input_tokens or 0:,}", f"{r.output_tokens or 0:,}", f"{r.cache_read_tokens or 0:,}", f"{r.cache_write_tokens or 0:,}", None if r.cost is None else f"${r.cost:.2f}") for r in totals])]
+    foot += ["", "Dearest sessions: " + ", ".join(f"{r.session_id} (${r.cost:.2f})" for r in R.costly_sessions(used).collect())]
     kinds = decision_kinds(decisions).collect()
-    out += ["", table(["decision", "n"], [(r.decision_type or "unclassified", r.n) for r in kinds])]
+    foot += ["", table(["decision", "n"], [(r.decision_type or "unclassified", r.n) for r in kinds])]
     for r in top_decisions(decisions).collect():
-        out.append(f"- {(titles or {}).get(r.law_key, r.law_key) or r.domain}: {r.redacted_response_text[:200]}")
-    out += ["", "## Highlights", *[f"- **{c['headline']}** {c['caption']}" for c in cards(st)]]
-    out += ["", "## Fine print", f"{st.n_sessions} sessions, {st.n_episodes} episodes, {unmatched.count()} scores without an episode."]
-    out += ["", "## Appendix"]
+        foot.append(f"- {(titles or {}).get(r.law_key, r.law_key) or r.domain}: {r.redacted_response_text[:200]}")
+    foot += ["", "## Highlights", *[f"- **{c['headline']}** {c['caption']}" for c in cards(st)]]
+    foot += ["", "## Fine print", f"{st.n_sessions} sessions, {st.n_episodes} episodes, {unmatched.count()} scores without an episode."]
+    foot += ["", "## Appendix"]
     if calls is not None:
-        out.append(table(["stage", "model", "calls", "tokens"], [(r.stage, r.model, r.calls, f"{r.total_tokens:,}") for r in R.ledger(calls).orderBy("stage", "model").collect()]))
-    return "\n".join(out) + "\n"
+        foot.append(table(["stage", "model", "calls", "tokens"], [(r.stage, r.model, r.calls, f"{r.total_tokens:,}") for r in R.ledger(calls).orderBy("stage", "model").collect()]))
+    return head, foot
+
+
+def lines(sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes: DataFrame, scores: DataFrame, decisions: DataFrame, calls: DataFrame | None = None, titles: dict[str, str] | None = None) -> Iterator[str]:
+    """The report line by line; equal inputs give equal bytes. Episodes' lines are made in tasks and come a sorted range at a time, so the driver holds one range."""
+    head, foot = _around(sessions, events, commits, episodes, scores, decisions, calls, titles)
+    yield from head
+    for r in work_lines(episodes).orderBy("episode_id").toLocalIterator():
+        yield r.line
+    yield from foot
+
+
+def render(*args, **more) -> str:
+    """The whole report as markdown, for as many episodes as a text may hold; see :func:`lines`."""
+    return "\n".join(lines(*args, **more)) + "\n"
+
+
+def export(path: str, sessions: DataFrame, events: DataFrame, commits: DataFrame, episodes: DataFrame, scores: DataFrame, decisions: DataFrame, calls: DataFrame | None = None, titles: dict[str, str] | None = None) -> None:
+    """The report as a folder of text parts whose names are in its order; nothing of the episodes passes through the driver."""
+    head, foot = _around(sessions, events, commits, episodes, scores, decisions, calls, titles)
+    spark, schema = episodes.sparkSession, "part int, place long, line string"
+    ends = spark.createDataFrame([(part, i, x) for part, some in ((0, head), (2, foot)) for i, x in enumerate(some)], schema)
+    work = work_lines(episodes).select(F.lit(1).alias("part"), F.col("episode_id").cast("long").alias("place"), "line")
+    ends.unionByName(work).orderBy("part", "place").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def render_analytics(quality: dict, velocity, steering_totals, parallel, profile: dict) -> str:

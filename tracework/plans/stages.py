@@ -212,6 +212,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         scores = repofiles.json_lines(spark, a.scores, SCORES).withColumn("pos", F.monotonically_increasing_id())
         calls = repofiles.json_lines(spark, a.llm_calls, CALLS) if a.llm_calls else None
-        text = report.render(load(a.logs, "sessions"), load(a.logs, "events"), gitlog.payload(load(a.gitdata, "commits")), load(a.gitdata, "episodes"), scores, load(a.decisions), calls)
-        Path(a.out).write_text(text)
+        given = load(a.logs, "sessions"), load(a.logs, "events"), gitlog.payload(load(a.gitdata, "commits")), load(a.gitdata, "episodes"), scores, load(a.decisions), calls
+        with open(a.out, "w", encoding="utf-8") as out:
+            out.writelines(f"{line}\n" for line in report.lines(*given))
     return 0

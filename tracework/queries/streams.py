@@ -121,6 +121,13 @@ def site_concurrency(spark, sf_dir):
     return d.unionByName(scans.peak(lines, [], "l_shipdate", "arrives").select(F.lit("lines").alias("what"), "peak"))
 
 
+def site_medians(spark, sf_dir):
+    """The middle values of all events and of each kind, few and large groups; no group is held in one place."""
+    e = events(spark, sf_dir)
+    kinds = scans.medians(e, ["event_type"], "value").select(F.col("event_type").alias("what"), "n", "low", "high")
+    return kinds.unionByName(scans.medians(e, [], "value").select(F.lit("all").alias("what"), "n", "low", "high"))
+
+
 _IDX = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events"
 _PAIR = """SELECT *, CASE WHEN k1 = 'signup' THEN NULL WHEN k1 = 'view' THEN e1 WHEN k2 = 'signup' THEN NULL WHEN k2 = 'view' THEN e2 WHEN k3 = 'signup' THEN NULL WHEN k3 = 'view' THEN e3 END AS response_id
 FROM (SELECT *, lead(event_type, 1) OVER w AS k1, lead(event_type, 2) OVER w AS k2, lead(event_type, 3) OVER w AS k3,
@@ -163,6 +170,7 @@ FROM n""",
     "site_sessions": "SELECT CAST(s AS BIGINT) AS session, count(*) AS n_events, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS end_s FROM (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 20000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id))) GROUP BY s",
     "site_states": "SELECT event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS n_before, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END) OVER w, 0) AS BIGINT) AS spent, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS last_purchase, first_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_signup FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY event_type = 'error'",
     "site_concurrency": f"SELECT what, CAST(max(o) AS BIGINT) AS peak FROM (SELECT what, sum(d) OVER (PARTITION BY what ORDER BY tt, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT 'dispatches' AS what, epoch_us(s) AS tt, 1 AS d FROM ({_DISPATCH}) UNION ALL SELECT 'dispatches', epoch_us(e), -1 FROM ({_DISPATCH}) UNION ALL SELECT 'lines', epoch_us(l_shipdate), 1 FROM lineitem UNION ALL SELECT 'lines', epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) % 30 * 86400000000, -1 FROM lineitem)) GROUP BY what",
+    "site_medians": "SELECT what, count(*) AS n, min(value) FILTER (r IN ((m + 1) // 2, m // 2 + 1)) AS low, max(value) FILTER (r IN ((m + 1) // 2, m // 2 + 1)) AS high FROM (SELECT *, row_number() OVER (PARTITION BY what ORDER BY value) AS r, count(*) OVER (PARTITION BY what) AS m FROM (SELECT event_type AS what, value FROM events UNION ALL SELECT 'all', value FROM events) WHERE value IS NOT NULL) GROUP BY what",
     "max_concurrency": f"SELECT user_id, CAST(max(o) AS BIGINT) AS peak FROM (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY tt, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT user_id, s AS tt, 1 AS d FROM ({_DISPATCH}) UNION ALL SELECT user_id, e, -1 FROM ({_DISPATCH}))) GROUP BY user_id",
     "peak_hours_circular": """WITH h AS (SELECT user_id, CAST(hour(ts) AS INT) AS h, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL),
 w AS (SELECT u.user_id, CAST(s.s AS INT) AS s, (SELECT sum(h.n) FROM h WHERE h.user_id = u.user_id AND (h.h - s.s + 24) % 24 < 4) AS n FROM (SELECT DISTINCT user_id FROM h) u, (SELECT unnest(range(24)) AS s) s)
