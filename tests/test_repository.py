@@ -141,3 +141,15 @@ def test_a_failing_dimension_is_alone(tmp_path, spark):
     broken = codequality.analyse(files, c, n).withColumn("documentation", F.struct(F.raise_error(F.lit("no")).cast("string").alias("x")))
     q = codequality.evaluated(broken)
     assert q["status"] == "complete" and q["dimensions"]["documentation"]["status"] == "error" and q["dimensions"]["code_quality"]["total_source_files"] == 1
+
+
+def test_links_to_a_neighbour_are_outside(tmp_path):
+    """A link from ``repo`` to ``repo-private`` leads outside, whatever their names share."""
+    repo, private = tmp_path / "repo", tmp_path / "repo-private"
+    repo.mkdir()
+    private.mkdir()
+    (private / "secret.py").write_text("x")
+    (repo / "own.py").write_text("x")
+    (repo / "bad.py").symlink_to(private / "secret.py")
+    (repo / "good.py").symlink_to(repo / "own.py")
+    assert repofiles.listing(str(repo)) == ["good.py", "own.py"]

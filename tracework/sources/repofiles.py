@@ -21,7 +21,7 @@ def _inside(root: str, path: str) -> bool:
     full = os.path.join(root, path)
     if not os.path.exists(full):
         return False
-    return not os.path.islink(full) or os.path.realpath(full).startswith(os.path.realpath(root))
+    return not os.path.islink(full) or os.path.realpath(full).startswith(os.path.join(os.path.realpath(root), ""))
 
 
 def listing(root: str) -> list[str]:
