@@ -238,6 +238,18 @@ def test_links_at_the_threshold_are_met(spark):
     linked = [i for i in range(500) if got[i].n_links == 1 and got[5000 + i].component_id == i]
     assert len(linked) >= 495
     assert sum(r.n_links for r in got.values()) == 2 * len(linked) and len(got) == 6000
+    for every in (embeddings.near_duplicates(df, exact=True), embeddings.near_duplicates(df, recall=1.0)):
+        found = {r.vec_id: r for r in every.collect()}
+        assert all(found[i].n_links == 1 and found[5000 + i].component_id == i for i in range(500)) and sum(r.n_links for r in found.values()) == 1000
+
+
+def test_ties_at_the_threshold_link(spark):
+    """Cosines that are the threshold itself, to the last bit, link; the next double below doesn't."""
+    rows = [(0, [4.0, 3.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [3.0, 4.0]), (4, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = lambda at: {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, at, exact=True).collect()}
+    assert links(0.8) == {0: 2, 1: 1, 2: 1, 3: 2, 4: 0}
+    assert links(float(np.nextafter(0.8, 1))) == {0: 1, 1: 0, 2: 0, 3: 1, 4: 0}
 
 
 # --- op3 ---

@@ -1,58 +1,29 @@
-"""Shared pieces of the corpus operators: word rules, shared-folder tables, connected components."""
+"""Shared pieces of the corpus operators: word rules, bounded memory, connected components."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stored import dropped, stored
+
 #: A word is a maximal run of anything but ASCII white space. ``bytes.split()`` cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id inside operators, so that null ids order first and join.
 NULL_ID = -(2**63)
+#: A table in the shared folder, which cuts the lineage; :func:`dropped` deletes it.
+written = stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset, on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tracework-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and has a known size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracework-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tracework_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tracework_path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

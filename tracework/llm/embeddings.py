@@ -168,7 +168,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, exact: bool = False) -> DataFrame:
     """Link vectors with cosine >= ``threshold`` (double precision) and group what links reach.
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable),
@@ -178,22 +178,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     id are told apart by their vectors. Other columns are ignored.
 
     A pair at the threshold shares a bucket in some table with probability ``recall`` (closer ones
-    more likely); every link found is verified exactly. Tables hold ids and sketches of 256 more signs;
+    more likely); every link found is verified exactly. ``exact`` (or ``recall=1``) loses none: all classes are one bucket,
+    whose block pairs are compared in a task each, at the cost of the square of the classes. Tables hold ids and sketches of 256 more signs;
     only members whose sketch comes near another one's of the bucket fetch their vectors. Buckets of
     more than ``BLOCK`` classes skip the sketches, are cut into blocks and compared block by block, each
     block pair in a task of its own; only link counts and the edges of a spanning forest leave it.
     """
     least_lots = partitions(vectors.sparkSession)
+    exact = exact or recall >= 1
     rows = vectors.select(id_column(id_col).alias("k"), _clean(vector_col).alias("v"))
     # a class is known by the first 128 bits of a hash of its vector; -0.0 counts as 0.0
     plain = F.array_join(F.transform("v", lambda x: (x + 0.0).cast("string")), ",")
     rows = rows.withColumn("c", F.when(F.col("v").isNotNull(), F.substring(F.unhex(F.sha2(plain, 256)), 1, 16)))
     classes = written(rows.where("c is not null").groupBy("c").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")))
     n_classes = classes.count()
-    bits, count = tables_for(n_classes, threshold, recall)
+    # exact: one table with one bucket, which is compared block by block
+    bits, count = (0, 1) if exact else tables_for(n_classes, threshold, recall)
     signed = written(classes.select("c", "copies", "v").mapInArrow(_sign(bits, count), "c binary, copies long, dim int, v binary, sig array<int>, sketch binary"))
     in_tables = signed.select("c", "dim", "sketch", F.posexplode("sig").alias("t", "s"))
-    hot = in_tables.groupBy("t", "dim", "s").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = in_tables.groupBy("t", "dim", "s").agg(F.count("*").alias("n")).where(F.col("n") > (0 if exact else BLOCK))
     hot = written(hot.select("t", "dim", "s", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     lots = max(least_lots, -(-count * n_classes // ROWS_A_LOT))
     small = in_tables.join(hot, ["t", "dim", "s"], "left_anti").withColumn("lot", F.pmod(F.xxhash64("t", "dim", "s"), F.lit(lots)))
