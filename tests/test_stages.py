@@ -40,7 +40,7 @@ def test_end_to_end(spark, tmp_path, capsys):
     run("extract", "--events", out("work/events"), "--out", out("cand"))
     run("finalize", "--events", out("work/events"), "--answers", str(answers), "--catalog", str(catalog), "--out", out("decisions"))
     run("episodes", "--logs", out("work"), "--gitdata", out("git"), "--narratives", str(notes), "--decisions", out("decisions"), "--out", out("docs"))
-    run("analytics", "--repo", str(repo), "--logs", out("work"), "--gitdata", out("git"), "--out", out("analytics.md"), "--json", out("analytics.json"))
+    run("analytics", "--repo", str(repo), "--logs", out("work"), "--gitdata", out("git"), "--out", out("analytics.md"), "--json", out("analytics.json"), "--author-email", "A@B.C")
     run("report", "--logs", out("work"), "--gitdata", out("git"), "--scores", str(scores), "--decisions", out("decisions"), "--out", out("report.md"))
     e = {r.episode_id: r for r in spark.read.parquet(out("git/episodes")).collect()}
     assert e[1].session_ids == ["one"] and e[1].links[0].link_type == "timestamp_overlap" and e[1].added_lines == 20 and e[2].episode_type == "session_only"
@@ -50,7 +50,10 @@ def test_end_to_end(spark, tmp_path, capsys):
     assert "Episode type: feature" in text and "It went well." in text
     assert "Overall 7.00 (STRONG)." in (tmp_path / "report.md").read_text()
     shown = (tmp_path / "analytics.md").read_text()
-    assert "total_source_files | 1" in shown and "## Profile\n- Project framework: generic" in shown
+    assert "- Code: 1 source files, avg 20 / median 20 lines, 0 god objects (>500), max 20" in shown and "## Profile\n- Project framework: generic" in shown
+    assert "- Commit discipline: 1 commits, conventional 100.0%, reverts 0.0%, atomic 100.0%, avg size 20 lines" in shown and "- Infrastructure: none" in shown
+    assert "- LOC: +20 / -0 (net 20), 20 net LOC/day over 1 days" in shown and "- Peak day: 2026-02-01 (+20 / 1 commits)" in shown and "- Authors: 1, ship-to-revert ratio: 1.0" in shown
+    assert "- Author-scoped: +20 / -0 over 1 commits (20 net LOC/day)" in shown and "steering actions across" in shown and "- Dispatches: 0, returns: 0" in shown
     assert json.loads((tmp_path / "analytics.json").read_text())["code_quality"]["status"] == "complete"
     assert any('  "episode_id" : 1' in r.value for r in spark.read.text(out("git/episodes.json")).collect())
     told = capsys.readouterr().err
@@ -58,3 +61,14 @@ def test_end_to_end(spark, tmp_path, capsys):
     (tmp_path / "agg.json").write_text(json.dumps({"episodes": [{"scores": {"steering": 9}, "confidence": 0.5}, {"scores": {"steering": 5}}]}))
     run("aggregate", "--scores", out("agg.json"))
     assert json.loads(capsys.readouterr().out)["axes"] == {"steering": 6.54}
+
+
+def test_analytics_of_nothing_and_of_errors():
+    """Sections say what is missing; dimensions that failed are named."""
+    from tracework.plans import report
+
+    none = report.render_analytics({"session_count": 0, "code_quality": {"status": "no_repo", "dimensions": {}}, "profile": {"status": "no_repo"}})
+    assert "status: no_repo" in none and "- No git data (no commits found)" in none and "- 0 steering actions across 0/0 sessions" in none
+    broken = report.render_analytics({"code_quality": {"status": "complete", "file_count": 2, "dimensions": {"security_signals": {"status": "error"}, "documentation": {"doc_count": 1, "has_readme": True}, "infrastructure": {"has_ci": True, "has_docker": False}}}})
+    assert "- Dimensions errored: security_signals" in broken and "- Docs: 1 files, README: True, CHANGELOG: False" in broken and "- Infrastructure: has_ci" in broken and "Security:" not in broken
+    assert report.render_analytics({"code_quality": {"status": "error", "error": "E: x"}}).count("- Error: E: x") == 1

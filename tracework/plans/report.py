@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -244,27 +245,74 @@ def export(path: str, sessions: DataFrame, events: DataFrame, commits: DataFrame
     ends.unionByName(work).orderBy("part", "place").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
-def render_analytics(quality: dict, velocity, steering_totals, parallel, profile: dict) -> str:
-    """Repository metrics as markdown, from what is already collected."""
-
-    def flat(x, prefix: str = "") -> list[tuple[str, object]]:
-        rows = []
-        for k, v in (x.asDict() if hasattr(x, "asDict") else x).items():
-            rows += flat(v, f"{prefix}{k}.") if hasattr(v, "asDict") or isinstance(v, dict) else [(prefix + k, v)]
-        return rows
-
-    out = ["# Repository analytics", "", f"## Code quality — status: {quality['status']}"]
-    if quality["dimensions"]:
-        out.append(table(["metric", "value"], flat(quality["dimensions"])))
-    for title, row in (("Velocity", velocity), ("Parallelism", parallel)):
-        out += ["", f"## {title}", table(["metric", "value"], flat(row)) if row else "No data."]
-    out += ["", "## Steering", table(["action", "n"], [(r.action, r.n) for r in steering_totals]), "", "## Profile"]
-    if "status" in profile:
-        out.append(f"- status: {profile['status']}")
+# What the analytics say of each dimension, and the field without which a line is left out.
+ANALYTICS_LINES = (
+    ("commit_discipline", "total_commits", "Commit discipline: {total_commits} commits, conventional {conventional_commit_ratio:share}, reverts {revert_ratio:share}, atomic {atomic_commit_ratio:share}, avg size {avg_commit_size_lines} lines"),
+    ("test_quality", None, "Tests: {test_file_count:n} test files, test/prod LOC ratio {test_ratio:n}, frameworks: {frameworks:names}"),
+    ("code_quality", "total_source_files", "Code: {total_source_files} source files, avg {avg_file_length} / median {median_file_length} lines, {god_object_count} god objects (>500), max {max_file_length}"),
+    ("error_handling", None, "Error handling: {rescue_total:n} handlers, bare/generic ratio {bare_rescue_ratio:n}, retry logic: {has_retry_logic:flag}"),
+    ("security_signals", None, "Security: eval {eval_usage:n}, exec {exec_usage:n}, SQL interpolation {sql_interpolation_count:n}, hardcoded-secret patterns {hardcoded_secret_patterns:n}"),
+    ("architecture", None, "Architecture: {total_components:n} components across {component_types:n} types (separation of concerns: {has_separation_of_concerns:flag})"),
+    ("documentation", None, "Docs: {doc_count:n} files, README: {has_readme:flag}, CHANGELOG: {has_changelog:flag}"),
+    ("agent_configs", None, "Agent configs: {tools_configured:names} ({total_word_count:n} words, {total_constraint_count:n} constraints)"),
+    ("infrastructure", None, "Infrastructure: {*:names}"),
+    ("dependencies", None, "Dependencies: {dependency_count:n} declared, lockfile: {has_lockfile:flag}, frameworks: {frameworks:names}"),
+    ("git_workflow", "active_days", "Git workflow: {active_days} active days, {commits_per_active_day} commits/day, {version_commits} version commits"),
+    ("code_evolution", "total_lines_added", "Evolution: +{total_lines_added} / -{total_lines_deleted} (net {net_loc_change}), deletion ratio {deletion_ratio}, refactor commits {refactor_commit_ratio:share}"),
+    ("performance", None, "Performance awareness: {*:names}"),
+    ("production_readiness", None, "Production readiness: {*:names}"),
+)
+VELOCITY_LINES = (
+    ("insertions", "LOC: +{insertions} / -{deletions} (net {net_loc}), {loc_per_day} net LOC/day over {date_range_days} days"), ("insertions", "Test insertions: {test_insertions} (ratio {test_ratio})"),
+    ("peak_date", "Peak day: {peak_date} (+{peak_insertions} / {peak_commits} commits)"), ("insertions", "Authors: {authors:n}, ship-to-revert ratio: {ship_to_revert_ratio}"),
+    ("author_insertions", "Author-scoped: +{author_insertions} / -{author_deletions} over {author_commits} commits ({author_loc_per_day} net LOC/day)"),
+)
+
+
+class _Fields(string.Formatter):
+    """Fields of a record by name (``*``: all of it), with formats for counts, shares, flags and names."""
+
+    def get_value(self, key, args, record):
+        return record if key == "*" else record.get(key)
+
+    def format_field(self, value, spec: str) -> str:
+        if spec == "share":
+            return f"{value * 100:.1f}%" if isinstance(value, (int, float)) else "n/a"
+        if spec == "names":
+            return ", ".join([k for k, on in value.items() if on is True] if isinstance(value, dict) else value or []) or "none"
+        return str((value or 0) if spec == "n" else bool(value) if spec == "flag" else value)
+
+
+def render_analytics(record: dict) -> str:
+    """The analytics record as markdown, section by section."""
+    say = _Fields().vformat
+    q, v, steered, p, about = (record.get(k) or {} for k in ("code_quality", "velocity", "steering", "parallelism", "profile"))
+    dims = q.get("dimensions") or {}
+    out = ["# Repository analytics", "", f"- Sessions analyzed: {record.get('session_count', 0)}", "", f"## Code Quality — status: {q.get('status', 'error')}"]
+    if q.get("status") == "complete":
+        out.append(f"- Files analyzed: {q.get('file_count')}")
+        whole = {d: x for d, x in dims.items() if isinstance(x, dict) and x and x.get("status") != "error"}
+        out += [f"- {say(text, (), whole[d])}" for d, needed, text in ANALYTICS_LINES if d in whole and (needed is None or whole[d].get(needed) is not None)]
+        broken = [d for d, x in dims.items() if isinstance(x, dict) and x.get("status") == "error"]
+        out += [f"- Dimensions errored: {', '.join(broken)}"] if broken else []
+    elif q.get("error"):
+        out.append(f"- Error: {q['error']}")
+    told = [f"- {say(text, (), v)}" for needed, text in VELOCITY_LINES if v.get(needed) is not None]
+    out += ["", "## Velocity", *(told or ["- No git data (no commits found)"])]
+    counts = steered.get("actions") or {}
+    out += ["", "## Steering", f"- {sum(counts.values())} steering actions across {steered.get('sessions_with_actions', 0)}/{record.get('session_count', 0)} sessions"]
+    out += ["- Action mix: " + ", ".join(f"{k} {n}" for k, n in counts.items())] if counts else []
+    out += [
+        "", "## Parallelism", f"- Dispatches: {p.get('dispatch_count', 0)}, returns: {p.get('return_count', 0)}",
+        f"- Sessions with dispatch + matched return + commit after return: {p.get('dispatch_with_committed_return_count', 0)}",
+        "- concurrent_pairs_with_ships_count / review_separation_count: null (need child subagent session records that don't exist locally)", "", "## Profile",
+    ]
+    if "status" in about or not about:
+        out.append(f"- status: {about.get('status', 'error')}")
     else:
-        some = lambda xs: ", ".join(xs) or "none"
+        names = lambda xs: ", ".join(xs) or "none"
         out += [
-            f"- Project framework: {profile['project_framework']}", f"- Frameworks detected: {some(profile['frameworks'])}; {profile['dependency_count']} dependencies", f"- Agent configs: {some(profile['agent_config_stats'].get('tools_configured') or [])}",
-            f"- Documentation files: {profile['documentation'].get('doc_count', 0)}", f"- Infra signals: {some(sorted(profile['infra_signals']))}",
+            f"- Project framework: {about['project_framework']}", f"- Frameworks detected: {names(about['frameworks'])}; {about['dependency_count']} dependencies", f"- Agent configs: {names(about['agent_config_stats'].get('tools_configured') or [])}",
+            f"- Documentation files: {about['documentation'].get('doc_count', 0)}", f"- Infra signals: {names(sorted(about['infra_signals']))}",
         ]
     return "\n".join(out) + "\n"

@@ -80,20 +80,32 @@ def quality(spark: SparkSession, repo: str, commits: DataFrame, numstat: DataFra
         return {"status": "error", "error": f"{type(e).__name__}: {e}", "dimensions": {}}
 
 
-def analytics(spark: SparkSession, repo: str, commits: DataFrame, numstat: DataFrame, sessions: DataFrame, found: DataFrame) -> tuple[dict, str]:
+def analytics(spark: SparkSession, repo: str, commits: DataFrame, numstat: DataFrame, sessions: DataFrame, found: DataFrame, names: list[str] = (), emails: list[str] = ()) -> tuple[dict, str]:
     """Repository metrics, velocity, steering, parallelism and profile: as a record, and as markdown."""
     c = commits.withColumn("date", TM.wall_date(F.col("date")))
     files = numstat.select("repo_id", "sha", F.col("file").alias("path"), "added", "deleted")
     q = quality(spark, repo, c, files)
-    v = velocity.velocity(velocity.sizes(c, files), ["repo_id"]).first()
+    sized = velocity.sizes(c, files)
+    v = velocity.velocity(sized, ["repo_id"]).first()
+    pace = v.asDict() if v else {}
+    if v:
+        days = velocity.daily(sized.where("date is not null"), ["repo_id"])
+        top = velocity.peak_day(days, ["repo_id"]).first()
+        pace |= {"peak_date": str(top.date), "peak_insertions": top.insertions, "peak_commits": top.commits} if top else {}
+        pace["authors"] = velocity.by_author(sized, ["repo_id"]).count()
+        if names or emails:
+            own = velocity.velocity(velocity.sizes(velocity.scoped(c, list(names), list(emails)), files), ["repo_id"]).first()
+            pace |= {f"author_{k}": own[k] for k in ("insertions", "deletions", "commits", "loc_per_day")} if own else {}
     turns = found.where("type = 'user_directive'")
-    s = steering.totals(steering.actions(turns, ["session_id"], "index").drop("session_id"), []).orderBy(F.desc("n"), "action").collect()
+    acted = steering.actions(turns, ["session_id"], "index")
+    s = steering.totals(acted.drop("session_id"), []).orderBy(F.desc("n"), "action").collect()
+    steered = {"actions": {r.action: r.n for r in s}, "sessions_with_actions": acted.select("session_id").distinct().count()}
     if "parent_session_id" not in sessions.columns:
+        # logs don't name a parent, so sessions nested in others can't be told from main ones
         sessions = sessions.withColumn("parent_session_id", F.lit(None).cast("string"))
     p = steering.parallelism(sessions, found).first()
-    about = codequality.profile(q)
-    record = {"session_count": sessions.count(), "code_quality": q, "velocity": v.asDict() if v else {}, "steering": {r.action: r.n for r in s}, "parallelism": p.asDict(), "profile": about}
-    return record, report.render_analytics(q, v, s, p, about)
+    record = {"session_count": sessions.count(), "code_quality": q, "velocity": pace, "steering": steered, "parallelism": p.asDict(), "profile": codequality.profile(q)}
+    return record, report.render_analytics(record)
 
 
 def aggregate(path: str) -> dict:
@@ -155,7 +167,7 @@ def _parser() -> argparse.ArgumentParser:
     stage("finalize", "events", "answers", "catalog", "out")
     stage("episodes", "logs", "gitdata", "narratives", "decisions", "out")
     stage("aggregate", "scores")
-    stage("analytics", "repo", "logs", "gitdata", "out", optional=("json",))
+    stage("analytics", "repo", "logs", "gitdata", "out", optional=("json",), many=("author-name", "author-email"))
     stage("report", "logs", "gitdata", "scores", "decisions", "out", optional=("llm-calls",))
     return p
 
@@ -205,7 +217,7 @@ def main(argv: list[str] | None = None) -> int:
         made = documents.documents(load(a.gitdata, "episodes"), load(a.logs, "sessions"), load(a.gitdata, "groups"), repofiles.narratives(spark, a.narratives), load(a.decisions), load(a.logs, "events"))
         documents.write(made, a.out)
     elif a.stage == "analytics":
-        record, text = analytics(spark, a.repo, load(a.gitdata, "commits"), load(a.gitdata, "numstat"), load(a.logs, "sessions"), load(a.logs, "events"))
+        record, text = analytics(spark, a.repo, load(a.gitdata, "commits"), load(a.gitdata, "numstat"), load(a.logs, "sessions"), load(a.logs, "events"), a.author_name, a.author_email)
         Path(a.out).write_text(text)
         if a.json:
             Path(a.json).write_text(json.dumps(record, indent=2, ensure_ascii=False, default=str) + "\n")
