@@ -165,9 +165,9 @@ def text_rules(spark, sf_dir):
 
 
 def numeric_rules(spark, sf_dir):
-    """Three ways to round eighths, whose halves are exact, and guarded ratios."""
-    e = table(spark, sf_dir, "events").withColumn("n", F.col("event_id") % 1000)
-    x, n = F.col("n") / F.lit(8.0), F.col("n")
+    """Three ways to round every event's two-hundredths, most of whose halves aren't exact (1.005, 2.675), and guarded ratios."""
+    e = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    x, n = F.col("n") / F.lit(200.0), F.col("n")
     return e.select(
         "event_id", N.round_repr(x, 2).alias("by_repr"), N.round_binary(x, 2).alias("by_binary"), N.round_even(x, 2).alias("to_even"), N.ratio(n, n % 5).alias("ratio"), N.percent(n % 7, F.lit(8)).alias("percent"),
         N.half_up(x).alias("half_up"), N.floor_div(n - 500, F.lit(7)).alias("floored"),
@@ -423,6 +423,8 @@ _CHARGED = f"({matches('t', P.FRUSTRATION)} OR length(t) - length(replace(t, '!'
 _DOMAIN = "CASE " + " ".join(f"WHEN {matches('text', p)} THEN '{n}'" for n, p in DP.DOMAINS.items()) + " ELSE 'general' END"
 _LEVEL = f"CASE WHEN word_count > 30 AND (d = 'architecture' OR {matches('text', DP.ONE_WAY)} OR {matches('text', DP.RATIONALE)}) THEN 'strategic' WHEN word_count > 15 OR d NOT IN ('debugging', 'tooling') THEN 'moderate' ELSE 'tactical' END"
 _COUNTER = f"NOT ({' OR '.join(matches('text', p) for p in DP.OPTION_REFERENCES)}) AND (len(list_filter(regexp_extract_all(lower(text), '\\b[A-Za-z0-9_]{{4,}}\\b'), lambda w: NOT list_contains(['option', 'keeps', 'schema', 'moves'], w))) >= 3 OR {matches('text', DP.REVERSAL)})"
+# a double times this is a whole number, exactly
+_ONE = 2**60
 _KJ = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
@@ -476,7 +478,10 @@ ORACLE_SQL = {
  CASE WHEN t >= 1000000 THEN printf('%.1fM', t / 1e6) WHEN t >= 1000 THEN printf('%.1fk', t / 1e3) ELSE CAST(t AS VARCHAR) END AS tokens, '$' || format('{{:,}}', e.event_id) || '.00' AS amount, CASE WHEN e.event_id % 2 = 1 THEN 'x' END AS joined,
  CAST([0.5, -1, 1, 0][e.event_id % 4 + 1] AS DOUBLE) AS caps, error_line, 2 AS words, 2 + CASE WHEN e.event_id % 2 = 0 THEN 1 ELSE 0 END AS words_leading, 'a\\.b\\+c\\[d\\]' AS escaped
 FROM (SELECT *, event_id * 997 AS t FROM events) e JOIN ({_results(NUMBER_RESULTS, ("first_number",))}) x USING (event_id) JOIN ({_results(LINE_RESULTS, ("error_line",))}) y USING (event_id)""",
-    "numeric_rules": "SELECT event_id, floor(n * 12.5 + 0.5) / 100 AS by_repr, floor(n * 12.5 + 0.5) / 100 AS by_binary, CASE WHEN n % 2 = 1 AND floor(n * 12.5) % 2 = 0 THEN floor(n * 12.5) / 100 ELSE floor(n * 12.5 + 0.5) / 100 END AS to_even, CASE WHEN n % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE n / (n % 5) END AS ratio, CAST(floor(n % 7 * 12.5 + 0.5) AS BIGINT) AS percent, CAST(floor(n / 8 + 0.5) AS BIGINT) AS half_up, CAST(floor((n - 500) / 7) AS BIGINT) AS floored FROM (SELECT event_id, CAST(event_id % 1000 AS DOUBLE) AS n FROM events)",
+    "numeric_rules": f"""WITH e AS (SELECT event_id, CAST(event_id AS DOUBLE) AS n, CAST(event_id AS DOUBLE) / 200 AS x, CAST(CAST(event_id AS DOUBLE) / 200 * {_ONE} AS HUGEINT) * 100 AS i FROM events)
+SELECT event_id, floor(n * 0.5 + 0.5) / 100 AS by_repr, CAST((i + {_ONE // 2}) // {_ONE} AS DOUBLE) / 100 AS by_binary,
+ CAST(i // {_ONE} + CASE WHEN i % {_ONE} > {_ONE // 2} OR i % {_ONE} = {_ONE // 2} AND (i // {_ONE}) % 2 = 1 THEN 1 ELSE 0 END AS DOUBLE) / 100 AS to_even,
+ CASE WHEN n % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE n / (n % 5) END AS ratio, CAST(floor(n % 7 * 12.5 + 0.5) AS BIGINT) AS percent, CAST(floor(x + 0.5) AS BIGINT) AS half_up, CAST(floor((n - 500) / 7) AS BIGINT) AS floored FROM e""",
     "clocks": _results(STAMP_RESULTS, ("us", "rendered", "day", "hour", "weekday")),
     "labels": f"SELECT event_id, CASE WHEN h >= 20 OR h < 5 THEN 'Night owl' WHEN h < 9 THEN 'Early bird' ELSE 'Daytime shipper' END AS peak, CASE WHEN k % 4 >= 2 THEN 'The Architect' WHEN h % 5 >= 3 THEN 'The Director' WHEN k % 7 >= 4 THEN 'The Conductor' WHEN k % 3 = 0 AND h <= 8 THEN 'The Minimalist' ELSE 'The Builder' END AS archetype FROM (SELECT event_id, event_id % 24 AS h, {_KJ} AS k FROM events)",
     "git_commits": f"SELECT user_id AS repo_id, i AS log_pos, sha, left(sha, 7) AS short, 'u' || user_id AS author, 'u@x.org' AS email, stamp AS date, 'fix' || chr(9) || 'it ' || k AS subject, epoch_us(date_trunc('second', ts)) AS us FROM ({_GIT}) WHERE event_id % 6 <> 0",
