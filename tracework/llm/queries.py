@@ -187,6 +187,20 @@ taken AS (
   FROM swept w LEFT JOIN extra e ON e.doc_id IS NOT DISTINCT FROM w.doc_id AND e.source IS NOT DISTINCT FROM w.source AND e.lot = w.lot)
 SELECT doc_id, size, source_size, target, size * copies AS taken, CAST(copies AS BIGINT) AS copies
 FROM taken
+""",
+    # hexadecimal digits are cut into pieces, as a place far within a long text is slow to reach
+    "op11_suffix_dedup": """
+WITH docs AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+pieces AS (SELECT doc_id, n, p, substr(h, 2 * p + 1, 2798) AS piece FROM (SELECT doc_id, h, n, unnest(range(0, n - 399, 1000)) AS p FROM docs WHERE n >= 400)),
+windows AS MATERIALIZED (SELECT doc_id, p + j AS s, hash(substr(piece, 2 * j + 1, 800)) AS a FROM (SELECT doc_id, p, piece, unnest(range(0, least(1000, n - 399 - p))) AS j FROM pieces)),
+again AS (SELECT a FROM windows GROUP BY a HAVING count(*) > 1),
+hits AS (SELECT doc_id, s FROM windows JOIN again USING (a)),
+runs AS (SELECT doc_id, s, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS f FROM hits)),
+spans AS (SELECT doc_id, r, min(s) AS b, max(s) + 400 AS e FROM runs GROUP BY doc_id, r),
+edges AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM spans),
+cut AS (SELECT doc_id, sum(e - b) AS gone, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS kept, max(e) AS last FROM edges JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
 """,
     "op12_vector_codes": codes_sql(),
     "op13_merkle": manifest_sql(),
