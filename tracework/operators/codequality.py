@@ -56,8 +56,14 @@ ARCHITECTURE = {
     },
     "go": {"commands": r"\Acmd/[^/]+/main\.go\z", "packages": r"\Ainternal/[^/]+/[^/]+\.go\z", "handlers": r"handler[s]?/[^/]+\.go\z", "middleware": r"middleware/[^/]+\.go\z", "models": r"model[s]?/[^/]+\.go\z"},
     "python": {"models": r"models?/[^/]+\.py\z", "views": r"views?/[^/]+\.py\z", "services": r"services?/[^/]+\.py\z", "tasks": r"tasks?/[^/]+\.py\z", "serializers": r"serializers?/[^/]+\.py\z", "middleware": r"middleware/[^/]+\.py\z"},
-    "node": {k: rf"{p}/[^/]+\.[jt]sx?\z" for k, p in (("routes", "routes?"), ("controllers", "controllers?"), ("services", "services?"), ("models", "models?"), ("middleware", "middleware"), ("components", "components?"))},
-    "generic": {k: rf"\A(?!(?:test|spec|__tests__)/)[^/]*/{k[:-1]}s?/[^/]+\.\w+\z" for k in ("services", "models", "controllers")},
+    "node": {
+        "routes": r"routes?/[^/]+\.[jt]sx?\z", "controllers": r"controllers?/[^/]+\.[jt]sx?\z", "services": r"services?/[^/]+\.[jt]sx?\z", "models": r"models?/[^/]+\.[jt]sx?\z",
+        "middleware": r"middleware/[^/]+\.[jt]sx?\z", "components": r"components?/[^/]+\.[jt]sx?\z",
+    },
+    "generic": {
+        "services": r"\A(?!(?:test|spec|__tests__)/)[^/]*/services?/[^/]+\.\w+\z", "models": r"\A(?!(?:test|spec|__tests__)/)[^/]*/models?/[^/]+\.\w+\z",
+        "controllers": r"\A(?!(?:test|spec|__tests__)/)[^/]*/controllers?/[^/]+\.\w+\z",
+    },
 }
 DOC_DIRS = (r"(?i)(?:test|spec|__tests__|evals?)/", r"(?i)(?:node_modules|vendor|\.github)/")
 
