@@ -319,6 +319,9 @@ def manifests(spark, sf_dir):
 # --- decisions, documents and reports ---
 
 
+EVEN = ("0", "2", "4", "6", "8")
+
+
 def _answers(found: DataFrame) -> DataFrame:
     """Two batches of answers to each candidate; the second denies every third."""
     p = F.col("position")
@@ -341,6 +344,15 @@ def classified_decisions(spark, sf_dir):
     return _classified(spark, sf_dir).select("session_id", "event_index", "proposal_type", "significance", "decision_type", "law_key", "classification_confidence", "decision_narrative", "agent_recognized")
 
 
+def finalised_decisions(spark, sf_dir):
+    """Answered sessions by their answers, the others (every other one got none) by patterns, joined to what followed."""
+    e = logs.events(spark, sf_dir)
+    found = logs.stored(D.candidates(e))
+    catalog = table(spark, sf_dir, "region").select(F.concat(F.lit("L"), F.col("r_regionkey").cast("string")).alias("key")).where("key != 'L4'")
+    d = D.finalise(e, _answers(found.where(F.right("session_id", F.lit(1)).isin(*EVEN))), catalog)
+    return d.select("session_id", "event_index", "proposal_type", "significance", "decision_type", "law_key")
+
+
 def decision_summary(spark, sf_dir):
     """Counts of each session's decisions and the first lines that aren't tactical."""
     d = _classified(spark, sf_dir).withColumns({"outcome": F.struct(F.when(F.col("event_index") % 2 == 0, "positive").otherwise("negative").alias("signal")), "redacted_response_text": D.redact(F.col("response_text"))})
@@ -503,6 +515,8 @@ LEFT JOIN (SELECT repo_id, max(lines) AS max_file_length, CAST(sum(CASE WHEN rb
 LEFT JOIN (SELECT source AS repo_id, count(*) AS total_commits, round(count(*) FILTER (doc_id % 4 = 0) / count(*), 3) AS conventional_commit_ratio, round(count(*) FILTER (doc_id % 4 = 1) / count(*), 3) AS revert_ratio, round(count(*) FILTER (doc_id % 4 = 2) / count(*), 3) AS refactor_commit_ratio, count(*) FILTER (doc_id % 4 = 3) AS version_commits FROM documents WHERE source IS NOT NULL GROUP BY source) c ON c.repo_id = f.repo_id""",
     "manifests": "SELECT c_custkey AS repo_id, c_custkey % 4 + 2 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS dependency_count, concat_ws(',', CASE WHEN c_custkey % 4 > 0 THEN 'rails' END, 'react', CASE WHEN c_custkey % 2 = 0 THEN 'vue' END, 'jest') AS frameworks, 'claude_code,cursor' AS tools, 5 + c_custkey % 3 * 5 + 2 AS total_word_count, 1 + c_custkey % 3 * 2 + 1 AS total_constraint_count, 1 + c_custkey % 3 AS rules_count, 1 AS never_count, c_custkey % 3 AS always_count, c_custkey % 3 AS must_count FROM customer",
     "classified_decisions": f"WITH {logs._LINES}, {_ANSWERED} SELECT session_id, event_index, proposal_type, significance, decision_type, law_key, classification_confidence, decision_narrative, agent_recognized FROM decs",
+    "finalised_decisions": f"""WITH {logs._LINES}, {_ANSWERED} SELECT session_id, event_index, proposal_type, significance, decision_type, law_key FROM decs WHERE right(session_id, 1) IN {EVEN}
+UNION ALL SELECT session_id, event_index, proposal_type, significance, NULL, NULL FROM ({logs.ORACLE_SQL["pattern_decisions"]}) WHERE right(session_id, 1) NOT IN {EVEN}""",
     "decision_summary": f"""WITH {logs._LINES}, {_ANSWERED}, w AS (SELECT *, row_number() OVER (PARTITION BY session_id, significance <> 'tactical' ORDER BY event_index) AS n FROM decs JOIN (SELECT sid AS session_id, idx AS event_index, text FROM ev) t USING (session_id, event_index)),
 dm AS (SELECT c.sid AS session_id, c.event_index, CASE WHEN contains(c.user_text, 'fix') THEN 'debugging' ELSE 'general' END AS domain FROM cand c)
 SELECT session_id, count(*) AS total, count(*) FILTER (significance = 'strategic') AS strategic, count(*) FILTER (significance = 'moderate') AS moderate, count(*) FILTER (significance = 'tactical') AS tactical, count(*) FILTER (agent_recognized) AS recognized, count(*) FILTER (event_index % 2 = 0) AS positive, count(*) FILTER (event_index % 2 = 1) AS negative,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions as D
 from ..operators import scans
 from ..operators import sequence as S
+from ..operators import steering
 
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 
@@ -121,6 +122,15 @@ def site_concurrency(spark, sf_dir):
     return d.unionByName(scans.peak(lines, [], "l_shipdate", "arrives").select(F.lit("lines").alias("what"), "peak"))
 
 
+def sessions_since(spark, sf_dir):
+    """Customers as sessions: those whose last event is no older than a day in the second half, and those without any event."""
+    last = events(spark, sf_dir).groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("ts").alias("last"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").join(last, "c_custkey", "left")
+    middle = F.date_trunc("day", F.timestamp_seconds((F.unix_seconds(F.min("last")) + F.unix_seconds(F.max("last"))) / 2))
+    cutoff = c.agg(middle.alias("cutoff"))
+    return steering.since(c.join(F.broadcast(cutoff)), F.col("last"), F.col("cutoff")).select("c_custkey", F.unix_seconds("last").alias("last_s"))
+
+
 def site_medians(spark, sf_dir):
     """The middle values of all events and of each kind, few and large groups; no group is held in one place."""
     e = events(spark, sf_dir)
@@ -170,6 +180,7 @@ FROM n""",
     "site_sessions": "SELECT CAST(s AS BIGINT) AS session, count(*) AS n_events, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS end_s FROM (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 20000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id))) GROUP BY s",
     "site_states": "SELECT event_id, CAST(row_number() OVER w - 1 AS BIGINT) AS n_before, CAST(coalesce(sum(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END) OVER w, 0) AS BIGINT) AS spent, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS last_purchase, first_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_signup FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY event_type = 'error'",
     "site_concurrency": f"SELECT what, CAST(max(o) AS BIGINT) AS peak FROM (SELECT what, sum(d) OVER (PARTITION BY what ORDER BY tt, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT 'dispatches' AS what, epoch_us(s) AS tt, 1 AS d FROM ({_DISPATCH}) UNION ALL SELECT 'dispatches', epoch_us(e), -1 FROM ({_DISPATCH}) UNION ALL SELECT 'lines', epoch_us(l_shipdate), 1 FROM lineitem UNION ALL SELECT 'lines', epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) % 30 * 86400000000, -1 FROM lineitem)) GROUP BY what",
+    "sessions_since": "WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), c AS (SELECT c_custkey, last FROM customer LEFT JOIN l ON user_id = c_custkey), m AS (SELECT date_trunc('day', make_timestamp(CAST(floor((floor(epoch(min(last))) + floor(epoch(max(last)))) / 2) AS BIGINT) * 1000000)) AS cutoff FROM c) SELECT c_custkey, CAST(floor(epoch(last)) AS BIGINT) AS last_s FROM c, m WHERE last IS NULL OR last >= cutoff",
     "site_medians": "SELECT what, count(*) AS n, min(value) FILTER (r IN ((m + 1) // 2, m // 2 + 1)) AS low, max(value) FILTER (r IN ((m + 1) // 2, m // 2 + 1)) AS high FROM (SELECT *, row_number() OVER (PARTITION BY what ORDER BY value) AS r, count(*) OVER (PARTITION BY what) AS m FROM (SELECT event_type AS what, value FROM events UNION ALL SELECT 'all', value FROM events) WHERE value IS NOT NULL) GROUP BY what",
     "max_concurrency": f"SELECT user_id, CAST(max(o) AS BIGINT) AS peak FROM (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY tt, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT user_id, s AS tt, 1 AS d FROM ({_DISPATCH}) UNION ALL SELECT user_id, e, -1 FROM ({_DISPATCH}))) GROUP BY user_id",
     "peak_hours_circular": """WITH h AS (SELECT user_id, CAST(hour(ts) AS INT) AS h, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL),
