@@ -36,7 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = simhash.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
     ids = rows.select("__row", id_column("doc_id").alias("k"), "__order")
     keep = groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("k", "__order", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(written(keep), "__row", "left_semi").select(*cols)
+    return rows.join(keep, "__row", "left_semi").select(*cols)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
