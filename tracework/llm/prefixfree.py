@@ -19,7 +19,7 @@ from .substrings import _docs, _pack, _rows, _unpack
 #: Bytes of a window; bytes of a trigger; one position in so many is a trigger.
 WIDTH, TRIGGER, DENSITY = 400, 16, 52
 #: Bytes parsed at once; bytes of a document's piece; parse entries a chunk holds; bytes of text whose entries one bucket takes.
-BLOCK, PIECE, CHUNK, BUCKET_BYTES = 1_000_000, 1_000_000, 1_500_000, 64_000_000
+BLOCK, PIECE, CHUNK, BUCKET_BYTES = 1_000_000, 1_000_000, 1_000_000, 48_000_000
 #: Entries ordered by one call; entries of one stretch of phrases from which their windows are counted in Spark instead.
 LOT, HOT = 20_000, 5_000
 _BASE = 0x9E3779B97F4A7C15
