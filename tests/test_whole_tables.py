@@ -30,6 +30,26 @@ def test_whole_table(spark, name):
     assert got == want
 
 
+def same_as_sql(spark, name, folder, *tables):
+    """The query's rows over ``tables`` in ``folder`` are those of its SQL, which may cut nothing there."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    cur = con.execute(ORACLE_SQL[name])
+    names = [c[0] for c in cur.description]
+    want = sorted(tuple(map(shown, r)) for r in cur.fetchall())
+    got = sorted(tuple(map(shown, r)) for r in QUERIES[name](spark, str(folder)).select(*names).collect())
+    assert got == want and want
+
+
+#: Queries over files of repositories that take every source, also beyond the operators' first 10 000 of a repository.
+@pytest.mark.parametrize("name", ["agent_files"])
+def test_more_sources_than_are_read_by_default(spark, tmp_path, name):
+    d = spark.range(30_000).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang", "'one' AS source", "id % 40 AS n_chars")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, name, tmp_path, "documents")
+
+
 def test_secrets_in_long_documents(spark, tmp_path):
     long = "word " * 2000
     rows = [(7, f"{long}hf_{'b' * 24} {long}", 20028), (15, "hf_" + "c" * 24, None), (23, None, None)]

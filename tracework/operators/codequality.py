@@ -74,9 +74,11 @@ def discovered(files: DataFrame) -> DataFrame:
     return f.withColumns({"ext": T.extension(F.col("path")), "is_test": F.col("path").rlike(TEST_FILE)}).withColumn("is_source", F.col("ext").isin(*SOURCE_EXTENSIONS))
 
 
-def readable(found: DataFrame) -> DataFrame:
-    """The first sources whose contents count, by position, and of them those small enough to have been read."""
-    first = top_by(found.where("is_source"), ["repo_id"], ["file_pos"], MAX_FILES, "__n").drop("__n")
+def readable(found: DataFrame, most: int | None = MAX_FILES) -> DataFrame:
+    """The first ``most`` sources of a repository by position, whose contents count (None: all), and of them those small enough to have been read."""
+    first = found.where("is_source")
+    if most is not None:
+        first = top_by(first, ["repo_id"], ["file_pos"], most, "__n").drop("__n")
     return first.withColumn("content", F.when(F.col("size") <= MAX_FILE_SIZE, F.col("content")))
 
 
