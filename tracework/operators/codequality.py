@@ -92,9 +92,9 @@ def _handling(kinds: dict[str, str]) -> tuple[Column, Column]:
     return n["bare"] + n["standard"], F.greatest(n["specific"] - n["standard"], F.lit(0))
 
 
-def contents(found: DataFrame) -> DataFrame:
-    """One row a repository: everything that needs file contents, in one aggregate."""
-    r = readable(found)
+def contents(found: DataFrame, most: int | None = MAX_FILES) -> DataFrame:
+    """One row a repository: everything that needs file contents, in one aggregate; ``most``: see :func:`readable`."""
+    r = readable(found, most)
     has, lines = F.col("content").isNotNull(), F.coalesce(T.n_lines(F.col("content")), F.lit(0))
     rg, rs = _handling(RUBY)
     pg, ps = _handling(PYTHON)
