@@ -43,7 +43,7 @@ def same_as_sql(spark, name, folder, *tables):
 
 
 #: Queries over files of repositories that take every source, also beyond the operators' first 10 000 of a repository.
-@pytest.mark.parametrize("name", ["agent_files", "repo_contents"])
+@pytest.mark.parametrize("name", ["agent_files", "repo_contents", "repo_analysis"])
 def test_more_sources_than_are_read_by_default(spark, tmp_path, name):
     d = spark.range(30_000).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang", "'one' AS source", "id % 40 AS n_chars")
     d.write.parquet(f"{tmp_path}/documents.parquet")

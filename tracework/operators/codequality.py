@@ -206,12 +206,12 @@ def profile(quality: dict) -> dict:
     }
 
 
-def analyse(files: DataFrame, commits: DataFrame, numstat: DataFrame) -> DataFrame:
-    """One row a repository: status, profile and the fourteen dimensions as structs. Nothing can raise: missing inputs leave nulls."""
+def analyse(files: DataFrame, commits: DataFrame, numstat: DataFrame, most: int | None = MAX_FILES) -> DataFrame:
+    """One row a repository: status, profile and the fourteen dimensions as structs. Nothing can raise: missing inputs leave nulls. ``most``: see :func:`readable`."""
     found = discovered(files)
     d = V.discipline(V.sizes(commits, numstat), ["repo_id"])
     n = lambda a, b: F.round(N.ratio(F.col(a), F.col(b)), 3)
-    out = paths(found).join(contents(found), "repo_id", "left").join(dependencies(files), "repo_id", "left").join(agent_configs(files), "repo_id", "left").join(d, "repo_id", "left")
+    out = paths(found).join(contents(found, most), "repo_id", "left").join(dependencies(files), "repo_id", "left").join(agent_configs(files), "repo_id", "left").join(d, "repo_id", "left")
     arch = first_of([(F.col("project_framework") == f, F.array_compact(F.array(*[F.when(F.col(f"architecture.{f}.{k}") > 0, F.struct(F.lit(k).alias("component"), F.col(f"architecture.{f}.{k}").alias("n"))) for k in table]))) for f, table in ARCHITECTURE.items()], F.lit(None))
     out = out.withColumn("components", arch)
     total = F.aggregate("components", F.lit(0).cast("long"), lambda a, x: a + x.n)
