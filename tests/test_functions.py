@@ -93,3 +93,8 @@ def test_redaction(spark):
 def test_display(spark):
     assert values(spark, T.duration, 7, 185, 3720, kind="int") == ["7s", "3m 05s", "1h 02m"]
     assert values(spark, T.short_tokens, 950, 1200, 104_164_457, kind="long") == ["950", "1.2k", "104.2M"]
+
+
+def test_display_of_billions(spark):
+    assert values(spark, T.short_tokens, 999_999_999, 1_000_000_000, 2_040_000_000, kind="long") == ["1000.0M", "1.0B", "2.0B"]
+    assert values(spark, lambda n: T.short_tokens(n, billions=False), 1200, 104_164_457, 2_040_000_000, kind="long") == ["1.2k", "104.2M", "2040.0M"]

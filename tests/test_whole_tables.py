@@ -50,6 +50,13 @@ def test_more_sources_than_are_read_by_default(spark, tmp_path, name):
     same_as_sql(spark, name, tmp_path, "documents")
 
 
+def test_numbers_of_events_beyond_a_billion_tokens(spark, tmp_path):
+    # times 997 these lie around a thousand, a million and a billion, and on both sides of halves
+    e = spark.range(4_000).selectExpr("explode(array(id, id + 1001000, id + 1000000000)) AS event_id").selectExpr("event_id", "timestamp'2024-01-01' AS ts", "event_id % 7 AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    same_as_sql(spark, "text_rules", tmp_path, "events")
+
+
 def test_secrets_in_long_documents(spark, tmp_path):
     long = "word " * 2000
     rows = [(7, f"{long}hf_{'b' * 24} {long}", 20028), (15, "hf_" + "c" * 24, None), (23, None, None)]

@@ -140,12 +140,13 @@ def dollars(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(x, 2))
 
 
-def short_tokens(n: Column) -> Column:
-    """950, 1.2k, 104.2M, 2.0B; halves that are exact go to the even digit. Use it on aggregated rows."""
+def short_tokens(n: Column, billions: bool = True) -> Column:
+    """950, 1.2k, 104.2M, 2.0B (without ``billions`` 2000.0M); halves that are exact go to the even digit. Use it on aggregated rows."""
     from .numeric import round_even
 
-    unit = F.when(n >= 1_000_000_000, 1e9).when(n >= 1_000_000, 1e6).otherwise(1e3)
-    mark = F.when(n >= 1_000_000_000, "B").when(n >= 1_000_000, "M").otherwise("k")
+    large = (n >= 1_000_000_000) & F.lit(billions)
+    unit = F.when(large, 1e9).when(n >= 1_000_000, 1e6).otherwise(1e3)
+    mark = F.when(large, "B").when(n >= 1_000_000, "M").otherwise("k")
     return F.when(n >= 1_000, F.concat(F.format_string("%.1f", round_even(n / unit, 1)), mark)).otherwise(n.cast("string"))
 
 
