@@ -1,9 +1,12 @@
 """All stages from transcripts and a repository to the report, over the command line."""
 
 import json
+import os
 import subprocess
 
-from tracework.plans import stages
+import pytest
+
+from tracework.plans import documents, stages
 
 
 def test_end_to_end(spark, tmp_path, capsys):
@@ -72,3 +75,15 @@ def test_analytics_of_nothing_and_of_errors():
     broken = report.render_analytics({"code_quality": {"status": "complete", "file_count": 2, "dimensions": {"security_signals": {"status": "error"}, "documentation": {"doc_count": 1, "has_readme": True}, "infrastructure": {"has_ci": True, "has_docker": False}}}})
     assert "- Dimensions errored: security_signals" in broken and "- Docs: 1 files, README: True, CHANGELOG: False" in broken and "- Infrastructure: has_ci" in broken and "Security:" not in broken
     assert report.render_analytics({"code_quality": {"status": "error", "error": "E: x"}}).count("- Error: E: x") == 1
+
+
+def test_documents_come_back_by_their_manifest(spark, tmp_path):
+    docs = lambda a, b: spark.range(a, b).selectExpr("id AS episode_id", "'feature' AS episode_type", "concat('é ', id, '\n\n## end') AS text")
+    documents.write(docs(0, 600), str(tmp_path))
+    documents.write(docs(500, 1000), f"file://{tmp_path}")
+    assert len(os.listdir(tmp_path / "documents")) == 500
+    read = documents.read(spark.read.schema("episode_id long, episode_type string").json(str(tmp_path / "manifest")), str(tmp_path))
+    assert {(r.episode_id, r.text) for r in read.collect()} == {(i, f"é {i}\n\n## end\n") for i in range(500, 1000)}
+    (tmp_path / "documents" / "episode_id=700" / "text.txt").unlink()
+    with pytest.raises(Exception, match="episode_id=700"):
+        read.collect()

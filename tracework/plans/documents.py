@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.numeric import round_binary
 from ..operators import sequence as S
 from ..operators import steering
+from ..sources import linefiles
 
 # Limits, and the signals that are summed, in order.
 MAX_NARRATIVES, MAX_HIGHLIGHTS, MAX_PROMPTS = 50_000, 10_000, 5
@@ -92,7 +93,17 @@ def documents(episodes: DataFrame, sessions: DataFrame, groups: DataFrame, notes
     return x.select("episode_id", "episode_type", "session_count", "commit_group_count", F.coalesce("opening", F.lit("")).alias("first_prompt"), text.alias("text"))
 
 
+def _placed() -> Column:
+    """Where a document lies: a folder an episode."""
+    return F.concat(F.lit("episode_id="), F.coalesce(F.col("episode_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/text.txt"))
+
+
 def write(docs: DataFrame, path: str) -> None:
-    """One text partition an episode, and the manifest beside it."""
-    docs.select("episode_id", "text").write.mode("overwrite").partitionBy("episode_id").text(f"{path}/documents")
+    """One text an episode, in a folder of its own, and the manifest beside it. Tasks write the texts; no name passes through the driver."""
+    linefiles.write(docs.select(_placed().alias("path"), F.col("text").alias("value")), f"{path}/documents", overwrite=True)
     docs.drop("text").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read(manifest: DataFrame, path: str) -> DataFrame:
+    """``manifest``, as :func:`write` left it, with ``text``, which ends with a newline: its rows tell the files, so no folder is listed."""
+    return linefiles.texts_at(manifest.withColumn("path", _placed()).repartition("path"), f"{path}/documents").drop("path")
