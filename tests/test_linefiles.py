@@ -8,6 +8,7 @@ import random
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracework.sources import gitlog, linefiles, transcripts
 
@@ -149,3 +150,14 @@ def test_written_anew(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "out")) == ["a.txt", "b.txt", "c.txt"]
     linefiles.write(rows("d.txt"), f"file://{tmp_path}/out", overwrite=True)
     assert [(p.name, p.read_text()) for p in (tmp_path / "out").iterdir()] == [("d.txt", "d.txt\n")]
+
+
+def test_texts_go_to_folders_that_are_there(spark, tmp_path):
+    """As when a task is tried again after some of its folders have come."""
+    rows = lambda *some: spark.createDataFrame(some, "key long, path string, text string")
+    kept = linefiles.texts_to(rows((1, "a/1", "old"), (2, "a/2", "two"), (3, "b/3", None)), str(tmp_path / "out"), F.substring_index("path", "/", 1))
+    assert kept.columns == ["key"] and sorted(r.key for r in kept.collect()) == [1, 2, 3]
+    linefiles.texts_to(rows((1, "a/1", "new"), (4, "a/4", "x"), (4, "a/4", "y"), (5, "c/5", "five")), str(tmp_path / "out"), F.substring_index("path", "/", 1)).collect()
+    found = {os.path.relpath(os.path.join(at, f), tmp_path / "out"): (tmp_path / "out" / at / f).read_text() for at, _, files in os.walk(tmp_path / "out") for f in files}
+    assert found == {"a/1": "new\n", "a/2": "two\n", "b/3": "\n", "a/4": "x\ny\n", "c/5": "five\n"}
+    assert sorted(os.listdir(tmp_path / "out")) == ["a", "b", "c"]

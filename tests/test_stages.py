@@ -87,3 +87,18 @@ def test_documents_come_back_by_their_manifest(spark, tmp_path):
     (tmp_path / "documents" / "episode_id=700" / "text.txt").unlink()
     with pytest.raises(Exception, match="episode_id=700"):
         read.collect()
+
+
+def test_many_documents_share_folders(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    counted = lambda rows: (made.add(1) or r for r in rows)
+    ids = spark.createDataFrame(spark.range(0, 600).rdd.mapPartitions(counted), "id long")
+    docs = ids.selectExpr("if(id = 7, null, id) AS episode_id", "'feature' AS episode_type", "concat('é ', id, '\n\n## end') AS text")
+    documents.write(docs, f"file://{tmp_path}", folders=16)
+    assert made.value == 600  # texts and manifest come of one pass
+    assert sorted(os.listdir(tmp_path / "documents"), key=int) == [str(i) for i in range(16)]
+    assert len(list((tmp_path / "documents").glob("*/*"))) == 600
+    read = documents.read(spark.read.schema("episode_id long, episode_type string, input_path string").json(str(tmp_path / "manifest")), str(tmp_path))
+    assert {(r.episode_id, r.text) for r in read.collect()} == {(None if i == 7 else i, f"é {i}\n\n## end\n") for i in range(600)}
+    documents.write(docs.where("episode_id < 5"), str(tmp_path), folders=16)
+    assert sorted(p.stem for p in (tmp_path / "documents").glob("*/*")) == list("01234")

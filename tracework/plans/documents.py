@@ -93,17 +93,26 @@ def documents(episodes: DataFrame, sessions: DataFrame, groups: DataFrame, notes
     return x.select("episode_id", "episode_type", "session_count", "commit_group_count", F.coalesce("opening", F.lit("")).alias("first_prompt"), text.alias("text"))
 
 
-def _placed() -> Column:
-    """Where a document lies: a folder an episode."""
-    return F.concat(F.lit("episode_id="), F.coalesce(F.col("episode_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/text.txt"))
+def _placed(folders: int = 0) -> Column:
+    """Where a document lies: a folder an episode, or a file an episode in one of so many folders."""
+    name = F.coalesce(F.col("episode_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    if not folders:
+        return F.concat(F.lit("episode_id="), name, F.lit("/text.txt"))
+    return F.concat(F.pmod(F.xxhash64("episode_id"), F.lit(folders)), F.lit("/"), name, F.lit(".txt"))
 
 
-def write(docs: DataFrame, path: str) -> None:
-    """One text an episode, in a folder of its own, and the manifest beside it. Tasks write the texts; no name passes through the driver."""
-    linefiles.write(docs.select(_placed().alias("path"), F.col("text").alias("value")), f"{path}/documents", overwrite=True)
-    docs.drop("text").write.mode("overwrite").json(f"{path}/manifest")
+def write(docs: DataFrame, path: str, folders: int = 0) -> None:
+    """One text an episode, and the manifest beside it, whose ``input_path`` tells where the text lies. Tasks write the texts and pass the rows on to the manifest.
+
+    A text has a folder of its own, or is a file in one of ``folders``. The latter is for many episodes: each of these folders is made by one task and takes
+    its name at once, whereas tasks that make a folder a text in one place wait for each other.
+    """
+    linefiles.emptied(f"{path}/documents")
+    placed = docs.withColumn("input_path", _placed(folders)).withColumn("path", F.col("input_path"))
+    linefiles.texts_to(placed, f"{path}/documents", F.substring_index("path", "/", 1)).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def read(manifest: DataFrame, path: str) -> DataFrame:
-    """``manifest``, as :func:`write` left it, with ``text``, which ends with a newline: its rows tell the files, so no folder is listed."""
-    return linefiles.texts_at(manifest.withColumn("path", _placed()).repartition("path"), f"{path}/documents").drop("path")
+    """``manifest``, as :func:`write` left it, with ``text``, which ends with a newline: its rows tell the files, so no folder is listed. Without ``input_path`` each text has a folder of its own."""
+    at = F.col("input_path") if "input_path" in manifest.columns else _placed()
+    return linefiles.texts_at(manifest.withColumn("path", at).repartition("path"), f"{path}/documents").drop("path")
